@@ -82,9 +82,13 @@ def feistel_column(r: Column, n: int, seed: int = SEED, rounds: int = ROUNDS) ->
     return F.when(first < n, first).otherwise(F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walking did not end"))))
 
 
-def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
     """Add ``row_number`` (long, gapless from 0) in a total order of the rows.
 
+    ``within`` names some of the keys: each of their values is numbered by itself.
+    They may have a few dozen values at most, as the table of block starts, which
+    is broadcast, has up to 4,096 rows for each.
+
     The order is by a hash of all ``keys``, then by the keys; it depends on the
     rows alone, not on partitions or cluster size. Nothing is sorted as a whole:
     the hash's leading bits make 4,096 blocks, each numbered by itself and moved
@@ -94,10 +98,11 @@ def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
     """
     hashed = rows.withColumn("_h", F.xxhash64(*keys)).withColumn("_block", F.shiftrightunsigned("_h", 64 - BLOCK_BITS))
     distinct = hashed.groupBy("_block", "_h", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = distinct.groupBy("_block").agg(F.sum("_n").alias("_rows")).select("_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    in_block = Window.partitionBy("_block").orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, -1)
-    placed = distinct.withColumn("_at", F.coalesce(F.sum("_n").over(in_block), F.lit(0))).join(F.broadcast(starts), "_block")  # 2 ** BLOCK_BITS rows at most
+    within = within or []
+    before = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = distinct.groupBy(*within, "_block").agg(F.sum("_n").alias("_rows")).select(*within, "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    in_block = Window.partitionBy(*within, "_block").orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, -1)
+    placed = distinct.withColumn("_at", F.coalesce(F.sum("_n").over(in_block), F.lit(0))).join(F.broadcast(starts), [*within, "_block"])  # 2 ** BLOCK_BITS rows at most, for each value of within
     placed = placed.withColumn("_at", F.col("_at") + F.col("_start"))
     unrolled = placed.select(*keys, "_at", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_n"), F.lit(UNROLL)) - 1)).alias("_i"))
     pieces = placed.filter(F.col("_n") > UNROLL).select(*keys, "_at", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.floor((F.col("_n") - 1) / UNROLL))).alias("_piece")).repartition("_piece", "_at")
