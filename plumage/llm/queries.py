@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, sharding, simhash, token_counts
+from . import bpe, packing, quality, sharding, simhash, substring, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_cached_token_counts": token_counts.op2_cached_token_counts,
+        "op3_length_buckets": packing.op3_length_buckets,
         "op4_simhash_components": simhash.op4_simhash_components,
         "op5_adaptive_quality": quality.op5_adaptive_quality,
+        "op7_shared_passages": substring.op7_shared_passages,
         "op9_feistel_shards": sharding.op9_feistel_shards,
         "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
     }
