@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, sharding, simhash, substring, token_counts
+from . import bpe, embeddings, packing, quality, sharding, simhash, substring, token_counts
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_simhash_components": simhash.op4_simhash_components,
         "op5_adaptive_quality": quality.op5_adaptive_quality,
         "op7_shared_passages": substring.op7_shared_passages,
+        "op8_multi_index": embeddings.op8_multi_index,
         "op9_feistel_shards": sharding.op9_feistel_shards,
         "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
     }
