@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, packing, quality, sharding, simhash, substring, token_counts
+from . import bpe, chat_tools, embeddings, packing, quality, sharding, simhash, substring, token_counts, warc
 
 
 def queries() -> dict:
     return {
+        "op1_tool_call_links": chat_tools.op1_tool_call_links,
         "op2_cached_token_counts": token_counts.op2_cached_token_counts,
         "op3_length_buckets": packing.op3_length_buckets,
         "op4_simhash_components": simhash.op4_simhash_components,
         "op5_adaptive_quality": quality.op5_adaptive_quality,
+        "op6_warc_derivatives": warc.op6_warc_derivatives,
         "op7_shared_passages": substring.op7_shared_passages,
         "op8_multi_index": embeddings.op8_multi_index,
         "op9_feistel_shards": sharding.op9_feistel_shards,
