@@ -1 +1 @@
-"""Package part: functions."""
+"""Column expressions: numbers, positions, boxes, text."""

@@ -1 +1 @@
-"""Package part: operators."""
+"""Operators on DataFrames of frames, candidates, names, boxes and answers."""

@@ -1 +1 @@
-"""Package part: plans."""
+"""The registered queries over the driver's tables."""

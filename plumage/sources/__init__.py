@@ -1 +1 @@
-"""Package part: sources."""
+"""Readers, online connectors with injected transports, and writers."""

@@ -1 +1 @@
-"""Package part: streaming."""
+"""Continuous variants of the burst, budget and rate operators."""
