@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import frame_score, keep_quota
 
-_order = Window.partitionBy("camera").orderBy("us", "path")
-_session = Window.partitionBy("camera", "sid")
+
+def _order():
+    return Window.partitionBy("camera").orderBy("us", "path")
+
+
+def _session():
+    return Window.partitionBy("camera", "sid")
 
 
 def gaps(frames: DataFrame) -> DataFrame:
     """WIN1: ``time_diff`` to the frame before, in seconds; the first has 0."""
-    return frames.withColumn("time_diff", F.coalesce((F.col("us") - F.lag("us").over(_order)) / 1e6, F.lit(0.0)))
+    return frames.withColumn("time_diff", F.coalesce((F.col("us") - F.lag("us").over(_order())) / 1e6, F.lit(0.0)))
 
 
 def sessions(frames: DataFrame, threshold: float) -> DataFrame:
@@ -27,11 +32,11 @@ def sessions(frames: DataFrame, threshold: float) -> DataFrame:
     A gap of exactly the threshold joins.
     """
     new = F.when(F.col("time_diff") > threshold, 1).otherwise(0)
-    df = gaps(frames).withColumn("sid", F.sum(new).over(_order.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("n", F.count(F.lit(1)).over(_session))
-    first_of_burst = F.when((F.col("n") > 1) & (F.row_number().over(_session.orderBy("us", "path")) == 1), 1).otherwise(0)
+    df = gaps(frames).withColumn("sid", F.sum(new).over(_order().rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("n", F.count(F.lit(1)).over(_session()))
+    first_of_burst = F.when((F.col("n") > 1) & (F.row_number().over(_session().orderBy("us", "path")) == 1), 1).otherwise(0)
     df = df.withColumn("_first", first_of_burst)
-    upto = F.sum("_first").over(_order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    upto = F.sum("_first").over(_order().rowsBetween(Window.unboundedPreceding, 0)) - 1
     return df.withColumn("burst_id", F.when(F.col("n") > 1, upto)).drop("_first")
 
 
@@ -46,7 +51,7 @@ def best_frames(bursts: DataFrame, ratio: float = 0.2, least: int = 2, min_area:
         score = frame_score(F.col("focus"), F.col("area"), F.col("has_eye"))
     eligible = F.lit(True) if min_area is None else F.coalesce(F.col("area") >= min_area, F.lit(False))
     df = bursts.withColumns({"score": score, "eligible": eligible, "quota": keep_quota(F.col("n"), ratio, least)})
-    rank = F.row_number().over(_session.orderBy(F.desc("eligible"), F.desc("score"), "us", "path")).cast("long")
+    rank = F.row_number().over(_session().orderBy(F.desc("eligible"), F.desc("score"), "us", "path")).cast("long")
     df = df.withColumn("rk", rank)
     return df.withColumn("keep", F.col("eligible") & ((F.col("n") == 1) | (F.col("rk") <= F.col("quota"))))
 
@@ -58,12 +63,12 @@ def sampled_scores(bursts: DataFrame) -> DataFrame:
     sampled; the others take 0.95 of the score of the nearest sampled frame, the
     earlier one of two. Smaller sessions are measured whole.
     """
-    at = F.row_number().over(_session.orderBy("us", "path")) - 1
+    at = F.row_number().over(_session().orderBy("us", "path")) - 1
     df = bursts.withColumn("at", at)
     count = F.greatest(F.lit(3), F.floor(F.col("n") / 3))
     places = F.transform(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1), lambda i: F.bround(i * (F.col("n") / count)).cast("long"))
     df = df.withColumn("sampled", (F.col("n") <= 3) | F.array_contains(places, F.col("at").cast("long")))
-    inside = _session.orderBy("us", "path")
+    inside = _session().orderBy("us", "path")
     back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
     known = lambda c: F.when(F.col("sampled"), F.col(c))
     df = df.withColumns({"_pa": F.last(known("at"), True).over(back), "_pf": F.last(known("focus"), True).over(back), "_na": F.first(known("at"), True).over(ahead), "_nf": F.first(known("focus"), True).over(ahead)})

@@ -15,7 +15,9 @@ HEAD = 10
 OUTSIDE_CONFIDENCE = 0.75
 BONUS = 0.005
 
-_det = Window.partitionBy("image", "det")
+
+def _det():
+    return Window.partitionBy("image", "det")
 
 
 def whitelist_flags(candidates: DataFrame, regional: DataFrame, national: DataFrame) -> DataFrame:
@@ -36,13 +38,13 @@ def whitelist_flags(candidates: DataFrame, regional: DataFrame, national: DataFr
 def admitted(flagged: DataFrame, outside: float = OUTSIDE_CONFIDENCE) -> DataFrame:
     """FLT8, FLT9: listed candidates, or very sure ones where no candidate is listed."""
     passed = flagged.filter(F.col("listed") | (F.col("confidence") > outside))
-    return passed.withColumn("_any", F.max("listed").over(_det)).filter(F.col("listed") | ~F.col("_any")).drop("_any")
+    return passed.withColumn("_any", F.max("listed").over(_det())).filter(F.col("listed") | ~F.col("_any")).drop("_any")
 
 
 def reranked(passed: DataFrame, bonus: float = BONUS) -> DataFrame:
     """WIN10: ``new_rank`` by confidence, with a small bonus for nationally listed species."""
     value = F.col("confidence") + F.when(F.col("in_national"), bonus).otherwise(0.0)
-    return passed.withColumn("new_rank", F.row_number().over(_det.orderBy(F.desc(value), "rank")).cast("long"))
+    return passed.withColumn("new_rank", F.row_number().over(_det().orderBy(F.desc(value), "rank")).cast("long"))
 
 
 def refined(candidates: DataFrame, regional: DataFrame, national: DataFrame, mode: str = "china", threshold: float | None = None) -> DataFrame:
@@ -58,7 +60,7 @@ def refined(candidates: DataFrame, regional: DataFrame, national: DataFrame, mod
     if threshold is not None:
         head = head.filter(F.coalesce("confidence", F.lit(0.0)) >= threshold)
     if mode == "none":
-        return head.withColumn("new_rank", F.row_number().over(_det.orderBy("rank")).cast("long"))
+        return head.withColumn("new_rank", F.row_number().over(_det().orderBy("rank")).cast("long"))
     return reranked(admitted(whitelist_flags(head, regional, national)))
 
 
@@ -66,11 +68,11 @@ def promoted(candidates: DataFrame, regional: DataFrame, max_rank: int = 5, gap:
     """WIN9: the best regional candidate first, if the first isn't regional and the gap is small."""
     hits = regional.select(F.col("region").alias("_r"), F.col("idx").alias("_i")).distinct()
     df = candidates.join(hits, (F.col("province") == F.col("_r")) & (F.col("idx") == F.col("_i")), "left").withColumn("_in", F.col("_r").isNotNull())
-    by_rank = _det.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_rank = _det().orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = df.withColumns({"_top": F.first("confidence").over(by_rank), "_top_in": F.first("_in").over(by_rank)})
     fits = F.col("_in") & ~F.col("_top_in") & (F.col("rank") <= max_rank) & (F.col("confidence") + gap >= F.col("_top"))
-    df = df.withColumn("_best", F.min(F.when(fits, F.struct(-F.col("confidence"), F.col("rank")))).over(_det)["rank"])
-    return df.withColumn("new_rank", F.row_number().over(_det.orderBy(F.when(F.col("rank") == F.col("_best"), 0).otherwise(1), "rank")).cast("long")).drop("_r", "_i", "_in", "_top", "_top_in", "_best")
+    df = df.withColumn("_best", F.min(F.when(fits, F.struct(-F.col("confidence"), F.col("rank")))).over(_det())["rank"])
+    return df.withColumn("new_rank", F.row_number().over(_det().orderBy(F.when(F.col("rank") == F.col("_best"), 0).otherwise(1), "rank")).cast("long")).drop("_r", "_i", "_in", "_top", "_top_in", "_best")
 
 
 def accepted(counts: DataFrame, floor: float | None) -> DataFrame:
