@@ -155,10 +155,11 @@ def default_path() -> str:
 def coded(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add the packed ids of a text column and, if named, the text decoded from them.
 
-    The text column is replaced by them; other columns stay. A null text counts as
+    The text column is replaced by them, as are columns that have their names;
+    other columns stay. A null text counts as
     empty. No shuffle; a task holds one Arrow batch and its bounded memory of pieces.
     """
-    others = [c for c in df.columns if c != text]
+    others = [c for c in df.columns if c not in (text, ids, decoded)]
 
     def batches(source):
         import pyarrow as pa
@@ -179,7 +180,7 @@ def coded(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decode
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """Replace packed ids by the text that they stand for; null ids: empty text."""
-    others = [c for c in df.columns if c != ids]
+    others = [c for c in df.columns if c not in (ids, text)]
 
     def batches(source):
         import pyarrow as pa

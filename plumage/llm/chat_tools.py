@@ -11,6 +11,7 @@ serialised as canonical JSON.
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 from itertools import groupby
 
 from pyspark.sql import DataFrame, Window
@@ -32,7 +33,7 @@ REPLY_SCHEMA = json.dumps({
 def number_text(x: float) -> str:
     """A finite double as ECMAScript prints it."""
     if x == int(x) and abs(x) < 1e21:
-        return str(int(x))
+        return str(int(Decimal(repr(x))))
     mantissa, _, exponent = repr(x).partition("e")
     if not exponent:
         return mantissa

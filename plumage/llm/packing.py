@@ -72,11 +72,14 @@ def boundaries(rows: DataFrame, length: str, buckets: int = BUCKETS) -> list[int
 def packed(rows: DataFrame, keys: list[str], length: str, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """Adds ``bucket``, ``boundary``, ``batch``, ``slot`` and ``padding`` to rows of ``keys``.
 
-    ``keys`` are all columns of ``rows``, ``length`` (a non-null long) among them.
+    ``keys`` are the columns to keep, ``length`` (a non-null long) among them; keys
+    named like the added columns are replaced by those.
     Inside a bucket the order is a hash of the keys, so batches are a reproducible
     shuffle; every batch but a bucket's last is full. A length of 0 has boundary 0
     or the first one. Repeated rows each get a place. An empty table gives no rows.
     """
+    keys = [c for c in keys if c not in ("bucket", "boundary", "batch", "slot", "padding")]
+    rows = rows.select(*[F.col(f"`{c}`") for c in keys])
     ends = boundaries(rows, length, buckets)
     bucket = F.lit(0)
     for i, e in reversed(list(enumerate(ends[:-1]))):

@@ -96,30 +96,34 @@ def numbered(rows: DataFrame, keys: list[str], within: list[str] | None = None)
     shuffle and unrolled afterwards, so rows that repeat cannot fill one task.
     The keys must be all columns of ``rows``.
     """
-    hashed = rows.withColumn("_h", F.xxhash64(*keys)).withColumn("_block", F.shiftrightunsigned("_h", 64 - BLOCK_BITS))
-    distinct = hashed.groupBy("_block", "_h", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    within = within or []
+    own = {c: f"_k{i}" for i, c in enumerate(keys)}  # inner names can't clash with those of the rows
+    names, within = list(own.values()), [own[c] for c in within or []]
+    hashed = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]).withColumn("_h", F.xxhash64(*names)).withColumn("_block", F.shiftrightunsigned("_h", 64 - BLOCK_BITS))
+    distinct = hashed.groupBy("_block", "_h", *names).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = distinct.groupBy(*within, "_block").agg(F.sum("_n").alias("_rows")).select(*within, "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    in_block = Window.partitionBy(*within, "_block").orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, -1)
+    in_block = Window.partitionBy(*within, "_block").orderBy("_h", *names).rowsBetween(Window.unboundedPreceding, -1)
     placed = distinct.withColumn("_at", F.coalesce(F.sum("_n").over(in_block), F.lit(0))).join(F.broadcast(starts), [*within, "_block"])  # 2 ** BLOCK_BITS rows at most, for each value of within
     placed = placed.withColumn("_at", F.col("_at") + F.col("_start"))
-    unrolled = placed.select(*keys, "_at", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_n"), F.lit(UNROLL)) - 1)).alias("_i"))
-    pieces = placed.filter(F.col("_n") > UNROLL).select(*keys, "_at", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.floor((F.col("_n") - 1) / UNROLL))).alias("_piece")).repartition("_piece", "_at")
-    rest = pieces.select(*keys, "_at", F.explode(F.sequence(F.col("_piece") * UNROLL, F.least(F.col("_n"), (F.col("_piece") + 1) * UNROLL) - 1)).alias("_i"))
-    return unrolled.unionByName(rest).select(*keys, (F.col("_at") + F.col("_i")).alias("row_number"))
+    unrolled = placed.select(*names, "_at", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_n"), F.lit(UNROLL)) - 1)).alias("_i"))
+    pieces = placed.filter(F.col("_n") > UNROLL).select(*names, "_at", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.floor((F.col("_n") - 1) / UNROLL))).alias("_piece")).repartition("_piece", "_at")
+    rest = pieces.select(*names, "_at", F.explode(F.sequence(F.col("_piece") * UNROLL, F.least(F.col("_n"), (F.col("_piece") + 1) * UNROLL) - 1)).alias("_i"))
+    return unrolled.unionByName(rest).select(*[F.col(n).alias(c) for c, n in own.items()], (F.col("_at") + F.col("_i")).alias("row_number"))
 
 
 def shard(rows: DataFrame, keys: list[str], shards: int = 8, seed: int = SEED, total: int | None = None) -> DataFrame:
     """Put rows into ``shards`` shards: adds ``row_number``, ``shard`` and ``slot``.
 
-    ``keys`` are all columns of ``rows``. Null keys are ordinary values. Equal rows
+    ``keys`` are the columns that make the order; other columns are left out, and
+    keys named like the added columns are replaced by those. Null keys are ordinary values. Equal rows
     are interchangeable and get the places of their numbers. An empty table gives
     no rows. Shards differ by one row at most.
     """
     n = rows.count() if total is None else total
-    moved = numbered(rows, keys).withColumn("_p", feistel_column(F.col("row_number"), n, seed))
-    return moved.select(*keys, "row_number", F.pmod("_p", F.lit(shards)).cast("int").alias("shard"), F.expr(f"_p div {shards}").alias("slot"))
+    added = ("row_number", "shard", "slot")
+    moved = numbered(rows.withColumnsRenamed({c: f"{c} (given)" for c in keys if c in added}), [f"{c} (given)" if c in added else c for c in keys])
+    moved = moved.withColumn("_p", feistel_column(F.col("row_number"), n, seed))
+    return moved.select(*[F.col(f"`{c}`") for c in keys if c not in added], "row_number", F.pmod("_p", F.lit(shards)).cast("int").alias("shard"), F.expr(f"_p div {shards}").alias("slot"))
 
 
 def op9_feistel_shards(spark, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ def create_cache(spark, cache: str) -> str:
 
 
 def with_token_counts(docs: DataFrame, cache: str, tokenizer_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (default: all) and ``n_tokens``.
+    """Columns ``keep`` of ``docs`` (default: all) and ``n_tokens``, which replaces one of that name.
 
     ``cache`` is the path of a cache table in storage that all executors share. A
     null text counts as empty and has no tokens. Repeated rows keep their number;
@@ -130,9 +130,9 @@ def with_token_counts(docs: DataFrame, cache: str, tokenizer_path: str, text: st
     version = tokenizer_digest(tokenizer_path)
     counts = docs.sparkSession.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version)
     counts = counts.groupBy("content").agg(F.max("n_tokens").alias("_n_tokens"))  # two runs may have appended the same text
-    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
-    rows = docs.select(*kept, content_digest(F.col(text)).alias("_content"))
-    return rows.join(counts, F.col("_content") == F.col("content"), "left").select(*kept, F.col("_n_tokens").alias("n_tokens"))
+    kept = [c for c in (docs.columns if keep is None else keep) if c != "n_tokens"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), content_digest(F.col(text)).alias("_content"))
+    return rows.join(counts, F.col("_content") == F.col("content"), "left").select(*[F.col("_row").getField(c).alias(c) for c in kept], F.col("_n_tokens").alias("n_tokens"))
 
 
 def op2_cached_token_counts(spark, sf_dir: str) -> DataFrame:
