@@ -143,7 +143,7 @@ def image_terms(images: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "width", "height", "lap_var", "tenengrad", "centre", "penalty"])
 
     i = F.col("image")
-    return images.select(i["origin"], i["height"], i["width"], i["nChannels"], i["data"]).mapInPandas(batches, TERMS_SCHEMA)
+    return images.select(*[i[c].alias(c) for c in ("origin", "height", "width", "nChannels", "data")]).mapInPandas(batches, TERMS_SCHEMA)
 
 
 def scored(images: DataFrame) -> DataFrame:
