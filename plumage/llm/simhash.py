@@ -14,6 +14,7 @@ through their 65 neighbours, with work in proportion to their number.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,11 @@ DENSE = 256
 #: Work of one probe in units of one verified candidate.
 PROBE_COST = 4.0
 CUTS = (1, 2, 3, 4)
+#: Near copies: words of a shingle, and Jaccard similarity of the sets of shingles.
+COPY_SHINGLE = 5
+SIMILARITY = 0.8
+#: Shingles of a segment, on average.
+SEGMENT = 12
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -70,6 +76,63 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(batches, "doc_id long, fp long")
 
 
+def shingles_of(text: str | None, shingle: int) -> set:
+    """The distinct shingles of a text; a shorter text is one shingle."""
+    words = (text or "").encode("utf-8").lower().split()
+    if len(words) <= shingle:
+        return {tuple(words)}
+    return set(zip(*[words[i:] for i in range(shingle)], strict=False))
+
+
+def segments_of(text: str | None, shingle: int):
+    """``(digest, n, fp, segments)``: of the words, distinct shingles, whole text and its segments.
+
+    A segment starts where a shingle's hash says so, every ``SEGMENT`` shingles on
+    average, and has a SimHash of its own. Of long texts, those segments represent
+    the text whose first hash ends in zeros, so that 16 to 32 of them are expected;
+    a text of similar length has the same ones, or twice or half as many.
+    """
+    import numpy as np
+    from xxhash import xxh3_128_digest, xxh64_intdigest
+
+    words = (text or "").encode("utf-8").lower().split()
+    digest = xxh3_128_digest(b" ".join(words), 42)
+    if len(words) <= shingle:
+        whole = np.array([xxh64_intdigest(b" ".join(words), 42)], dtype="<u8")
+        return digest, 1, int(whole.view(np.int64)[0]), whole.view(np.int64)
+    grams = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
+    hashes = np.fromiter((xxh64_intdigest(g, 42) for g in grams), dtype="<u8", count=len(words) - shingle + 1)
+    starts = np.union1d([0], np.flatnonzero(hashes % np.uint64(SEGMENT) == 0))
+    length = np.diff(np.append(starts, len(hashes)))
+    ones = np.zeros((len(starts), BITS), dtype=np.int32)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        lo, hi = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, at + len(bits))
+        ones[lo:hi] += np.add.reduceat(bits, np.maximum(starts[lo:hi] - at, 0), axis=0, dtype=np.int32)
+    fp = np.packbits(2 * ones.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<i8")[0]
+    level = max(0, (len(hashes) // (16 * SEGMENT)).bit_length() - 1)
+    opening = hashes[starts] >> np.uint64(32)
+    chosen = (opening & np.uint64((1 << level) - 1)) == 0
+    chosen[opening.argmin()] = True
+    found = np.packbits(2 * ones[chosen] > length[chosen][:, None], axis=1, bitorder="little").view("<i8").ravel()
+    return digest, len(np.unique(hashes)), int(fp), np.unique(found)
+
+
+def sketches(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
+    """``(doc_id, digest, n, fp, segments)`` of every row, see :func:`segments_of`."""
+
+    def batches(source):
+        import pyarrow as pa
+
+        for batch in source:
+            found = [segments_of(t.as_py(), shingle) for t in batch.column(1)]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "digest", "n", "fp", "segments"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(batches, "doc_id long, digest binary, n long, fp long, segments array<long>")
+
+
 def bit_counts(classes: DataFrame):
     """How often each two bits are set together: a 64 x 64 matrix, summed in Spark."""
     import numpy as np
@@ -220,18 +283,84 @@ def op4_simhash_components(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, component_id)``: groups of texts whose shingles have a Jaccard similarity of ``least``.
+
+    A fingerprint of a whole text moves by about ten bits where a tenth of its
+    shingles change, which no cut into parts can probe for. Besides the probes of
+    whole fingerprints, texts therefore meet through equal fingerprints of segments,
+    which are cut where the content says so: a fiftieth of the words may change and
+    most short segments stay. Every pair that meets is verified on its whole texts.
+
+    Texts meet the first document of their segment and length class, so pairs grow
+    with the segments, however many texts share one. Length classes overlap, so two
+    texts of similar length have one in common. Rows with one doc_id are one
+    document; those without have none here. Texts of the same words are copies,
+    null and blank ones of each other. An empty table gives no rows.
+    """
+    marks = written(sketches(docs, shingle), "sketches")
+    spread = marks.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("segments").alias("segments"))
+    classes = written(spread, "text-classes")
+    prints = written(classes.groupBy("fp").agg(F.min("rep").alias("first")), "classes")
+    if prints.isEmpty():
+        return marks.select("doc_id", F.col("doc_id").alias("component_id"))
+    step = F.log(F.greatest(F.col("n"), F.lit(1))) / (2.1 * math.log(1 / least) + 1e-9)  # half a step is wider than the ratio of two sizes can be
+    sizes = F.explode(F.array(F.floor(step) * 2, F.floor(step + 0.5) * 2 + 1))
+    met = classes.select("rep", "n", F.explode("segments").alias("segment")).select("rep", "n", "segment", sizes.alias("size"))
+    owners = met.groupBy("segment", "size").agg(F.min(F.struct("rep", "n")).alias("o"), F.max("rep").alias("last")).filter("o.rep < last")
+    shared = met.join(owners, ["segment", "size"]).filter((F.col("rep") != F.col("o.rep")) & (F.least("n", "o.n") >= least * F.greatest("n", "o.n"))).select(F.col("rep").alias("a"), F.col("o.rep").alias("b"))
+    found = links(prints, plan_parts(prints))
+    first = prints.select(F.col("fp").alias("_fp"), "first")
+    linked = found.join(first, F.col("a") == F.col("_fp")).select(F.col("first").alias("a"), "b").join(first, F.col("b") == F.col("_fp")).select("a", F.col("first").alias("b"))
+    alike = classes.join(prints, "fp").filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    pairs = shared.unionByName(linked).unionByName(alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    pairs = written(pairs.distinct(), "candidates")
+    labels = connected_components(verified(docs, pairs, shingle, least))
+    placed = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
+    placed = written(placed, "components")
+    unwritten(pairs)
+    unwritten(labels)
+    return marks.join(placed, "digest").select("doc_id", "component_id")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those pairs ``(a, b)`` of documents whose texts' shingles are similar enough."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").dropDuplicates(["doc_id"]), "candidate-texts")
+    own = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one"))
+    other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("two"))
+    both = pairs.join(own, "a").join(other, "b").select("a", "b", "one", "two")
+
+    def batches(source):
+        import pyarrow as pa
+
+        last, second = None, set()
+        for batch in source:
+            out = []
+            for i in range(batch.num_rows):  # one pair of texts at a time
+                a, b, one, two = (c[i].as_py() for c in batch.columns)
+                if b != last:
+                    last, second = b, shingles_of(two, shingle)
+                first = shingles_of(one, shingle)
+                same = len(first & second)
+                if same >= least * (len(first) + len(second) - same):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return written(both.mapInArrow(batches, "a long, b long"), "verified")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest doc_id.
+    """One row of each group of near copies (:func:`near_copies`): that of the smallest doc_id.
 
     ``doc_id`` names a document: rows that repeat it are one document, of which one
     row stays. Rows without a doc_id stay, as they can't be named.
     """
-    found = written(near_duplicates(docs), "near-duplicates")
-    keep = written(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "kept")
+    found = near_copies(docs.filter("doc_id is not null"))
+    found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("_rows"))
+    keep = written(found.filter("doc_id = component_id").select("doc_id", "_rows"), "kept")
     repeated = not keep.filter("_rows > 1").isEmpty()
     out = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
     if repeated:
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-

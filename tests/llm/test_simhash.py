@@ -85,6 +85,33 @@ def test_components_of_long_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_copies_against_brute_force(spark, make, prose):
+    rng = random.Random(11)
+    texts, group = {}, {}
+    for g in range(25):
+        base = prose(500 + g, rng.choice([60, 150, 400, 1500])).split()
+        for k in range(5):
+            words = [w if rng.random() > 0.004 * k else prose(rng.random(), 1) for w in base]
+            texts[10 * g + k], group[10 * g + k] = " ".join(words), g
+    passage = prose(3, 55)
+    texts |= {1000 + i: passage + " " + prose(2000 + i, 40) for i in range(30)}  # a shared passage is no near copy
+    sets = {i: S.shingles_of(t, 5) for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in texts if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    want = brute_components(near, list(texts))
+    got = {r.doc_id: r.component_id for r in S.near_copies(make(list(texts.items()))).collect()}
+    assert got.keys() == texts.keys()
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near) > 100
+
+
+def test_segments_bear_any_text():
+    for text in (None, "", "one", "a b c d e", "a b c d e f", "ab " * 200_000, "x\ty " * 7):
+        digest, n, fp, segments = S.segments_of(text, 5)
+        assert len(digest) == 16 and n >= 1 and len(segments) >= 1 and -(2**63) <= fp < 2**63
+    long = " ".join(str(i * 7919 % 100_003) for i in range(70_000))
+    assert S.segments_of(long, 5)[2] == signed(S.simhash(long, 5)) and len(S.segments_of(long, 5)[3]) < 64
+
+
 def test_odd_rows(spark, make, odd, prose):
     near = [(30, prose(9, 300)), (31, prose(9, 300) + " tail"), (32, "".join(c.upper() if c.isascii() else c for c in prose(9, 300)))]
     docs = make(odd + near)
@@ -94,7 +121,7 @@ def test_odd_rows(spark, make, odd, prose):
     assert component[1] == component[2] == component[3] == 1 and component[5] == component[6] == 5 and component[4] == 4
     assert component[30] == component[32] == 30
     kept = S.deduplicated(docs).collect()
-    assert sorted(r.doc_id or 0 for r in kept) == sorted({c for _, _, c in rows if c} | {0}) and kept[0].asDict().keys() == set(docs.columns)
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 4, 5, 7, 8, 30] and kept[0].asDict().keys() == set(docs.columns)
 
 
 def test_empty_and_clashing_names(spark, make):
