@@ -192,3 +192,41 @@ def op5_adaptive_quality(spark, sf_dir: str) -> DataFrame:
     return judged(metrics, cuts).select("doc_id", *BASE, "base_failed", "kept", *RULES)
 
 
+_LEAST = ", ".join(f"('{m}', {side}, {least})" for m, (side, least) in RULES.items())
+_BAD = " OR ".join(f"coalesce(m.{m} {'>' if side > 0 else '<'} c.cut_{m}, false)" for m, (side, _) in RULES.items())
+_QUANTILES = "max(size) AS size, min(CASE WHEN 100 * upto >= 25 * size THEN bucket END) AS q25, min(CASE WHEN 100 * upto >= 75 * size THEN bucket END) AS q75"
+
+
+def _quartiles_sql(keys: str) -> str:
+    by = f"{keys}, metric" if keys else "metric"
+    return f"""(SELECT {by}, {_QUANTILES} FROM (
+        SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS size
+        FROM (SELECT {by}, bucket, count(*) AS n FROM sketch GROUP BY {by}, bucket)) GROUP BY {by})"""
+
+
+#: DuckDB SQL for the rows of :func:`op5_adaptive_quality`; windows of words are compared as texts.
+OP5_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT rid, i, array_to_string(words[i : i + {WINDOW_WORDS - 1}], ' ') AS g FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW_WORDS - 2})) AS i FROM w)),
+again AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
+found AS (SELECT rid, sum(least(i - coalesce(before, -{WINDOW_WORDS}), {WINDOW_WORDS})) AS n FROM (SELECT *, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM again) GROUP BY rid),
+b AS (SELECT w.rid, doc_id, lang, source, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  coalesce(found.n, 0) AS n_repeat_words, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals, len(list_distinct(words)) AS n_distinct FROM w LEFT JOIN found USING (rid)),
+m AS (SELECT *, CASE WHEN n_words = 0 THEN 0 ELSE 1000 * n_symbols // n_words END AS symbols_per_word, CASE WHEN n_lines = 0 THEN 0 ELSE 1000 * n_dup_lines // n_lines END AS dup_lines,
+  CASE WHEN n_words = 0 THEN 0 ELSE 1000 * n_repeat_words // n_words END AS repeat_words, CASE WHEN word_chars = 0 THEN 0 ELSE 1000 * n_capitals // word_chars END AS capitals,
+  CASE WHEN n_words = 0 THEN 1000 ELSE 1000 * n_distinct // n_words END AS distinct_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM b),
+long AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, CAST({m} AS BIGINT) AS v FROM m" for m in RULES)}),
+sketch AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - {LEAD_BITS}, 0)) << greatest(length(bin(v)) - {LEAD_BITS}, 0) AS bucket FROM long),
+own AS {_quartiles_sql("lang, source")}, by_lang AS {_quartiles_sql("lang")}, by_all AS {_quartiles_sql("")},
+chosen AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.size >= {MIN_GROUP} THEN o.q25 WHEN l.size >= {MIN_GROUP} THEN l.q25 ELSE a.q25 END AS q25,
+  CASE WHEN o.size >= {MIN_GROUP} THEN o.q75 WHEN l.size >= {MIN_GROUP} THEN l.q75 ELSE a.q75 END AS q75
+  FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN by_all a ON o.metric = a.metric),
+cut AS (SELECT lang, source, metric, CASE WHEN side > 0 THEN q75 + {FENCE} * greatest(q75 - q25, least_spread) ELSE q25 - {FENCE} * greatest(q75 - q25, least_spread) END AS v
+  FROM chosen JOIN (VALUES {_LEAST}) r(name, side, least_spread) ON metric = name),
+c AS (SELECT lang, source, {", ".join(f"max(CASE WHEN metric = '{m}' THEN v END) AS cut_{m}" for m in RULES)} FROM cut GROUP BY lang, source)
+SELECT m.doc_id, {", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in [*BASE, *RULES])}, base_failed, NOT (base_failed OR {_BAD}) AS kept
+FROM m JOIN c ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source
+"""

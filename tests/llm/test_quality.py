@@ -72,3 +72,18 @@ def test_empty_and_clashing_names(spark, make, prose):
 def test_no_python_in_the_plan(spark, make):
     plan = Q.quality_filter(make([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sql_gives_the_same_rows(spark, make, odd, prose, tmp_path):
+    import duckdb
+
+    rows = odd + [(100 + i, prose(i, 30 + i) + " #" * (i % 9) + "\n" + prose(i, 9) * (i % 5)) for i in range(300)]
+    make(rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    relation = con.sql(Q.OP5_SQL)
+    df = Q.op5_adaptive_quality(spark, str(tmp_path))
+    assert sorted(df.columns) == sorted(relation.columns)
+    order = sorted(df.columns)
+    ours = sorted(str([r[c] for c in order]) for r in df.collect())
+    assert ours == sorted(str([r[relation.columns.index(c)] for c in order]) for r in relation.fetchall()) and len(ours) == len(rows)
