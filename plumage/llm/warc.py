@@ -24,7 +24,9 @@ from .chat_tools import canonical
 DATE = "2024-01-01T00:00:00Z"
 OUT_SCHEMA = "page_id long, record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, content_type string, block_digest string, source_payload_digest string, content_length long, record binary"
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)(noscript|template|svg)(?=[\s/>])[^>]*>", re.I | re.S)
+_ATTRIBUTES = r"""(?=[\s/>])(?:(?:[^<>"']|"[^"]*"|'[^']*')*+>|[^>]*>)"""
+_HEAD = re.compile(rf"<head{_ATTRIBUTES}(?:\s++|</?(?:base|basefont|bgsound|link|meta|noscript|template){_ATTRIBUTES}|<title{_ATTRIBUTES}(?:(?!</?(?:title|head|body)(?=[\s/>])).)*+</title\s*>|</?title{_ATTRIBUTES}|<[!?][^>]*>)*+(?:</head\s*>)?", re.I | re.S)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""")
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -46,13 +48,44 @@ def charset_of(http_headers: str) -> str:
         return "utf-8"
 
 
+def without_dropped(page: str) -> str:
+    """``page`` without scripts, styles and comments, which may run to its end, and without closed noscript, template and svg elements.
+
+    Those nest, and elements left open in one end with it. Of one that is never
+    closed only the tag goes, later on.
+    """
+    cuts, stack, held = [], [], {"noscript": 0, "template": 0, "svg": 0}
+    for m in _DROPPED.finditer(page):
+        name = (m[3] or "").lower()
+        if not name:
+            cuts.append(m.span())
+        elif not m[2]:
+            if name != "svg" or not m[0].endswith("/>"):
+                stack.append((name, m.start()))
+                held[name] += 1
+        elif held[name]:
+            last = None
+            while last != name:
+                last, start = stack.pop()
+                held[last] -= 1
+            while cuts and cuts[-1][0] >= start:
+                cuts.pop()
+            cuts.append((start, m.end()))
+    out, at = [], 0
+    for start, end in cuts:
+        out.append(page[at:start])
+        at = end
+    return " ".join([*out, page[at:]])
+
+
 def text_of(page: str) -> str:
     """Text of a page: block elements end lines, other tags vanish, entities are resolved.
 
     Scripts, styles, comments and the head are left out; runs of white space are one
-    space, and empty lines go.
+    space, and empty lines go. The head ends with its end tag or before the first
+    text or tag that can't be in one, as its end tag may be missing.
     """
-    page = _DROPPED.sub(" ", page)
+    page = _HEAD.sub(" ", without_dropped(page))
     page = _TAG.sub(lambda m: "\n" if m[2] and m[2].lower() in _BLOCKS else "", page)
     lines = (" ".join(line.split()) for line in html.unescape(page).split("\n"))
     return "\n".join(line for line in lines if line)

@@ -71,6 +71,21 @@ def test_text_against_a_parser():
         assert re.sub(r"\s+", " ", W.text_of(page)) == re.sub(r"\s+", " ", expected)
 
 
+def test_open_elements_keep_the_text_after_them():
+    for page, text in (
+        ("<html><head><title>T</title><body><p>Hello world", "Hello world"), ("<head><meta content='a > b'><title>x < y</title><link href=a><p>Hi</p></body>", "Hi"), ("<head>\n<script>1</script><noscript><img></noscript><title>T</title>Text", "Text"),
+        ("<head><title>T</title></head><p>a</p><svg><p>b</p>", "a\nb"), ("<p>a<template><p>b<svg>c</svg>d", "a\nb d"), ("<p>a<noscript>b", "ab"), ("a<svg/>b<svg><svg>c</svg>d</svg>e", "ab e"),
+        ("<template>a<svg></template>b</svg>c", "bc"), ("<header>a</header><head-line>b</head-line>", "a\nb"), ("a<script>b", "a"), ("a<style>b", "a"), ("a<!-- b", "a"),
+    ):
+        assert W.text_of(page) == text
+    import time
+
+    began = time.time()
+    for page in ("<head><title>" * 30_000, "<svg>" * 60_000 + "</svg>" * 60_000, "<head><meta a=\"" * 20_000, "<template><svg>" * 30_000):
+        W.text_of(page)
+    assert time.time() - began < 60
+
+
 def test_hostile_markup_is_fast():
     import time
 
