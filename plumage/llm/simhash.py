@@ -36,6 +36,8 @@ COPY_SHINGLE = 5
 SIMILARITY = 0.8
 #: Shingles of a segment, on average.
 SEGMENT = 12
+#: Shingles counted as common come last in the order of keys: one document of so many is counted, and a count of so many is common.
+SAMPLED, COMMON, MOST_COMMON = 16, 8, 50_000
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -118,6 +120,56 @@ def segments_of(text: str | None, shingle: int):
     return digest, len(np.unique(hashes)), int(fp), np.unique(found)
 
 
+def hashes_of(text: str | None, shingle: int):
+    """XXH64 of the distinct shingles of a text, in rising order."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8").lower().split()
+    grams = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)) if len(words) > shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxh64_intdigest(g, 42) for g in grams), dtype="<u8"))
+
+
+def common_shingles(docs: DataFrame, shingle: int):
+    """Hashes of shingles that many documents of a sample have, rarest first.
+
+    They only set the order of keys (:func:`keys_of`): any order finds every pair,
+    and this one keeps common lines out of the keys. The sample goes by the text's hash.
+    """
+    import numpy as np
+
+    def batches(source):
+        import pyarrow as pa
+
+        for batch in source:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes_of(text.as_py(), shingle).view(np.int64))], ["h"])
+
+    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).distinct()
+    counts = sample.mapInArrow(batches, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+    rows = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    return np.array([r.h for r in rows[::-1]], dtype=np.int64).view(np.uint64)
+
+
+def keys_of(hashes, common, least: float):
+    """``(keys, lead)``: of the sorted hashes, those that a similar text must share one of.
+
+    With the shingles of all texts in one order, two sets with a Jaccard similarity
+    of ``least`` share one of the first ``n - ceil(least * n) + 1`` of each (prefix
+    filter); of the smaller set the first ``lead`` are enough.
+    """
+    import numpy as np
+
+    n = len(hashes)
+    rank = np.zeros(n, dtype=np.int64)
+    if len(common):
+        order = np.argsort(common)
+        at = np.minimum(np.searchsorted(common, hashes, sorter=order), len(common) - 1)
+        rank = np.where(common[order[at]] == hashes, order[at] + 1, 0)
+    first = lambda share: n - math.ceil(share * n - 1e-9) + 1
+    return hashes[np.argsort(rank, kind="stable")[: first(least)]].view(np.int64), first(2 * least / (1 + least))
+
+
 def sketches(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
     """``(doc_id, digest, n, fp, segments)`` of every row, see :func:`segments_of`."""
 
@@ -294,9 +346,11 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIM
 
     Texts meet the first document of their segment and length class, so pairs grow
     with the segments, however many texts share one. Length classes overlap, so two
-    texts of similar length have one in common. Rows with one doc_id are one
-    document; those without have none here. Texts of the same words are copies,
-    null and blank ones of each other. An empty table gives no rows.
+    texts of similar length have one in common. That links most; then all other
+    pairs that can be similar meet, see :func:`open_pairs`, so none is missed. Rows
+    with one doc_id are one document; those without have none here. Texts of the
+    same words are copies, null and blank ones of each other. An empty table gives
+    no rows.
     """
     marks = written(sketches(docs, shingle), "sketches")
     spread = marks.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("segments").alias("segments"))
@@ -315,7 +369,12 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIM
     alike = classes.join(prints, "fp").filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     pairs = shared.unionByName(linked).unionByName(alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
     pairs = written(pairs.distinct(), "candidates")
-    labels = connected_components(verified(docs, pairs, shingle, least))
+    near = verified(docs, pairs, shingle, least)
+    early = connected_components(near)
+    rest = written(open_pairs(docs, classes, early, shingle, least), "open-pairs")
+    labels = connected_components(near.unionByName(verified(docs, rest, shingle, least)))
+    unwritten(rest)
+    unwritten(early)
     placed = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     placed = written(placed, "components")
     unwritten(pairs)
@@ -323,6 +382,39 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIM
     return marks.join(placed, "digest").select("doc_id", "component_id")
 
 
+def open_pairs(docs: DataFrame, classes: DataFrame, labels: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Every pair ``(a, b)`` of texts in different groups that can be similar enough.
+
+    Similar texts share a key (:func:`keys_of`). Keys whose texts are of one group
+    are done. Of others, all texts meet that aren't in one group: those outside the
+    key's largest group, in blocks of ``DENSE``, with all.
+    """
+    common = common_shingles(docs, shingle)
+
+    def batches(source):
+        import pyarrow as pa
+
+        for batch in source:
+            found = [keys_of(hashes_of(t.as_py(), shingle), common, least) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([f[1] for f in found], pa.int64()), pa.array([f[0] for f in found], pa.list_(pa.int64()))], ["rep", "n", "label", "lead", "keys"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    named = classes.select("rep", "n").filter("n > 1").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    rows = named.join(texts, F.col("rep") == F.col("doc_id")).select("rep", "n", "label", "text")
+    keyed = written(rows.mapInArrow(batches, "rep long, n long, label long, lead long, keys array<long>"), "keys")
+    keys = keyed.select("rep", "n", "label", "lead", F.posexplode("keys").alias("at", "key")).select("key", "rep", "n", "label", (F.col("at") < F.col("lead")).alias("lead"))
+    mixed = keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("lead").alias("led")).filter("lo < hi and led").select("key")
+    held = written(keys.join(mixed, "key"), "open-keys")
+    sizes = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
+    sizes = written(sizes.select("key", "main", F.ceil(F.col("others") / DENSE).alias("blocks")), "open-sizes")
+    cut = held.join(sizes, "key")
+    one = cut.filter("label <> main").select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "label", "lead")])
+    two = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "label", "lead")])
+    enough = (F.least("n1", "n2") >= least * F.greatest("n1", "n2")) & ((F.col("lead1") & (F.col("n1") <= F.col("n2"))) | (F.col("lead2") & (F.col("n2") <= F.col("n1"))))
+    met = one.join(two, ["key", "block"]).filter((F.col("label1") != F.col("label2")) & enough)
+    return met.select(F.greatest("rep1", "rep2").alias("a"), F.least("rep1", "rep2").alias("b")).distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
     """Those pairs ``(a, b)`` of documents whose texts' shingles are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()

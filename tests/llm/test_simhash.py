@@ -104,6 +104,39 @@ def test_near_copies_against_brute_force(spark, make, prose):
     assert sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near) > 100
 
 
+def edited(rng, text, share, prose):
+    return " ".join(prose(rng.random(), 1) if rng.random() < share else w for w in text.split())
+
+
+def assert_exact(spark, make, texts):
+    sets = {i: S.shingles_of(t, 5) for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in texts if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    assert {r.doc_id: r.component_id for r in S.near_copies(make(list(texts.items()))).collect()} == brute_components(near, list(texts))
+    assert near
+
+
+@pytest.mark.parametrize("dense", [4, 256])
+def test_original_in_the_middle_of_its_copies(spark, make, prose, monkeypatch, dense):
+    monkeypatch.setattr(S, "DENSE", dense)
+    rng = random.Random(21)
+    base = prose(700, 150)
+    assert_exact(spark, make, {i: base if i == 60 else edited(rng, base, 0.018, prose) for i in range(120)})
+
+
+def test_keys_of_similar_sets_meet():
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(400):
+        n = rng.randint(1, 60)
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = set(rng.sample(sorted(a), max(1, n - rng.randint(0, n // 4)))) | {rng.getrandbits(64) for _ in range(rng.randint(0, 3))}
+        common = np.array(rng.sample(sorted(a | b), len(a | b) // 2), dtype=np.uint64)
+        (x, lx), (y, ly) = (S.keys_of(np.array(sorted(s), dtype=np.uint64), common, 0.8) for s in (a, b))
+        met = set(x[:lx]) & set(y) if len(a) <= len(b) else set(x) & set(y[:ly])
+        assert met or 10 * len(a & b) < 8 * len(a | b)
+
+
 def test_segments_bear_any_text():
     for text in (None, "", "one", "a b c d e", "a b c d e f", "ab " * 200_000, "x\ty " * 7):
         digest, n, fp, segments = S.segments_of(text, 5)
