@@ -9,13 +9,16 @@
 4. Align: the words between and around a chain's seeds are compared, chains with
    too little in common are cut at their widest gap, and passages of at least 50
    words whose 5-word shingles have a Jaccard similarity of 0.8 or more remain.
+5. Complete: windows of 50 words around matched seeds that no passage covers are
+   matched with the first document that has the whole window, so that no exact run
+   of 50 words is lost where the first documents of its seeds have parts of it.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, documents, unwritten, words_of, written
@@ -37,33 +40,62 @@ SPAN_SCHEMA = "doc_id long, start_word int, end_word int, src_doc_id long, src_s
 CHAIN_SCHEMA = "doc long, src long, lo int, hi int, slo int, shi int, at array<int>, sat array<int>"
 
 
-def seeds_of(text: str | None):
-    """Places and hashes of a text's winnowed k-mers (A-Z in lower case)."""
+def runs_of(text: str | None, size: int):
+    """Hashes of all runs of ``size`` words of a text (A-Z in lower case)."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8").lower().split()
-    n = len(words) - K + 1
+    n = len(words) - size + 1
     if n < 1:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
     hashed = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
     with np.errstate(over="ignore"):
         mixed = np.zeros(n, dtype=np.uint64)
-        for j in range(K):
+        for j in range(size):
             mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashed[j : j + n]
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(29)
-    if n <= WINNOW:
-        at = np.array([int(mixed.argmin())])
-    else:
-        least = np.lib.stride_tricks.sliding_window_view(mixed, WINNOW).argmin(axis=1) + np.arange(n - WINNOW + 1)
-        at = np.unique(least)
+    return mixed
+
+
+def least_of(mixed):
+    """Place of the least hash of each ``WINNOW`` neighbours."""
+    import numpy as np
+
+    if len(mixed) <= WINNOW:
+        return np.array([int(mixed.argmin())] if len(mixed) else [], dtype=np.int64)
+    return np.lib.stride_tricks.sliding_window_view(mixed, WINNOW).argmin(axis=1) + np.arange(len(mixed) - WINNOW + 1)
+
+
+def seeds_of(text: str | None):
+    """Places and hashes of a text's winnowed k-mers (A-Z in lower case)."""
+    import numpy as np
+
+    mixed = runs_of(text, K)
+    at = np.unique(least_of(mixed))
     return at, mixed[at]
 
 
+def windows_of(text: str | None, shared):
+    """Places and hashes of a text's runs of ``MIN_WORDS`` words whose seeds are all at ``shared`` places.
+
+    Seeds of a run are the least k-mers of neighbours inside it, so equal runs have equal ones.
+    """
+    import numpy as np
+
+    least = least_of(runs_of(text, K))
+    inside = MIN_WORDS - K + 1 - WINNOW + 1
+    if len(least) < inside:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    alone = np.concatenate([[0], np.cumsum(~np.isin(least, shared))])
+    at = np.flatnonzero(alone[inside:] == alone[:-inside])
+    return at, runs_of(text, MIN_WORDS)[at] if len(at) else np.zeros(0, dtype=np.uint64)
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """``(h, doc, pos, first)``: seeds of all documents; ``first``: not seen before in the text."""
+    """``(h, doc, pos, first, words)``: seeds of all documents; ``first``: not seen before in the text; ``words`` in the text."""
 
     def batches(source):
         import numpy as np
@@ -76,21 +108,22 @@ def seeds(docs: DataFrame) -> DataFrame:
                 at, h = seeds_of(text.as_py())
                 first = np.zeros(len(at), dtype=bool)
                 first[np.unique(h, return_index=True)[1]] = True
-                parts.append((h.view(np.int64), np.full(len(at), doc, dtype=np.int64), at.astype(np.int32), first))
+                words = np.full(len(at), len((text.as_py() or "").encode("utf-8").split()), dtype=np.int32)
+                parts.append((h.view(np.int64), np.full(len(at), doc, dtype=np.int64), at.astype(np.int32), first, words))
                 if sum(len(p[0]) for p in parts[-256:]) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "doc", "pos", "first"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "doc", "pos", "first", "words"])
                     parts = []
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "doc", "pos", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "doc", "pos", "first", "words"])
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(batches, "h long, doc long, pos int, first boolean")
+    return rows.mapInArrow(batches, "h long, doc long, pos int, first boolean, words int")
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """Seeds matched with the first document that has them: ``(doc, src, pos, spos)``."""
+    """Seeds matched with the first document that has them: ``(doc, src, pos, spos, h, words)``."""
     owners = found.filter("first").groupBy("h").agg(F.min("doc").alias("src"), F.min_by("pos", "doc").alias("spos"), F.max("doc").alias("last")).filter("src < last").select("h", "src", "spos")
-    return found.join(owners, "h").filter("doc <> src").select("doc", "src", "pos", "spos")
+    return found.join(owners, "h").filter("doc <> src").select("doc", "src", "pos", "spos", "h", "words")
 
 
 def chain(pos, spos) -> list[list[int]]:
@@ -173,7 +206,7 @@ def chains(found: DataFrame) -> DataFrame:
         if held is not None:
             yield closed(held)
 
-    return found.repartition("doc").sortWithinPartitions("doc", "src", "pos", "spos").mapInArrow(batches, CHAIN_SCHEMA)
+    return found.select("doc", "src", "pos", "spos").repartition("doc").sortWithinPartitions("doc", "src", "pos", "spos").mapInArrow(batches, CHAIN_SCHEMA)
 
 
 def lcs(a: list, b: list) -> int:
@@ -235,8 +268,57 @@ def passages(docs: DataFrame) -> DataFrame:
     below 50 words take no part.
     """
     found = written(seeds(docs), "seeds")
-    linked = written(chains(matches(found)), "chains")
+    met = written(matches(found), "matches")
+    linked = written(chains(met), "chains")
+    first = written(alignments(docs, linked), "first-passages")
+    unwritten(linked)
+    runs = written(window_chains(docs, found, met, first), "window-chains")
     unwritten(found)
+    unwritten(met)
+    both = first.withColumn("later", F.lit(False)).unionByName(alignments(docs, runs).withColumn("later", F.lit(True)))
+    # a later one says nothing new within another passage of its document
+    before = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"), "later", "src_doc_id", "src_start_word").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("reach", F.max("end_word").over(before)).filter("not later or reach is null or reach < end_word").drop("later", "reach")
+
+
+def window_chains(docs: DataFrame, found: DataFrame, met: DataFrame, spans: DataFrame) -> DataFrame:
+    """Exact runs of at least ``MIN_WORDS`` words of an earlier document outside ``spans``, as chains.
+
+    The first documents of a run's seeds may be several that each have less of it.
+    So where a matched seed is in a window of 50 words that no span covers, the
+    windows around it and the equal seeds of other documents are matched with the
+    first document that has the whole window. Other seeds take no part, and windows
+    need all their seeds, so common lines below 50 words bring in few.
+    """
+    covered = spans.select(F.col("doc_id").alias("_doc"), "start_word", "end_word")
+    inside = (F.col("doc") == F.col("_doc")) & (F.col("start_word") <= F.col("pos")) & (F.col("pos") + MIN_WORDS <= F.col("end_word"))
+    around = (F.col("doc") == F.col("_doc")) & (F.col("start_word") <= F.greatest(F.col("pos") + K - MIN_WORDS, F.lit(0))) & (F.least(F.col("pos") + MIN_WORDS, "words") <= F.col("end_word"))
+    left = written(met.join(covered, around, "left_anti").select("h").distinct(), "open-seeds")
+    marks = found.join(left, "h").groupBy("doc").agg(F.collect_set("pos").alias("marks")).filter(F.size("marks") > 1)  # at most the seeds of one text
+
+    def batches(source):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in source:
+            for doc, text, marks in zip(*batch.columns, strict=True):
+                at, w = windows_of(text.as_py(), np.array(marks.as_py()))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(at), doc.as_py(), dtype=np.int64)), pa.array(at.astype(np.int32))], ["w", "doc", "pos"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "marks")
+    windows = written(texts.mapInArrow(batches, "w long, doc long, pos int"), "windows")
+    owners = windows.groupBy("w").agg(F.min(F.struct("doc", "pos")).alias("o"), F.max("doc").alias("last")).filter("o.doc < last").select("w", F.col("o.doc").alias("src"), F.col("o.pos").alias("spos"))
+    same = windows.join(owners, "w").filter("doc <> src").select("doc", "src", "pos", "spos").join(covered, inside, "left_anti").distinct()
+    # windows at one distance follow each other where place less rank is the same
+    line = Window.partitionBy("doc", "src", F.col("pos") - F.col("spos")).orderBy("pos")
+    runs = same.withColumn("run", F.col("pos") - F.row_number().over(line)).groupBy("doc", "src", (F.col("pos") - F.col("spos")).alias("apart"), "run").agg(F.min("pos").alias("lo"), (F.max("pos") + MIN_WORDS).alias("hi"))
+    runs = runs.withColumns({"slo": F.col("lo") - F.col("apart"), "shi": F.col("hi") - F.col("apart")})
+    return runs.select("doc", "src", "lo", "hi", "slo", "shi", F.array("lo", F.col("hi") - K).alias("at"), F.array("slo", F.col("shi") - K).alias("sat"))
+
+
+def alignments(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Passages around chains, see :func:`aligned`."""
     down = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - MARGIN) / GRID).cast("int") * GRID)
     up = lambda c: F.ceil((F.col(c) + MARGIN) / GRID).cast("int") * GRID
     linked = linked.withColumns({"qlo": down("lo"), "qhi": up("hi"), "qslo": down("slo"), "qshi": up("shi")})

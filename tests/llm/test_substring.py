@@ -56,6 +56,23 @@ def test_every_shared_run_of_fifty_words_is_found(spark, make, prose):
     assert all(len(got[i] - need[i]) <= 10 for i in got)
 
 
+def test_passages_of_lines_of_earlier_documents(spark, make, prose):
+    """Two or three lines, each below 50 words, in earlier documents of their own; two later ones share them all."""
+    docs, want = [], {}
+    for g in range(60):
+        sizes = [(30, 30), (40, 40), (20, 20, 20), (45, 10, 45)][g % 4]
+        lines = [prose(20_000 + 10 * g + j, n) for j, n in enumerate(sizes)]
+        docs += [(100 * g + j, prose(30_000 + 10 * g + j, 40) + " " + line + " " + prose(40_000 + 10 * g + j, 40)) for j, line in enumerate(lines)]
+        if len(lines) == 3:  # and in pairs
+            docs += [(100 * g + 5, " ".join(lines[:2])), (100 * g + 6, " ".join(lines[1:]))]
+        docs += [(100 * g + k, prose(50_000 + 10 * g + k, 30) + " " + " ".join(lines) + " " + prose(60_000 + 10 * g + k, 30)) for k in (10, 11)]
+        want[100 * g + 11] = (30, 30 + sum(sizes))
+    got = {}
+    for r in S.passages(make(docs)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert all(set(range(*span)) <= got.get(i, set()) for i, span in want.items())
+
+
 def test_chains_score_as_brute_force():
     rng = random.Random(5)
     for _ in range(60):
