@@ -123,6 +123,14 @@ def test_original_in_the_middle_of_its_copies(spark, make, prose, monkeypatch, d
     assert_exact(spark, make, {i: base if i == 60 else edited(rng, base, 0.018, prose) for i in range(120)})
 
 
+def test_short_near_copies(spark, make, prose):
+    texts = {}
+    for g in range(120):
+        words = prose(9000 + g, 20 + g % 4 * 10).split()
+        texts[2 * g], texts[2 * g + 1] = " ".join(words), " ".join([*words[:-1], "zzz"] if g % 2 else ["zzz", *words[1:]])
+    assert_exact(spark, make, texts)
+
+
 def test_keys_of_similar_sets_meet():
     import numpy as np
 
