@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: White space between words is exactly these ASCII characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
+#: Ids that are sent to all executors rather than joined in a shuffle.
+BROADCAST_ROWS = 1_000_000
+
 _local_root: str | None = None
 
 
@@ -70,6 +73,33 @@ def unwritten(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
+def among(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose ``doc_id`` is in the only column of ``ids``, or isn't (``left_anti``).
+
+    Few ids are sent to all executors, so that the rows' texts stay where they are;
+    ``BROADCAST_ROWS`` longs are some 20 MB. More are joined in a shuffle.
+    """
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == ids[ids.columns[0]], how)
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that have a doc_id, one for each.
+
+    Of rows that share one, the one with the least text stays (null first), of
+    equal texts the one with the least hash of its columns.
+    """
+    rows = docs.filter(F.col("doc_id").isNotNull())
+    again = written(rows.select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("again")), "repeated-ids")
+    if again.isEmpty():
+        unwritten(again)
+        return rows
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    packed = among(rows, again).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.struct("text", F.xxhash64(*hashed)).alias("_order"), F.col("doc_id").alias("_id"))
+    chosen = packed.groupBy("_id").agg(F.min_by("_row", "_order").alias("_row"))
+    return among(rows, again, "left_anti").unionByName(chosen.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
+
+
 def words_of(text: Column) -> Column:
     """Words as ``[^\\x20\\x09-\\x0D]+``; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")

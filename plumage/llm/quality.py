@@ -171,14 +171,16 @@ def judged(metrics: DataFrame, cuts: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` (columns ``text``, ``lang``, ``source``, any others) that pass.
 
-    Two scans: one for the sketches, one for the verdicts, so that texts are never
-    shuffled. Rows that repeat get the same verdict. An empty table stays empty.
+    The rows are written once with their metrics, so each text is measured once, and
+    texts are never shuffled. Null, empty and blank texts fail the base rules; a very
+    long text is measured whole; rows that repeat get the same verdict; null is a
+    language or source like any other; other columns go along, whatever their names.
+    An empty table stays empty.
     """
-    inner = docs.select("text", "lang", "source")
-    cuts = written(cutoffs(sketches(with_metrics(inner), ["lang", "source"])), "quality-cutoffs")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang", "source")
-    kept = judged(with_metrics(packed), cuts).filter("kept")
-    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    metrics = written(with_metrics(packed).drop("text"), "quality-metrics")
+    cuts = written(cutoffs(sketches(metrics, ["lang", "source"])), "quality-cutoffs")
+    return judged(metrics, cuts).filter("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_adaptive_quality(spark, sf_dir: str) -> DataFrame:

@@ -17,10 +17,10 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, unwritten, written
+from .common import among, documents, one_row_each, unwritten, written
 from .components import connected_components
 
 BITS = 64
@@ -36,8 +36,10 @@ COPY_SHINGLE = 5
 SIMILARITY = 0.8
 #: Shingles of a segment, on average.
 SEGMENT = 12
-#: Shingles counted as common come last in the order of keys: one document of so many is counted, and a count of so many is common.
-SAMPLED, COMMON, MOST_COMMON = 16, 8, 50_000
+#: Common shingles come last in the order of keys: those counted so often, and as many at most.
+COMMON, MOST_COMMON = 32, 500_000
+#: Hashes that a Python worker holds before it hands them on.
+CHUNK = 1_000_000
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -78,16 +80,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(batches, "doc_id long, fp long")
 
 
-def shingles_of(text: str | None, shingle: int) -> set:
-    """The distinct shingles of a text; a shorter text is one shingle."""
-    words = (text or "").encode("utf-8").lower().split()
-    if len(words) <= shingle:
-        return {tuple(words)}
-    return set(zip(*[words[i:] for i in range(shingle)], strict=False))
-
-
 def segments_of(text: str | None, shingle: int):
-    """``(digest, n, fp, segments)``: of the words, distinct shingles, whole text and its segments.
+    """``(digest, fp, segments, hashes)``: of the words, the whole text, its segments and distinct shingles.
 
     A segment starts where a shingle's hash says so, every ``SEGMENT`` shingles on
     average, and has a SimHash of its own. Of long texts, those segments represent
@@ -101,7 +95,7 @@ def segments_of(text: str | None, shingle: int):
     digest = xxh3_128_digest(b" ".join(words), 42)
     if len(words) <= shingle:
         whole = np.array([xxh64_intdigest(b" ".join(words), 42)], dtype="<u8")
-        return digest, 1, int(whole.view(np.int64)[0]), whole.view(np.int64)
+        return digest, int(whole.view(np.int64)[0]), whole.view(np.int64), whole
     grams = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
     hashes = np.fromiter((xxh64_intdigest(g, 42) for g in grams), dtype="<u8", count=len(words) - shingle + 1)
     starts = np.union1d([0], np.flatnonzero(hashes % np.uint64(SEGMENT) == 0))
@@ -117,7 +111,7 @@ def segments_of(text: str | None, shingle: int):
     chosen = (opening & np.uint64((1 << level) - 1)) == 0
     chosen[opening.argmin()] = True
     found = np.packbits(2 * ones[chosen] > length[chosen][:, None], axis=1, bitorder="little").view("<i8").ravel()
-    return digest, len(np.unique(hashes)), int(fp), np.unique(found)
+    return digest, int(fp), np.unique(found), np.unique(hashes)
 
 
 def hashes_of(text: str | None, shingle: int):
@@ -131,58 +125,95 @@ def hashes_of(text: str | None, shingle: int):
 
 
 def common_shingles(docs: DataFrame, shingle: int):
-    """Hashes of shingles that many documents of a sample have, rarest first.
+    """``(hashes, ranks)`` of common shingles, by hash; the rarest of them has rank 1.
 
     They only set the order of keys (:func:`keys_of`): any order finds every pair,
-    and this one keeps common lines out of the keys. The sample goes by the text's hash.
+    and this one keeps common lines out of the keys. All texts are counted, in
+    chunks of which shingles found fewer than three times are left out. A shingle
+    is common if its count is a share of ``1 / MOST_COMMON`` of all, so that many
+    are common at most.
     """
     import numpy as np
 
     def batches(source):
+        import numpy as np
         import pyarrow as pa
 
+        def counted(held):
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n > 2
+            total = pa.array([None, *h[often].view(np.int64).tolist()], pa.int64())
+            return pa.RecordBatch.from_arrays([total, pa.array([int(n.sum()), *n[often].tolist()], pa.int64())], ["h", "n"])
+
+        held, room = [], CHUNK
         for batch in source:
             for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes_of(text.as_py(), shingle).view(np.int64))], ["h"])
-
-    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).distinct()
-    counts = sample.mapInArrow(batches, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
-    rows = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
-    return np.array([r.h for r in rows[::-1]], dtype=np.int64).view(np.uint64)
+                held.append(hashes_of(text.as_py(), shingle))
+                room -= len(held[-1])
+                if room < 0:
+                    yield counted(held)
+                    held, room = [], CHUNK
+        if held:
+            yield counted(held)
+
+    counts = written(docs.select("text").mapInArrow(batches, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "shingle-counts")
+    total = counts.filter("h is null").first()  # the count of all shingles
+    rows = counts.filter(F.col("h").isNotNull() & (F.col("n") >= max(COMMON, total.n // MOST_COMMON + 1))).collect() if total else []  # MOST_COMMON rows at most
+    unwritten(counts)
+    h, n = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64), np.array([r.n for r in rows], dtype=np.int64)
+    ranks = np.empty(len(h), dtype=np.int64)
+    ranks[np.lexsort((h, n))] = np.arange(1, len(h) + 1)
+    order = np.argsort(h)
+    return h[order], ranks[order]
 
 
 def keys_of(hashes, common, least: float):
-    """``(keys, lead)``: of the sorted hashes, those that a similar text must share one of.
+    """``(keys, lead, rare)``: of the sorted hashes, those that a similar text must share one of.
 
     With the shingles of all texts in one order, two sets with a Jaccard similarity
     of ``least`` share one of the first ``n - ceil(least * n) + 1`` of each (prefix
-    filter); of the smaller set the first ``lead`` are enough.
+    filter); of the smaller set the first ``lead`` are enough. The first ``rare`` of
+    the keys aren't common.
     """
     import numpy as np
 
+    known, ranks = common
     n = len(hashes)
     rank = np.zeros(n, dtype=np.int64)
-    if len(common):
-        order = np.argsort(common)
-        at = np.minimum(np.searchsorted(common, hashes, sorter=order), len(common) - 1)
-        rank = np.where(common[order[at]] == hashes, order[at] + 1, 0)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, ranks[at], 0)
     first = lambda share: n - math.ceil(share * n - 1e-9) + 1
-    return hashes[np.argsort(rank, kind="stable")[: first(least)]].view(np.int64), first(2 * least / (1 + least))
+    chosen = np.argsort(rank, kind="stable")[: first(least)]
+    return hashes[chosen].view(np.int64), first(2 * least / (1 + least)), int((rank[chosen] == 0).sum())
 
 
-def sketches(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
-    """``(doc_id, digest, n, fp, segments)`` of every row, see :func:`segments_of`."""
+def sketches(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """A row for every one of ``docs``: digest, number of shingles, whole and segment fingerprints, keys."""
+    common = common_shingles(docs, shingle)
+    names = ["doc_id", "digest", "n", "fp", "segments", "keys", "lead", "rare"]
 
     def batches(source):
         import pyarrow as pa
 
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32()]
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
         for batch in source:
-            found = [segments_of(t.as_py(), shingle) for t in batch.column(1)]
-            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "digest", "n", "fp", "segments"])
+            out, room = [], CHUNK
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                digest, fp, segments, hashes = segments_of(text.as_py(), shingle)
+                keys, lead, rare = keys_of(hashes, common, least)
+                out.append((doc, digest, len(hashes), fp, segments, keys, lead, rare))
+                room -= len(keys) + 100
+                if room < 0:
+                    yield table(out)
+                    out, room = [], CHUNK
+            if out:
+                yield table(out)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(batches, "doc_id long, digest binary, n long, fp long, segments array<long>")
+    return rows.mapInArrow(batches, "doc_id long, digest binary, n long, fp long, segments array<long>, keys array<long>, lead int, rare int")
 
 
 def bit_counts(classes: DataFrame):
@@ -338,121 +369,146 @@ def op4_simhash_components(spark, sf_dir: str) -> DataFrame:
 def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """``(doc_id, component_id)``: groups of texts whose shingles have a Jaccard similarity of ``least``.
 
-    A fingerprint of a whole text moves by about ten bits where a tenth of its
+    ``doc_id`` must be unique and not null (:func:`deduplicated` sees to that). A
+    fingerprint of a whole text moves by about ten bits where a tenth of its
     shingles change, which no cut into parts can probe for. Besides the probes of
     whole fingerprints, texts therefore meet through equal fingerprints of segments,
     which are cut where the content says so: a fiftieth of the words may change and
-    most short segments stay. Every pair that meets is verified on its whole texts.
-
-    Texts meet the first document of their segment and length class, so pairs grow
-    with the segments, however many texts share one. Length classes overlap, so two
-    texts of similar length have one in common. That links most; then all other
-    pairs that can be similar meet, see :func:`open_pairs`, so none is missed. Rows
-    with one doc_id are one document; those without have none here. Texts of the
-    same words are copies, null and blank ones of each other. An empty table gives
-    no rows.
+    most short segments stay. Every pair that meets is verified on all its shingles.
+
+    Of a segment and length class, texts meet the first one and the one that shares
+    most segments with others (of copies edited apart, that is their original), so
+    pairs grow with the segments, however many texts share one. That links most;
+    then all other pairs that can be similar meet, see :func:`open_pairs`, so none
+    is missed. Texts of the same words are copies, null and blank ones of each
+    other. An empty table gives no rows.
     """
-    marks = written(sketches(docs, shingle), "sketches")
-    spread = marks.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("segments").alias("segments"))
-    classes = written(spread, "text-classes")
-    prints = written(classes.groupBy("fp").agg(F.min("rep").alias("first")), "classes")
+    marks = written(sketches(docs, shingle, least), "sketches")
+    reps = written(marks.groupBy("digest").agg(F.min("doc_id").alias("rep")), "text-classes")
+    classes = written(marks.join(reps.select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "n", "fp", "segments"), "classes")
+    prints = written(classes.groupBy("fp").agg(F.min("rep").alias("first")), "prints")
     if prints.isEmpty():
         return marks.select("doc_id", F.col("doc_id").alias("component_id"))
-    step = F.log(F.greatest(F.col("n"), F.lit(1))) / (2.1 * math.log(1 / least) + 1e-9)  # half a step is wider than the ratio of two sizes can be
-    sizes = F.explode(F.array(F.floor(step) * 2, F.floor(step + 0.5) * 2 + 1))
-    met = classes.select("rep", "n", F.explode("segments").alias("segment")).select("rep", "n", "segment", sizes.alias("size"))
-    owners = met.groupBy("segment", "size").agg(F.min(F.struct("rep", "n")).alias("o"), F.max("rep").alias("last")).filter("o.rep < last")
-    shared = met.join(owners, ["segment", "size"]).filter((F.col("rep") != F.col("o.rep")) & (F.least("n", "o.n") >= least * F.greatest("n", "o.n"))).select(F.col("rep").alias("a"), F.col("o.rep").alias("b"))
     found = links(prints, plan_parts(prints))
     first = prints.select(F.col("fp").alias("_fp"), "first")
     linked = found.join(first, F.col("a") == F.col("_fp")).select(F.col("first").alias("a"), "b").join(first, F.col("b") == F.col("_fp")).select("a", F.col("first").alias("b"))
     alike = classes.join(prints, "fp").filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    pairs = shared.unionByName(linked).unionByName(alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    pairs = written(pairs.distinct(), "candidates")
-    near = verified(docs, pairs, shingle, least)
+    pairs = segment_pairs(classes, least).unionByName(linked).unionByName(alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    near = verified(docs, plausible(marks, pairs.distinct(), least), shingle, least)
     early = connected_components(near)
-    rest = written(open_pairs(docs, classes, early, shingle, least), "open-pairs")
-    labels = connected_components(near.unionByName(verified(docs, rest, shingle, least)))
-    unwritten(rest)
-    unwritten(early)
-    placed = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
-    placed = written(placed, "components")
-    unwritten(pairs)
-    unwritten(labels)
-    return marks.join(placed, "digest").select("doc_id", "component_id")
+    rest = verified(docs, plausible(marks, open_pairs(marks, classes, early, least), least), shingle, least)
+    labels = connected_components(near.unionByName(rest))
+    rooted = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
+    placed = written(rooted, "components")
+    for table in (classes, prints, near, rest, early, labels):
+        unwritten(table)
+    return marks.select("doc_id", "digest").join(placed, "digest").select("doc_id", "component_id")
+
+
+def segment_pairs(classes: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)`` of texts that share a segment: each with two texts of its segment and length class."""
+    own = classes.select("rep", "n", F.explode("segments").alias("segment"))
+    shared = own.groupBy("segment").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("segment")
+    met = written(own.join(shared, "segment"), "segments")
+    central = met.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+    # half a step is wider than the ratio of two sizes can be, so two similar sizes have a class in common
+    step = F.log(F.greatest(F.col("n"), F.lit(1))) / (2.1 * math.log(1 / least) + 1e-9)
+    sizes = F.explode(F.array(F.floor(step) * 2, F.floor(step + 0.5) * 2 + 1))
+    met = met.join(central, "rep").select("rep", "n", "segment", "shared", sizes.alias("size"))
+    one = F.struct("rep", "n")
+    owners = met.groupBy("segment", "size").agg(F.min(one).alias("o"), F.max_by(one, F.struct("shared", -F.col("rep"))).alias("c"), F.max("rep").alias("last")).filter("o.rep < last").drop("last")
+    both = met.join(owners, ["segment", "size"]).select("rep", "n", F.explode(F.array("o", "c")).alias("o"))
+    return both.filter((F.col("rep") != F.col("o.rep")) & (F.least("n", "o.n") >= least * F.greatest("n", "o.n"))).select(F.col("rep").alias("a"), F.col("o.rep").alias("b"))
+
 
+def plausible(marks: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Those pairs ``(a, b)`` whose keys allow the similarity; none that has it is lost.
 
-def open_pairs(docs: DataFrame, classes: DataFrame, labels: DataFrame, shingle: int, least: float) -> DataFrame:
+    Two sets with ``o`` elements in common have ``l`` of them among their first
+    ``n - o + l`` each, in the common order.
+    """
+    side = lambda x: marks.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("keys").alias(f"k_{x}"))
+    met = written(pairs, "candidates")
+    rows = met.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
+    rows = rows.withColumn("_o", F.ceil((F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9).cast("int"))
+    rows = rows.withColumn("_l", F.least(*[F.size(f"k_{x}") - F.col(f"n_{x}").cast("int") + F.col("_o") for x in "ab"]))
+    prefix = lambda x: F.slice(f"k_{x}", F.lit(1), F.greatest(F.col(f"n_{x}").cast("int") - F.col("_o") + F.col("_l"), F.lit(0)))
+    out = written(rows.filter(F.size(F.array_intersect(prefix("a"), prefix("b"))) >= F.col("_l")).select("a", "b"), "plausible")
+    unwritten(met)
+    return out
+
+
+def open_pairs(marks: DataFrame, classes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """Every pair ``(a, b)`` of texts in different groups that can be similar enough.
 
     Similar texts share a key (:func:`keys_of`). Keys whose texts are of one group
     are done. Of others, all texts meet that aren't in one group: those outside the
-    key's largest group, in blocks of ``DENSE``, with all.
+    key's largest group, in blocks of ``DENSE``, with all. Keys that aren't common
+    have few texts each and are looked at in one shuffle; a common one may have very
+    many, so those are summed up before the shuffle and joined again.
     """
-    common = common_shingles(docs, shingle)
-
-    def batches(source):
-        import pyarrow as pa
-
-        for batch in source:
-            found = [keys_of(hashes_of(t.as_py(), shingle), common, least) for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([f[1] for f in found], pa.int64()), pa.array([f[0] for f in found], pa.list_(pa.int64()))], ["rep", "n", "label", "lead", "keys"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    named = classes.select("rep", "n").filter("n > 1").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    rows = named.join(texts, F.col("rep") == F.col("doc_id")).select("rep", "n", "label", "text")
-    keyed = written(rows.mapInArrow(batches, "rep long, n long, label long, lead long, keys array<long>"), "keys")
-    keys = keyed.select("rep", "n", "label", "lead", F.posexplode("keys").alias("at", "key")).select("key", "rep", "n", "label", (F.col("at") < F.col("lead")).alias("lead"))
-    mixed = keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("lead").alias("led")).filter("lo < hi and led").select("key")
-    held = written(keys.join(mixed, "key"), "open-keys")
+    named = classes.select("rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
+    keyed = marks.filter("n > 1").join(named, F.col("doc_id") == F.col("rep")).select("rep", "n", "label", "lead", "rare", F.posexplode("keys").alias("at", "key"))
+    keys = keyed.select("key", "rep", "n", "label", "at", (F.col("at") < F.col("lead")).alias("lead"), (F.col("at") < F.col("rare")).alias("rare"))
+    of_key = Window.partitionBy("key")
+    few = keys.filter("rare").withColumns({"lo": F.min("label").over(of_key), "hi": F.max("label").over(of_key), "led": F.max("lead").over(of_key)}).filter("lo < hi and led")
+    many = keys.filter("not rare")
+    mixed = many.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("lead").alias("led")).filter("lo < hi and led").select("key")
+    columns = ["key", "rep", "n", "label", "at"]
+    held = written(few.select(*columns).unionByName(many.join(mixed, "key").select(*columns)), "open-keys")
     sizes = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
     sizes = written(sizes.select("key", "main", F.ceil(F.col("others") / DENSE).alias("blocks")), "open-sizes")
     cut = held.join(sizes, "key")
-    one = cut.filter("label <> main").select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "label", "lead")])
-    two = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "label", "lead")])
-    enough = (F.least("n1", "n2") >= least * F.greatest("n1", "n2")) & ((F.col("lead1") & (F.col("n1") <= F.col("n2"))) | (F.col("lead2") & (F.col("n2") <= F.col("n1"))))
+    one = cut.filter("label <> main").select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), *[F.col(c).alias(f"{c}1") for c in columns[1:]])
+    two = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}2") for c in columns[1:]])
+    needed = F.ceil((F.col("n1") + F.col("n2")) * (least / (1 + least)) - 1e-9)
+    enough = (F.col("n1") - F.col("at1") >= needed) & (F.col("n2") - F.col("at2") >= needed)  # so it is for the first key that two similar texts share
     met = one.join(two, ["key", "block"]).filter((F.col("label1") != F.col("label2")) & enough)
     return met.select(F.greatest("rep1", "rep2").alias("a"), F.least("rep1", "rep2").alias("b")).distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those pairs ``(a, b)`` of documents whose texts' shingles are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").dropDuplicates(["doc_id"]), "candidate-texts")
-    own = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one"))
-    other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("two"))
-    both = pairs.join(own, "a").join(other, "b").select("a", "b", "one", "two")
+    """Those pairs ``(a, b)`` of documents whose texts' shingles are similar enough.
+
+    The shingles of every document in a pair are hashed once (XXH64); the pairs
+    are then compared in joins of those arrays, without Python and texts.
+    """
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "wanted")
 
     def batches(source):
         import pyarrow as pa
 
-        last, second = None, set()
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["doc_id", "h"])
         for batch in source:
-            out = []
-            for i in range(batch.num_rows):  # one pair of texts at a time
-                a, b, one, two = (c[i].as_py() for c in batch.columns)
-                if b != last:
-                    last, second = b, shingles_of(two, shingle)
-                first = shingles_of(one, shingle)
-                same = len(first & second)
-                if same >= least * (len(first) + len(second) - same):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return written(both.mapInArrow(batches, "a long, b long"), "verified")
+            out, room = [], CHUNK
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out.append((doc, hashes_of(text.as_py(), shingle).view("int64")))
+                room -= len(out[-1][1])
+                if room < 0:
+                    yield table(out)
+                    out, room = [], CHUNK
+            if out:
+                yield table(out)
+
+    texts = among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted)
+    hashed = written(texts.mapInArrow(batches, "doc_id long, h array<long>"), "candidate-shingles")
+    rows = pairs.join(hashed.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").join(hashed.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
+    rows = rows.select("a", "b", (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("same"))
+    out = written(rows.filter(F.col("same") >= least * (F.col("n") - F.col("same"))).select("a", "b"), "verified")
+    for table in (hashed, wanted, pairs):
+        unwritten(table)
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies (:func:`near_copies`): that of the smallest doc_id.
 
-    ``doc_id`` names a document: rows that repeat it are one document, of which one
-    row stays. Rows without a doc_id stay, as they can't be named.
+    ``doc_id`` names a document: of rows that repeat it one stays, see
+    :func:`one_row_each`. Rows without a doc_id stay, as they can't be named. Null
+    and blank texts are copies of each other; other columns go along, whatever their
+    names; an empty table stays empty.
     """
-    found = near_copies(docs.filter("doc_id is not null"))
-    found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("_rows"))
-    keep = written(found.filter("doc_id = component_id").select("doc_id", "_rows"), "kept")
-    repeated = not keep.filter("_rows > 1").isEmpty()
-    out = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
-    if repeated:
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = one_row_each(docs)
+    found = near_copies(named)
+    gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "near-copies")
+    return among(named, gone, "left_anti").unionByName(docs.filter("doc_id is null"))
