@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 #: Ids that are sent to all executors rather than joined in a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 _local_root: str | None = None
 
@@ -77,7 +77,7 @@ def among(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows whose ``doc_id`` is in the only column of ``ids``, or isn't (``left_anti``).
 
     Few ids are sent to all executors, so that the rows' texts stay where they are;
-    ``BROADCAST_ROWS`` longs are some 20 MB. More are joined in a shuffle.
+    ``BROADCAST_ROWS`` longs are below 20 MB. More are joined in a shuffle.
     """
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == ids[ids.columns[0]], how)

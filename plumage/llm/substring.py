@@ -2,8 +2,9 @@
 
 1. Seeds: every document's 8-word k-mers are winnowed (the least hash of each 16
    neighbours), so two texts that share 23 words in a row share a seed.
-2. Join: every seed is matched with the first document that has it. Matches grow
-   with the seeds, however many documents share one.
+2. Join: every seed is matched with the first document that has it, and seeds that
+   no passage covers then with the last one before theirs. Matches grow with the
+   seeds, however many documents share one.
 3. Chain: matches of a document with one earlier document are chained in order in
    both, with gap costs, through a Fenwick tree of prefix maxima.
 4. Align: the words between and around a chain's seeds are compared, chains with
@@ -11,7 +12,8 @@
    words whose 5-word shingles have a Jaccard similarity of 0.8 or more remain.
 5. Complete: windows of 50 words around matched seeds that no passage covers are
    matched with the first document that has the whole window, so that no exact run
-   of 50 words is lost where the first documents of its seeds have parts of it.
+   of 50 words is lost where the documents of its seeds have parts of it. As few of
+   these runs are taken as cover all their words.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, documents, unwritten, words_of, written
+from .common import BROADCAST_ROWS, SPACE_CLASS, among, documents, one_row_each, unwritten, words_of, written
 
 K = 8
 WINNOW = 16
@@ -33,8 +35,8 @@ GAP_COST = 0.05
 #: Words around a chain that alignment may extend it by; slices are cut at multiples.
 MARGIN = 32
 GRID = 64
-#: Wider gaps (in pairs of words) are not aligned but counted as unequal.
-ALIGN_CELLS = 40_000
+#: Holders of a seed that are put in order by one task.
+HOLDERS = 4_096
 
 SPAN_SCHEMA = "doc_id long, start_word int, end_word int, src_doc_id long, src_start_word int, src_end_word int, n_matched int, similarity double"
 CHAIN_SCHEMA = "doc long, src long, lo int, hi int, slo int, shi int, at array<int>, sat array<int>"
@@ -116,16 +118,36 @@ def seeds(docs: DataFrame) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "doc", "pos", "first", "words"])
 
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(batches, "h long, doc long, pos int, first boolean, words int")
 
 
 def matches(found: DataFrame) -> DataFrame:
     """Seeds matched with the first document that has them: ``(doc, src, pos, spos, h, words)``."""
     owners = found.filter("first").groupBy("h").agg(F.min("doc").alias("src"), F.min_by("pos", "doc").alias("spos"), F.max("doc").alias("last")).filter("src < last").select("h", "src", "spos")
+    owners = written(owners, "seed-owners")  # apart from the join, of which Spark can split a seed that very many documents have
     return found.join(owners, "h").filter("doc <> src").select("doc", "src", "pos", "spos", "h", "words")
 
 
+def nearest_matches(found: DataFrame, left: DataFrame) -> DataFrame:
+    """Seeds ``left(h)`` matched with the last document before theirs that has them: ``(doc, src, pos, spos, words)``.
+
+    The documents that hold a seed are put in order in blocks of ids, and the first
+    of a block follows the last of the block before it, so no task has to sort all
+    holders of a frequent seed.
+    """
+    holders = written(found.filter("first").join(left, "h").select("h", "doc", "pos", "words"), "open-holders")
+    span = holders.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("n > 1")
+    share = (F.col("doc") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1.0)
+    placed = written(holders.join(written(span, "open-spans"), "h").select("h", F.floor(share * F.ceil(F.col("n") / HOLDERS)).alias("block"), "doc", "pos", "words"), "open-blocks")
+    at = F.struct("doc", "pos")
+    before = F.lag("last").over(Window.partitionBy("h").orderBy("block"))
+    ends = placed.groupBy("h", "block").agg(F.max(at).alias("last")).select("h", "block", before.alias("before"))
+    ordered = placed.withColumn("near", F.lag(at).over(Window.partitionBy("h", "block").orderBy("doc")))
+    near = ordered.join(ends, ["h", "block"]).select("doc", "pos", "words", F.coalesce("near", "before").alias("near")).filter("near is not null")
+    return near.select("doc", F.col("near.doc").alias("src"), "pos", F.col("near.pos").alias("spos"), "words")
+
+
 def chain(pos, spos) -> list[list[int]]:
     """Collinear chains of matches sorted by ``pos``; lists of indexes, best chains first.
 
@@ -210,13 +232,16 @@ def chains(found: DataFrame) -> DataFrame:
 
 
 def lcs(a: list, b: list) -> int:
-    """Words that the best alignment of two short gaps has in common."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Words that the best alignment of two gaps has in common; a bit for each word of ``a``."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole  # a zero where the longest alignment grows
+    for y in b:
+        same = row & places.get(y, 0)
+        row = (row + same | row - same) & whole
+    return len(a) - row.bit_count()
 
 
 def similarity(a: list, b: list) -> float:
@@ -248,7 +273,7 @@ def aligned(a: list, b: list, at: list[int], bat: list[int]) -> list[tuple[int,
         while p < at[i + 1] and s < bat[i + 1] and a[p] == b[s]:
             p, s = p + 1, s + 1
         gap, other = max(0, at[i + 1] - p), max(0, bat[i + 1] - s)
-        common = lcs(a[p : p + gap], b[s : s + other]) if gap * other <= ALIGN_CELLS else 0
+        common = lcs(a[p : p + gap], b[s : s + other])
         unequal.append(max(gap, other) - common)
     found = similarity(a[lo:hi], b[slo:shi])
     if found >= SIMILARITY:
@@ -264,37 +289,47 @@ def passages(docs: DataFrame) -> DataFrame:
 
     One row a passage, see :data:`SPAN_SCHEMA`; places count white-space words from
     0, ends are exclusive. Documents that share nothing have no row. ``doc_id`` names
-    a document; repeated rows count once, and rows without one, null texts and texts
-    below 50 words take no part.
+    a document; of rows that repeat it one counts (:func:`one_row_each`), and rows
+    without one, null texts and texts below 50 words take no part. Very long texts
+    are compared whole. An empty table gives no rows.
     """
+    docs = one_row_each(docs).select("doc_id", "text")
     found = written(seeds(docs), "seeds")
     met = written(matches(found), "matches")
-    linked = written(chains(met), "chains")
-    first = written(alignments(docs, linked), "first-passages")
-    unwritten(linked)
-    runs = written(window_chains(docs, found, met, first), "window-chains")
-    unwritten(found)
-    unwritten(met)
-    both = first.withColumn("later", F.lit(False)).unionByName(alignments(docs, runs).withColumn("later", F.lit(True)))
-    # a later one says nothing new within another passage of its document
-    before = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"), "later", "src_doc_id", "src_start_word").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("reach", F.max("end_word").over(before)).filter("not later or reach is null or reach < end_word").drop("later", "reach")
-
-
-def window_chains(docs: DataFrame, found: DataFrame, met: DataFrame, spans: DataFrame) -> DataFrame:
-    """Exact runs of at least ``MIN_WORDS`` words of an earlier document outside ``spans``, as chains.
-
-    The first documents of a run's seeds may be several that each have less of it.
-    So where a matched seed is in a window of 50 words that no span covers, the
-    windows around it and the equal seeds of other documents are matched with the
-    first document that has the whole window. Other seeds take no part, and windows
-    need all their seeds, so common lines below 50 words bring in few.
-    """
+    first = written(alignments(docs, written(chains(met), "chains")), "first-passages")
+    near = uncovered(nearest_matches(found, open_seeds(met, first)), first)
+    second = written(alignments(docs, written(chains(near), "near-chains")), "second-passages")
+    both = first.unionByName(second)
+    runs = window_runs(docs, found, open_seeds(met, both), both)
+    out = written(first.unionByName(covering(first, second.unionByName(runs))), "passages")
+    for table in (found, met, first, second):
+        unwritten(table)
+    return out
+
+
+def uncovered(met: DataFrame, spans: DataFrame) -> DataFrame:
+    """Seeds of ``met`` around which no span of their document covers every window of ``MIN_WORDS`` words."""
     covered = spans.select(F.col("doc_id").alias("_doc"), "start_word", "end_word")
-    inside = (F.col("doc") == F.col("_doc")) & (F.col("start_word") <= F.col("pos")) & (F.col("pos") + MIN_WORDS <= F.col("end_word"))
     around = (F.col("doc") == F.col("_doc")) & (F.col("start_word") <= F.greatest(F.col("pos") + K - MIN_WORDS, F.lit(0))) & (F.least(F.col("pos") + MIN_WORDS, "words") <= F.col("end_word"))
-    left = written(met.join(covered, around, "left_anti").select("h").distinct(), "open-seeds")
+    return met.join(covered, around, "left_anti")
+
+
+def open_seeds(met: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(h)``: seeds that are uncovered where they have a match."""
+    return written(uncovered(met, spans).select("h").distinct(), "open-seeds")
+
+
+def window_runs(docs: DataFrame, found: DataFrame, left: DataFrame, spans: DataFrame) -> DataFrame:
+    """Exact runs of at least ``MIN_WORDS`` words of an earlier document outside ``spans``.
+
+    The documents of a run's seeds may be several that each have less of it. So
+    where a matched seed is in a window of 50 words that no span covers, the windows
+    around it and the equal seeds of other documents are matched with the first
+    document that has the whole window. Other seeds take no part, and windows need
+    all their seeds, so common lines below 50 words bring in few.
+    """
     marks = found.join(left, "h").groupBy("doc").agg(F.collect_set("pos").alias("marks")).filter(F.size("marks") > 1)  # at most the seeds of one text
+    marks = written(marks, "window-seeds")
 
     def batches(source):
         import numpy as np
@@ -306,15 +341,71 @@ def window_chains(docs: DataFrame, found: DataFrame, met: DataFrame, spans: Data
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(at), doc.as_py(), dtype=np.int64)), pa.array(at.astype(np.int32))], ["w", "doc", "pos"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "marks")
+    texts = among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), marks.select(F.col("doc").alias("marked"))).join(marks, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "marks")
     windows = written(texts.mapInArrow(batches, "w long, doc long, pos int"), "windows")
     owners = windows.groupBy("w").agg(F.min(F.struct("doc", "pos")).alias("o"), F.max("doc").alias("last")).filter("o.doc < last").select("w", F.col("o.doc").alias("src"), F.col("o.pos").alias("spos"))
-    same = windows.join(owners, "w").filter("doc <> src").select("doc", "src", "pos", "spos").join(covered, inside, "left_anti").distinct()
+    owners = written(owners, "window-owners")
+    covered = spans.select(F.col("doc_id").alias("_doc"), "start_word", "end_word")
+    inside = (F.col("doc") == F.col("_doc")) & (F.col("start_word") <= F.col("pos")) & (F.col("pos") + MIN_WORDS <= F.col("end_word"))
+    same = windows.join(owners, "w").filter("doc <> src").select("doc", "src", "pos", "spos").join(covered, inside, "left_anti")
     # windows at one distance follow each other where place less rank is the same
     line = Window.partitionBy("doc", "src", F.col("pos") - F.col("spos")).orderBy("pos")
-    runs = same.withColumn("run", F.col("pos") - F.row_number().over(line)).groupBy("doc", "src", (F.col("pos") - F.col("spos")).alias("apart"), "run").agg(F.min("pos").alias("lo"), (F.max("pos") + MIN_WORDS).alias("hi"))
-    runs = runs.withColumns({"slo": F.col("lo") - F.col("apart"), "shi": F.col("hi") - F.col("apart")})
-    return runs.select("doc", "src", "lo", "hi", "slo", "shi", F.array("lo", F.col("hi") - K).alias("at"), F.array("slo", F.col("shi") - K).alias("sat"))
+    runs = same.withColumn("run", F.col("pos") - F.row_number().over(line)).groupBy("doc", "src", (F.col("pos") - F.col("spos")).alias("apart"), "run").agg(F.min("pos").alias("start_word"), (F.max("pos") + MIN_WORDS).alias("end_word"))
+    length = F.col("end_word") - F.col("start_word")
+    return runs.select(F.col("doc").alias("doc_id"), "start_word", "end_word", F.col("src").alias("src_doc_id"), (F.col("start_word") - F.col("apart")).alias("src_start_word"), (F.col("end_word") - F.col("apart")).alias("src_end_word"), length.alias("n_matched"), F.lit(1.0).alias("similarity"))
+
+
+def least_cover(fixed: list[tuple[int, int]], runs: list[tuple[int, int]]) -> list[int]:
+    """Indexes of as few of the ``runs`` as, with the ``fixed`` spans, cover the words of all; both are sorted."""
+    chosen, reach, i, f = [], 0, 0, 0
+    while i < len(runs):
+        reach = max(reach, runs[i][0])
+        while f < len(fixed) and fixed[f][0] <= reach:
+            reach, f = max(reach, fixed[f][1]), f + 1
+        best = -1
+        while i < len(runs) and runs[i][0] <= reach:
+            if runs[i][1] > reach and (best < 0 or runs[i][1] > runs[best][1]):
+                best = i
+            i += 1
+        if best >= 0:
+            chosen.append(best)
+            reach = runs[best][1]
+    return chosen
+
+
+def covering(spans: DataFrame, more: DataFrame) -> DataFrame:
+    """As few of ``more`` as, with the ``spans`` of a document, cover all words that they do."""
+    rows = spans.withColumn("fixed", F.lit(True)).unionByName(more.withColumn("fixed", F.lit(False)))
+
+    def batches(source):
+        import numpy as np
+        import pyarrow as pa
+
+        def chosen(table):
+            doc, start, end = (table.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            fixed = table.column(len(SPAN_NAMES)).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(doc)) + 1
+            of = lambda at: list(zip(start[at].tolist(), end[at].tolist(), strict=True))
+            keep = []
+            for lo, hi in zip([0, *edges], [*edges, len(doc)], strict=True):
+                at = np.arange(lo, hi)
+                free = at[~fixed[lo:hi]]
+                keep += free[least_cover(of(at[fixed[lo:hi]]), of(free))].tolist()
+            return table.take(pa.array(keep, pa.int64())).select(SPAN_NAMES)
+
+        held = None
+        for batch in source:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            ids = held.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(ids, ids[-1], side="left")) if len(ids) else 0
+            if cut:  # the last document may go on in the next batch; its runs are no more than its words
+                yield chosen(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield chosen(held)
+
+    order = ["start_word", "end_word", "src_doc_id", "src_start_word"]
+    return rows.select(*SPAN_NAMES, "fixed").repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(batches, SPAN_SCHEMA)
 
 
 def alignments(docs: DataFrame, linked: DataFrame) -> DataFrame:
@@ -323,9 +414,11 @@ def alignments(docs: DataFrame, linked: DataFrame) -> DataFrame:
     up = lambda c: F.ceil((F.col(c) + MARGIN) / GRID).cast("int") * GRID
     linked = linked.withColumns({"qlo": down("lo"), "qhi": up("hi"), "qslo": down("slo"), "qshi": up("shi")})
     wanted = linked.select(F.col("doc").alias("doc_id"), F.col("qlo").alias("from"), F.col("qhi").alias("to")).unionByName(linked.select(F.col("src").alias("doc_id"), F.col("qslo").alias("from"), F.col("qshi").alias("to"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    wanted = written(wanted, "wanted-slices")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then texts stay where they are
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
     cut = F.array_join(F.slice(words_of(F.col("text")), F.col("from") + 1, F.col("to") - F.col("from")), " ")
-    slices = written(texts.select("doc_id", "from", "to", cut.alias("words")).dropDuplicates(["doc_id", "from", "to"]), "slices")
+    slices = written(texts.select("doc_id", "from", "to", cut.alias("words")), "slices")
     own = slices.select(F.col("doc_id").alias("doc"), F.col("from").alias("qlo"), F.col("to").alias("qhi"), F.col("words").alias("a"))
     other = slices.select(F.col("doc_id").alias("src"), F.col("from").alias("qslo"), F.col("to").alias("qshi"), F.col("words").alias("b"))
     pairs = linked.join(own, ["doc", "qlo", "qhi"]).join(other, ["src", "qslo", "qshi"]).select("doc", "src", "qlo", "qslo", "at", "sat", "a", "b")
@@ -355,9 +448,12 @@ def without_passages(docs: DataFrame) -> DataFrame:
     """``docs`` without the passages that an earlier document has too.
 
     Words inside a passage go, with the white space before them; ``n_chars``, if
-    there, is counted anew. Documents of which nothing is left go. Others, those
-    without a doc_id among them, stay as they are.
+    there, is counted anew. Documents of which nothing is left go. Of rows that
+    repeat a doc_id one stays (:func:`one_row_each`); rows without one, null, empty
+    and short texts stay as they are, and other columns go along, whatever their
+    names. An empty table stays empty.
     """
+    unnamed, docs = docs.filter("doc_id is null"), one_row_each(docs)
     spans = passages(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))  # at most the seeds of one text
     spans = written(spans, "spans")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"))
@@ -374,7 +470,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
         elif c == "n_chars":
             kept = F.when(F.col("_left").isNull(), kept).otherwise(F.length("_left").cast(docs.schema[c].dataType))
         out.append(kept.alias(c))
-    return joined.select(*out)
+    return joined.select(*out).unionByName(unnamed)
 
 
 def op7_shared_passages(spark, sf_dir: str) -> DataFrame:
