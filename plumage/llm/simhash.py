@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among, documents, one_row_each, unwritten, written
+from .common import BROADCAST_ROWS, among, documents, one_row_each, unwritten, written
 from .components import connected_components
 
 BITS = 64
@@ -37,7 +37,11 @@ SIMILARITY = 0.8
 #: Shingles of a segment, on average.
 SEGMENT = 12
 #: Common shingles come last in the order of keys: those counted so often, and as many at most.
-COMMON, MOST_COMMON = 32, 500_000
+COMMON, MOST_COMMON = 32, 2_000_000
+#: Shingles are counted whose hash is in the first 90 of 256 parts; keys are the lowest fifth of a text.
+COUNTED = 90
+#: Bits of a text's parities, eight longs.
+PARITIES = 512
 #: Hashes that a Python worker holds before it hands them on.
 CHUNK = 1_000_000
 
@@ -128,10 +132,9 @@ def common_shingles(docs: DataFrame, shingle: int):
     """``(hashes, ranks)`` of common shingles, by hash; the rarest of them has rank 1.
 
     They only set the order of keys (:func:`keys_of`): any order finds every pair,
-    and this one keeps common lines out of the keys. All texts are counted, in
-    chunks of which shingles found fewer than three times are left out. A shingle
-    is common if its count is a share of ``1 / MOST_COMMON`` of all, so that many
-    are common at most.
+    and this one keeps shared passages out of the keys. Keys have low hashes, so
+    shingles of low hash are counted, in all texts. Those found ``COMMON`` times are
+    common, or so often that ``MOST_COMMON`` of them are at most.
     """
     import numpy as np
 
@@ -141,14 +144,13 @@ def common_shingles(docs: DataFrame, shingle: int):
 
         def counted(held):
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n > 2
-            total = pa.array([None, *h[often].view(np.int64).tolist()], pa.int64())
-            return pa.RecordBatch.from_arrays([total, pa.array([int(n.sum()), *n[often].tolist()], pa.int64())], ["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
         held, room = [], CHUNK
         for batch in source:
             for text in batch.column(0):
-                held.append(hashes_of(text.as_py(), shingle))
+                h = hashes_of(text.as_py(), shingle)
+                held.append(h[: np.searchsorted(h, np.uint64(COUNTED << 56))])
                 room -= len(held[-1])
                 if room < 0:
                     yield counted(held)
@@ -156,11 +158,13 @@ def common_shingles(docs: DataFrame, shingle: int):
         if held:
             yield counted(held)
 
-    counts = written(docs.select("text").mapInArrow(batches, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "shingle-counts")
-    total = counts.filter("h is null").first()  # the count of all shingles
-    rows = counts.filter(F.col("h").isNotNull() & (F.col("n") >= max(COMMON, total.n // MOST_COMMON + 1))).collect() if total else []  # MOST_COMMON rows at most
+    counts = docs.select("text").mapInArrow(batches, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = written(counts.filter(F.col("n") >= COMMON), "shingle-counts")
+    size = counts.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).first()
+    often = COMMON if size.rows <= MOST_COMMON else size.total // MOST_COMMON + 1
+    rows = counts.filter(F.col("n") >= often).toArrow()  # MOST_COMMON rows at most
     unwritten(counts)
-    h, n = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64), np.array([r.n for r in rows], dtype=np.int64)
+    h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     ranks = np.empty(len(h), dtype=np.int64)
     ranks[np.lexsort((h, n))] = np.arange(1, len(h) + 1)
     order = np.argsort(h)
@@ -188,15 +192,26 @@ def keys_of(hashes, common, least: float):
     return hashes[chosen].view(np.int64), first(2 * least / (1 + least)), int((rank[chosen] == 0).sum())
 
 
+def parities(hashes):
+    """``PARITIES`` bits as longs: whether an even or odd number of the hashes falls on each.
+
+    Two sets differ in at least as many elements as their bits do.
+    """
+    import numpy as np
+
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def sketches(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """A row for every one of ``docs``: digest, number of shingles, whole and segment fingerprints, keys."""
+    """A row for every one of ``docs``: digest, number of shingles, whole and segment fingerprints, keys, parities."""
     common = common_shingles(docs, shingle)
-    names = ["doc_id", "digest", "n", "fp", "segments", "keys", "lead", "rare"]
+    names = ["doc_id", "digest", "n", "fp", "segments", "keys", "lead", "rare", "odd"]
 
     def batches(source):
         import pyarrow as pa
 
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32()]
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64())]
         table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
         for batch in source:
@@ -204,7 +219,7 @@ def sketches(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIMILA
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 digest, fp, segments, hashes = segments_of(text.as_py(), shingle)
                 keys, lead, rare = keys_of(hashes, common, least)
-                out.append((doc, digest, len(hashes), fp, segments, keys, lead, rare))
+                out.append((doc, digest, len(hashes), fp, segments, keys, lead, rare, parities(hashes)))
                 room -= len(keys) + 100
                 if room < 0:
                     yield table(out)
@@ -213,7 +228,7 @@ def sketches(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIMILA
                 yield table(out)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(batches, "doc_id long, digest binary, n long, fp long, segments array<long>, keys array<long>, lead int, rare int")
+    return rows.mapInArrow(batches, "doc_id long, digest binary, n long, fp long, segments array<long>, keys array<long>, lead int, rare int, odd array<long>")
 
 
 def bit_counts(classes: DataFrame):
@@ -422,19 +437,27 @@ def segment_pairs(classes: DataFrame, least: float) -> DataFrame:
 
 
 def plausible(marks: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Those pairs ``(a, b)`` whose keys allow the similarity; none that has it is lost.
+    """Those pairs ``(a, b)`` whose sketches allow the similarity; none that has it is lost.
 
-    Two sets with ``o`` elements in common have ``l`` of them among their first
-    ``n - o + l`` each, in the common order.
+    First the parities must not differ in more elements than the similarity allows,
+    which few and short rows tell. Then the keys: two sets with ``o`` elements in
+    common have ``l`` of them among their first ``n - o + l`` each, in the common order.
     """
-    side = lambda x: marks.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("keys").alias(f"k_{x}"))
     met = written(pairs, "candidates")
+    sizes = written(marks.select("doc_id", "n", "odd"), "parities")
+    side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
     rows = met.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
-    rows = rows.withColumn("_o", F.ceil((F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9).cast("int"))
-    rows = rows.withColumn("_l", F.least(*[F.size(f"k_{x}") - F.col(f"n_{x}").cast("int") + F.col("_o") for x in "ab"]))
-    prefix = lambda x: F.slice(f"k_{x}", F.lit(1), F.greatest(F.col(f"n_{x}").cast("int") - F.col("_o") + F.col("_l"), F.lit(0)))
-    out = written(rows.filter(F.size(F.array_intersect(prefix("a"), prefix("b"))) >= F.col("_l")).select("a", "b"), "plausible")
-    unwritten(met)
+    rows = rows.withColumn("o", F.ceil((F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9).cast("int"))
+    apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = written(rows.filter(apart <= F.col("n_a") + F.col("n_b") - 2 * F.col("o")).select("a", "b", "n_a", "n_b", "o"), "near-parities")
+    wanted = written(near.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "wanted")
+    keys = written(among(marks.select("doc_id", "keys"), wanted), "candidate-keys")
+    rows = near.join(keys.select(F.col("doc_id").alias("a"), F.col("keys").alias("k_a")), "a").join(keys.select(F.col("doc_id").alias("b"), F.col("keys").alias("k_b")), "b")
+    rows = rows.withColumn("l", F.least(*[F.size(f"k_{x}") - F.col(f"n_{x}").cast("int") + F.col("o") for x in "ab"]))
+    prefix = lambda x: F.slice(f"k_{x}", F.lit(1), F.greatest(F.col(f"n_{x}").cast("int") - F.col("o") + F.col("l"), F.lit(0)))
+    out = written(rows.filter(F.size(F.array_intersect(prefix("a"), prefix("b"))) >= F.col("l")).select("a", "b"), "plausible")
+    for table in (met, sizes, near, wanted, keys):
+        unwritten(table)
     return out
 
 
@@ -448,14 +471,16 @@ def open_pairs(marks: DataFrame, classes: DataFrame, labels: DataFrame, least: f
     many, so those are summed up before the shuffle and joined again.
     """
     named = classes.select("rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
-    keyed = marks.filter("n > 1").join(named, F.col("doc_id") == F.col("rep")).select("rep", "n", "label", "lead", "rare", F.posexplode("keys").alias("at", "key"))
+    named = written(named, "text-labels")
+    few = named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then keys are moved once only
+    keyed = marks.filter("n > 1").join(F.broadcast(named) if few else named, F.col("doc_id") == F.col("rep")).select("rep", "n", "label", "lead", "rare", F.posexplode("keys").alias("at", "key"))
     keys = keyed.select("key", "rep", "n", "label", "at", (F.col("at") < F.col("lead")).alias("lead"), (F.col("at") < F.col("rare")).alias("rare"))
     of_key = Window.partitionBy("key")
-    few = keys.filter("rare").withColumns({"lo": F.min("label").over(of_key), "hi": F.max("label").over(of_key), "led": F.max("lead").over(of_key)}).filter("lo < hi and led")
+    scarce = keys.filter("rare").withColumns({"lo": F.min("label").over(of_key), "hi": F.max("label").over(of_key), "led": F.max("lead").over(of_key)}).filter("lo < hi and led")
     many = keys.filter("not rare")
     mixed = many.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("lead").alias("led")).filter("lo < hi and led").select("key")
     columns = ["key", "rep", "n", "label", "at"]
-    held = written(few.select(*columns).unionByName(many.join(mixed, "key").select(*columns)), "open-keys")
+    held = written(scarce.select(*columns).unionByName(many.join(mixed, "key").select(*columns)), "open-keys")
     sizes = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
     sizes = written(sizes.select("key", "main", F.ceil(F.col("others") / DENSE).alias("blocks")), "open-sizes")
     cut = held.join(sizes, "key")

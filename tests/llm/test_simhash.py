@@ -146,6 +146,17 @@ def test_keys_of_similar_sets_meet():
         assert met or 10 * len(a & b) < 8 * len(a | b)
 
 
+def test_parities_bound_the_difference():
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(200):
+        a = {rng.getrandbits(64) for _ in range(rng.randint(1, 900))}
+        b = set(rng.sample(sorted(a), len(a) // 2)) | {rng.getrandbits(64) for _ in range(rng.randint(1, 300))}
+        x, y = (S.parities(np.array(sorted(s), dtype=np.uint64)) for s in (a, b))
+        assert sum(bin(int(p) & (2**64 - 1)).count("1") for p in x ^ y) <= len(a ^ b)
+
+
 def test_segments_bear_any_text():
     for text in (None, "", "one", "a b c d e", "a b c d e f", "ab " * 200_000, "x\ty " * 7):
         digest, fp, segments, hashes = S.segments_of(text, 5)
