@@ -11,6 +11,7 @@ serialised as canonical JSON.
 from __future__ import annotations
 
 import json
+import re
 from decimal import Decimal
 from itertools import groupby
 
@@ -21,6 +22,8 @@ from .common import unwritten, written
 
 #: Conversations with more calls than this are levelled by joins, not in one task.
 LARGE = 20_000
+#: Arguments that are nested deeper are no arguments.
+MAX_DEPTH = 200
 
 REPLY_SCHEMA = json.dumps({
     "type": "object",
@@ -46,20 +49,36 @@ def number_text(x: float) -> str:
     return f"{sign}{digits[0]}{tail}e{'+' if e > 0 else '-'}{abs(e)}"
 
 
+def well_formed(text: str) -> str:
+    """The text with lone surrogates, which UTF-8 lacks, as ``\\udxxx``."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    """JSON without spaces, keys in the order of their UTF-16 units, shortest numbers."""
+    """JSON without spaces, keys in the order of their UTF-16 units, shortest numbers, lone surrogates escaped."""
     if isinstance(value, dict):
         keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in keys) + "}"
+        return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in keys) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, float):
         return number_text(value)
-    return json.dumps(value, ensure_ascii=False)
+    return well_formed(json.dumps(value, ensure_ascii=False))
+
+
+def depth_of(value) -> int:
+    """How deep objects and arrays are nested."""
+    deepest, left = 0, [(value, 0)]
+    while left:
+        x, depth = left.pop()
+        deepest = max(deepest, depth)
+        if isinstance(x, dict | list):
+            left += [(y, depth + 1) for y in (x.values() if isinstance(x, dict) else x)]
+    return deepest
 
 
 def parse(text: str | None):
-    """The value of a JSON text; ValueError for bad JSON, repeated keys, NaN and infinities."""
+    """The value of a JSON text; ValueError for bad JSON, repeated keys, NaN, infinities and over ``MAX_DEPTH`` levels."""
 
     def unique(pairs):
         if len({k for k, _ in pairs}) < len(pairs):
@@ -76,9 +95,12 @@ def parse(text: str | None):
         return x
 
     try:
-        return json.loads(text or "", object_pairs_hook=unique, parse_constant=refuse, parse_float=finite)
+        value = json.loads(text or "", object_pairs_hook=unique, parse_constant=refuse, parse_float=finite)
     except RecursionError as e:
         raise ValueError("nested too deeply") from e
+    if depth_of(value) > MAX_DEPTH:
+        raise ValueError("nested too deeply")
+    return value
 
 
 KINDS = {
@@ -93,7 +115,7 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(KINDS[k](value) for k in kinds):
         return [f"{at}: type"]
-    out = [f"{at}: enum"] if "enum" in schema and value not in schema["enum"] else []
+    out = [f"{at}: enum"] if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]) else []  # true is not 1
     if isinstance(value, str):
         out += [f"{at}: minLength"] * (len(value) < schema.get("minLength", 0)) + [f"{at}: maxLength"] * (len(value) > schema.get("maxLength", len(value)))
     if KINDS["number"](value):
@@ -117,8 +139,9 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     ``results``: ``(conv_id, turn, index, id, content)``. Where an identifier occurs
     more than once in a conversation, its first call takes its first result, and so
     on. Calls without a result and results without a call stay, as ``kind``
-    ``unanswered`` and ``orphan``; null identifiers match nothing.
+    ``unanswered`` and ``orphan``; null identifiers match nothing. Other columns go.
     """
+    calls, results = calls.select("conv_id", "turn", "index", "id", "name", "arguments", "after"), results.select("conv_id", "turn", "index", "id", "content")
     nth = F.row_number().over(Window.partitionBy("conv_id", "id").orderBy("turn", "index"))
     c = calls.withColumn("nth", nth)
     r = results.withColumn("nth", nth).select(F.col("conv_id").alias("r_conv"), F.col("turn").alias("r_turn"), F.col("index").alias("r_index"), F.col("id").alias("r_id"), "content", F.col("nth").alias("r_nth"))
@@ -161,8 +184,8 @@ def call_levels(calls: DataFrame, large: int = LARGE) -> DataFrame:
     """``(conv_id, turn, index, level)`` of calls ``(conv_id, turn, index, id, after)``.
 
     Only identifiers move, no texts. A conversation of ordinary size is levelled in
-    one task; the calls of larger ones are levelled in rounds of joins, one for each
-    level, so that no task holds a conversation.
+    one task; the calls of larger ones are levelled by joins, so that no task holds a
+    conversation (:func:`_levels_by_joins`).
     """
     calls = calls.select("conv_id", "turn", "index", "id", "after")
     big = written(calls.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select(F.col("conv_id").alias("_big")), "large-conversations")
@@ -195,31 +218,52 @@ def call_levels(calls: DataFrame, large: int = LARGE) -> DataFrame:
 
 
 def _levels_by_joins(calls: DataFrame) -> DataFrame:
-    """Levels by rounds: each round levels the calls whose last predecessor was levelled."""
-    key = ["conv_id", "turn", "index"]
-    base = written(calls, "calls")
-    first = base.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "index")).alias("at"))
-    waits = base.select(*key, F.explode(F.array_distinct("after")).alias("dep")).join(first.select(F.col("conv_id").alias("_c"), F.col("id").alias("_id"), F.col("at.turn").alias("d_turn"), F.col("at.index").alias("d_index")), (F.col("conv_id") == F.col("_c")) & (F.col("dep") == F.col("_id"))).select(*key, "d_turn", "d_index")
+    """Levels where no task may hold a conversation.
+
+    Calls that wait for one other form chains. Pointer doubling leads each of them
+    to its chain's anchor, a call that waits for none or several, in a logarithm of
+    the longest chain of rounds. Then those that wait for several are levelled once
+    the anchors behind them are. Calls that reach no anchor are in or behind a cycle.
+    """
+    base = written(calls.select(F.struct("conv_id", "turn", "index").alias("v"), "conv_id", "id", "after"), "calls")
+    first = base.filter("id is not null").groupBy("conv_id", "id").agg(F.min("v").alias("d")).select(F.col("conv_id").alias("_c"), F.col("id").alias("_id"), "d")
+    waits = base.select("v", "conv_id", F.explode(F.array_distinct("after")).alias("dep")).join(first, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("dep") == F.col("_id"))).select("v", "d")
     waits = written(waits.distinct(), "waits")
-    done = written(base.select(*key).join(waits, key, "left_anti").withColumn("level", F.lit(0)), "levels")
-    before = -1
-    while (count := done.count()) != before:
-        before = count
-        seen = done.select(F.col("conv_id").alias("_c"), F.col("turn").alias("d_turn"), F.col("index").alias("d_index"), F.col("level").alias("d_level"))
-        state = waits.withColumnRenamed("conv_id", "_w").join(seen, (F.col("_w") == F.col("_c")) & waits["d_turn"].eqNullSafe(seen["d_turn"]) & waits["d_index"].eqNullSafe(seen["d_index"]), "left")
-        ready = state.groupBy(F.col("_w").alias("conv_id"), "turn", "index").agg(F.max("d_level").alias("l"), F.count_if(F.col("d_level").isNull()).alias("open")).filter("open = 0").select(*key, (F.col("l") + 1).cast("int").alias("level"))
-        next_done = written(done.filter("level = 0").unionByName(ready), "levels")
+    degree = waits.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d"))
+    nodes = base.select("v").distinct().join(degree, "v", "left").select("v", F.coalesce("n", F.lit(0)).alias("n"), "d")
+    one = F.col("n") == 1
+    nodes = written(nodes.select("v", "n", F.when(one, F.col("d")).otherwise(F.col("v")).alias("p"), one.cast("long").alias("far")), "call-nodes")
+    jumps = nodes.select("v", "p", "far")
+    for _ in range(max(1, nodes.count().bit_length())):
+        ahead = jumps.select(F.col("v").alias("p"), F.col("p").alias("q"), F.col("far").alias("more"))
+        step = written(jumps.join(ahead, "p").select("v", F.col("q").alias("p"), (F.col("far") + F.col("more")).alias("far"), (F.col("p") != F.col("q")).alias("moved")), "jumps")
+        unwritten(jumps)
+        jumps = step
+        if step.filter("moved").isEmpty():
+            break
+    anchors = nodes.filter("n <> 1").select(F.col("v").alias("p"), "n")
+    placed = written(jumps.select("v", "p", "far").join(anchors, "p"), "placed")  # a cycle's calls have no anchor and go
+    of = placed.select(F.col("v").alias("d"), "p", "far")
+    behind = written(waits.join(nodes.filter("n > 1").select("v"), "v").join(of, "d", "left").select("v", "p", "far"), "waits-for-anchors")
+    done = written(nodes.filter("n = 0").select("v", F.lit(0).cast("long").alias("level")), "levels")
+    before, count = -1, done.count()
+    while count != before:
+        state = behind.join(done.select(F.col("v").alias("p"), "level"), "p", "left").groupBy("v").agg(F.max(F.col("level") + F.col("far")).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+        ready = state.filter("open = 0").select("v", (F.col("level") + 1).alias("level"))
+        after = written(nodes.filter("n = 0").select("v", F.lit(0).cast("long").alias("level")).unionByName(ready), "levels")
         unwritten(done)
-        done = next_done
-    cyclic = base.select(*key).join(done, key, "left_anti").withColumn("level", F.lit(-1))
-    return done.unionByName(cyclic).select("conv_id", "turn", F.col("index").cast("int"), F.col("level").cast("int"))
+        done, before, count = after, count, after.count()
+    known = placed.join(done.select(F.col("v").alias("p"), "level"), "p").select("v", (F.col("level") + F.col("far")).alias("level"))
+    out = base.select("v").join(known, "v", "left").select("v.*", F.coalesce("level", F.lit(-1)).cast("int").alias("level"))
+    return out.select("conv_id", "turn", F.col("index").cast("int").alias("index"), "level")
 
 
 def formatted(calls: DataFrame, results: DataFrame, schemas: dict[str, str], large: int = LARGE) -> DataFrame:
     """Linked units with ``level``, ``valid``, ``errors`` and ``json`` (canonical).
 
     Arguments that are no JSON, and tools without a schema, are errors and not
-    valid; such arguments stay as text in the JSON. Orphans have level 0. Empty
+    valid, as are those nested over ``MAX_DEPTH`` levels; such arguments stay as text
+    in the JSON, whole. Orphans have level 0. Other columns of either table go. Empty
     tables give no rows. The keys (conv_id, turn, index) must be unique.
     """
     units = linked(calls, results)
@@ -244,7 +288,7 @@ def formatted(calls: DataFrame, results: DataFrame, schemas: dict[str, str], lar
                     unit["call"] = {"arguments": arguments, "name": row["name"], "turn": row["turn"]}
                 unit["result"] = None if row["kind"] == "unanswered" else {"content": row["content"], "turn": row["result_turn"]}
                 valid.append(not bad)
-                errors.append(bad)
+                errors.append([well_formed(x) for x in bad])
                 out.append(canonical(unit))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(valid), pa.array(errors, pa.list_(pa.string())), pa.array(out, pa.string())], [*batch.schema.names, "valid", "errors", "json"])
 

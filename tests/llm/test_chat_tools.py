@@ -74,3 +74,26 @@ def test_plain_turns(spark):
     assert set(done) == {(1, 0, "unanswered"), (1, 1, "linked"), (2, 0, "orphan"), (None, 0, "unanswered"), (3, 0, "unanswered")}
     assert done[1, 1, "linked"].level == 1 and not done[1, 1, "linked"].valid and done[1, 0, "unanswered"].valid
     assert not done[3, 0, "unanswered"].valid and done[None, 0, "unanswered"].valid
+
+
+def test_a_long_chain_by_joins(spark):
+    """A chain of 1,000 calls, one that ends in a cycle, and calls that wait for several."""
+    calls = [(1, t, 0, f"c{t}", "add", "{}", [f"c{t - 1}"] if t else []) for t in range(1000)]
+    calls += [(2, t, 0, f"c{t}", "add", "{}", [f"c{max(t - 1, 5)}", f"c{t // 2}"] if t % 7 else [f"c{t - 1}"]) for t in range(8, 40)] + [(3, t, 0, f"c{t}", "add", "{}", [f"c{(t + 1) % 9}"]) for t in range(12)]
+    got = {(r.conv_id, r.turn): r.level for r in C.call_levels(spark.createDataFrame(calls, CALLS), 5).collect()}
+    want = {}
+    for conv in (1, 2, 3):
+        own = [c for c in calls if c[0] == conv]
+        want |= {(conv, c[1]): level for c, level in zip(own, C.levels_of([c[3] for c in own], [c[6] for c in own]), strict=True)}
+    assert got == want and want[1, 999] == 999 and -1 in want.values()
+
+
+def test_arguments_that_break_rules(spark):
+    schemas = {"any": "{}", "one": json.dumps({"properties": {"a": {"enum": [1, "x"]}}})}
+    given = {0: '{"a": "\\ud800"}', 1: "[" * 3000 + "]" * 3000, 2: "[" * 150 + "]" * 150, 3: '{"\\udfff": 1}', 4: '{"a": true}', 5: '{"a": 1.0}', 6: "9" * 5000}
+    calls = spark.createDataFrame([(1, t, 0, f"c{t}", "one" if t > 3 else "any", x, None, "clash") for t, x in given.items()], CALLS + ", content string")
+    done = {r.turn: r for r in C.formatted(calls, spark.createDataFrame([], RESULTS), schemas).collect()}
+    assert {t: r.valid for t, r in done.items()} == {0: True, 1: False, 2: True, 3: True, 4: False, 5: True, 6: False}
+    assert done[1].errors == ["$: not JSON"] and done[4].errors == ["$.a: enum"]
+    for r in done.values():
+        assert C.canonical(json.loads(r.json)) == r.json
