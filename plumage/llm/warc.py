@@ -14,6 +14,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from urllib.parse import urljoin
 
 from pyspark.sql import DataFrame
@@ -40,11 +41,13 @@ def sha1_digest(data: bytes) -> str:
 
 
 def charset_of(http_headers: str) -> str:
-    """Charset of the Content-Type header; UTF-8 if there is none that is known."""
+    """Charset of the Content-Type header; UTF-8 if there is none that is known as one of texts."""
     found = re.search(r"(?im)^content-type:[^\r\n]*charset=[\"']?([-\w]+)", http_headers)
     try:
-        return codecs.lookup(found[1]).name if found else "utf-8"
-    except LookupError:
+        name = codecs.lookup(found[1]).name if found else "utf-8"
+        b"a".decode(name, errors="replace")  # hex, base64 and others are no charsets
+        return name
+    except (LookupError, ValueError):
         return "utf-8"
 
 
@@ -116,19 +119,68 @@ def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode("utf-8") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one record; ValueError if it isn't one."""
+def header_lines(lines: list[str]) -> list[tuple[str, str]]:
+    """Names and values of header lines in their order; a line that begins with a space goes on with the one before."""
+    out: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        elif line.strip():
+            name, _, value = line.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def header(headers: list[tuple[str, str]], name: str) -> str | None:
+    """First value of a header, whatever the case of its name."""
+    return next((v for k, v in headers if k.lower() == name.lower()), None)
+
+
+def parse_record(record: bytes) -> tuple[list[tuple[str, str]], bytes]:
+    """Headers (repeated ones too) and block of one record; ValueError if it isn't one."""
     head, gap, rest = record.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not gap or not lines[0].startswith("WARC/"):
         raise ValueError("no WARC record")
-    headers = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-    size = int(headers["Content-Length"])
-    if len(rest) < size:
+    headers = header_lines(lines[1:])
+    size = int(header(headers, "Content-Length") or "none")
+    if size < 0 or len(rest) < size:
         raise ValueError("the block is cut short")
     return headers, rest[:size]
 
 
+def unchunked(payload: bytes) -> bytes:
+    """A payload in chunked transfer coding put together; ValueError if it isn't."""
+    out, at = [], 0
+    while True:
+        end = payload.find(b"\r\n", at)
+        if end < 0:
+            raise ValueError("a chunk has no size")
+        size = int(payload[at:end].split(b";")[0], 16)
+        if size == 0:
+            return b"".join(out)
+        if size < 0 or end + 2 + size > len(payload):
+            raise ValueError("a chunk is cut short")
+        out.append(payload[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def decoded_payload(headers: list[tuple[str, str]], payload: bytes) -> bytes:
+    """The payload without chunks, gzip and deflate; one that breaks their rules, or has another coding, stays as it is."""
+    codings = lambda name: [c.strip().lower() for k, v in headers if k.lower() == name for c in v.split(",")]
+    for coding in [*reversed(codings("transfer-encoding")), *reversed(codings("content-encoding"))]:
+        try:
+            if coding == "chunked":
+                payload = unchunked(payload)
+            elif coding in ("gzip", "x-gzip"):
+                payload = zlib.decompress(payload, 31)
+            elif coding == "deflate":
+                payload = zlib.decompress(payload, 15 if payload[:1] == b"\x78" else -15)
+        except (ValueError, zlib.error):
+            return payload
+    return payload
+
+
 def split_http(block: bytes) -> tuple[str, bytes]:
     """HTTP headers and payload of a response's block."""
     head, gap, payload = block.partition(b"\r\n\r\n")
@@ -136,15 +188,18 @@ def split_http(block: bytes) -> tuple[str, bytes]:
 
 
 def derived(record: bytes) -> list[tuple]:
-    """The metadata and conversion records of a response record."""
+    """The metadata and conversion records of a response record; none of other records."""
     source, block = parse_record(record)
+    if (header(source, "WARC-Type") or "").lower() != "response":
+        return []
     http, payload = split_http(block)
-    target, refers, date = source.get("WARC-Target-URI", ""), source.get("WARC-Record-ID"), source.get("WARC-Date", DATE)
-    page = payload.decode(charset_of(http), errors="replace")
-    payload_digest = source.get("WARC-Payload-Digest") or sha1_digest(payload)
-    status, *fields = http.split("\r\n")
+    target, refers, date = header(source, "WARC-Target-URI") or "", header(source, "WARC-Record-ID"), header(source, "WARC-Date") or DATE
+    status, *lines = http.split("\r\n")
+    fields = header_lines(lines)
+    page = decoded_payload(fields, payload).decode(charset_of(http), errors="replace")
+    payload_digest = header(source, "WARC-Payload-Digest") or sha1_digest(payload)
     ids = {kind: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers}#{kind}')}>" for kind in ("metadata", "conversion")}
-    envelope = {"Envelope": {"HTML-Metadata": page_metadata(page, target), "HTTP-Headers": [[k.strip(), v.strip()] for k, _, v in (f.partition(":") for f in fields)], "HTTP-Status": status, "Payload-Digest": payload_digest, "Payload-Length": len(payload), "WARC-Headers": source}}
+    envelope = {"Envelope": {"HTML-Metadata": page_metadata(page, target), "HTTP-Headers": [list(f) for f in fields], "HTTP-Status": status, "Payload-Digest": payload_digest, "Payload-Length": len(payload), "WARC-Headers": [list(h) for h in source]}}
     out = []
     for kind, other, content_type, data in (("metadata", "conversion", "application/json", canonical(envelope).encode("utf-8", "surrogatepass")), ("conversion", "metadata", "text/plain; charset=utf-8", text_of(page).encode("utf-8", "replace"))):
         digest = sha1_digest(data)
@@ -156,8 +211,11 @@ def derived(record: bytes) -> list[tuple]:
 def derivatives(responses: DataFrame) -> DataFrame:
     """Two records for every row of ``responses(page_id, record)``: see :data:`OUT_SCHEMA`.
 
-    A null record, or bytes that are no WARC record, give one row of type
-    ``malformed`` without contents, so nothing is lost unseen. No shuffle.
+    A null or empty record, or bytes that are no WARC record, give one row of type
+    ``malformed`` without contents, and a record that is no response one of type
+    ``other``, so nothing is lost unseen. Very long pages are converted whole, and
+    repeated rows give equal records. Other columns go. An empty table gives no
+    rows. No shuffle.
     """
 
     def batches(source):
@@ -169,8 +227,8 @@ def derivatives(responses: DataFrame) -> DataFrame:
             rows = []
             for page, record in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 try:
-                    rows += [(page, *r) for r in derived(record or b"")]
-                except (ValueError, KeyError):
+                    rows += [(page, *r) for r in derived(record or b"")] or [(page, "other", *[None] * 9)]
+                except ValueError:
                     rows.append((page, "malformed", *[None] * 9))
                 if len(rows) >= 2_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)

@@ -12,7 +12,9 @@ def test_records_round_trip_and_refer(spark):
     assert len(rows) == 10
     for r in rows:
         headers, block = W.parse_record(bytes(r.record))
+        headers = dict(headers)
         source, response = W.parse_record(bytes(responses[r.page_id]))
+        source = dict(source)
         assert headers["WARC-Refers-To"] == source["WARC-Record-ID"] == r.refers_to and headers["WARC-Date"] == source["WARC-Date"]
         assert headers["WARC-Block-Digest"] == W.sha1_digest(block) == r.block_digest and len(block) == r.content_length
         assert r.source_payload_digest == source["WARC-Payload-Digest"] == W.sha1_digest(W.split_http(response)[1])
@@ -23,7 +25,7 @@ def test_records_round_trip_and_refer(spark):
     assert text == "X\nHello big world\ntwo"
     meta = json.loads(W.parse_record(bytes(by[1, "metadata"].record))[1])["Envelope"]
     assert meta["HTML-Metadata"] == {"Title": "T & t", "Metas": [{"name": "d", "content": "x"}], "Links": [{"path": "a", "url": "http://h/x"}, {"path": "img", "url": "http://h/p/i.png"}]}
-    assert meta["WARC-Headers"]["WARC-Type"] == "response" and ["Content-Type", "text/html; charset=utf-8"] in meta["HTTP-Headers"]
+    assert ["WARC-Type", "response"] in meta["WARC-Headers"] and ["Content-Type", "text/html; charset=utf-8"] in meta["HTTP-Headers"]
 
 
 def test_malformed_records_stay_visible(spark):
@@ -94,3 +96,32 @@ def test_hostile_markup_is_fast():
         W.text_of(page)
         W.page_metadata(page, "http://h/")
     assert time.time() - began < 60
+
+
+def response(http, payload, *headers, kind="response"):
+    block = ("HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in http) + "\r\n").encode() + payload
+    return W.record_bytes([("WARC-Type", kind), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://a/b"), *headers, ("content-length", str(len(block)))], block)
+
+
+def test_codings_charsets_and_headers():
+    import gzip
+    import zlib
+
+    page = "<html><body><p>déjà vu</p></body></html>".encode()
+    text = lambda record: W.parse_record(W.derived(record)[1][-1])[1].decode()
+    kind = ("Content-Type", "text/html; charset=utf-8")
+    chunks = b"7;x=1\r\n" + page[:7] + b"\r\n" + f"{len(page) - 7:x}".encode() + b"\r\n" + page[7:] + b"\r\n0\r\n\r\n"
+    for http, payload in [([], page), ([("Content-Encoding", "gzip")], gzip.compress(page)), ([("content-encoding", "deflate")], zlib.compress(page)), ([("Transfer-Encoding", "chunked")], chunks), ([("Content-Encoding", "br")], page), ([("Content-Encoding", "gzip")], page), ([("Transfer-Encoding", "chunked")], page)]:
+        assert text(response([kind, *http], payload)) == "déjà vu"
+    for name in ("hex", "rot13", "base64", "zip", "none-such", "utf-16"):
+        assert len(W.derived(response([("Content-Type", f"text/html; charset={name}")], page))) == 2
+    twice = [("WARC-Concurrent-To", "<urn:uuid:2>"), ("WARC-Concurrent-To", "<urn:uuid:3>"), ("X", "a\r\n  b")]
+    envelope = json.loads(W.parse_record(W.derived(response([kind], page, *twice))[0][-1])[1])["Envelope"]
+    assert [h for h in envelope["WARC-Headers"] if h[0] in ("WARC-Concurrent-To", "X")] == [["WARC-Concurrent-To", "<urn:uuid:2>"], ["WARC-Concurrent-To", "<urn:uuid:3>"], ["X", "a b"]]
+    assert W.derived(response([kind], page, kind="request")) == []
+
+
+def test_types_of_rows_and_names(spark):
+    rows = [(1, response([], b"x"), 7), (2, response([], b"x", kind="request"), 7), (3, None, 7), (4, b"no record", 7), (5, b"WARC/1.1\r\nWARC-Type: response\r\n\r\n", 7)]
+    found = W.derivatives(spark.createDataFrame(rows, "page_id long, record binary, record_type int")).collect()
+    assert sorted((r.page_id, r.record_type) for r in found) == [(1, "conversion"), (1, "metadata"), (2, "other"), (3, "malformed"), (4, "malformed"), (5, "malformed")]
