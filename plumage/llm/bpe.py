@@ -133,11 +133,11 @@ class ByteLevelBpe:
         return b"".join([self.packed_special.get(part) or (self.plain(part) if part else b"") for part in self.specials.split(text)])
 
     def decode(self, packed: bytes) -> str:
-        """Text of packed ids; bytes that are no UTF-8 become replacement characters."""
+        """Text of packed ids; bytes that are no UTF-8 become replacement characters, unknown ids are nothing."""
         import numpy as np
 
         vocabulary = self.vocabulary
-        return b"".join([vocabulary[i] for i in np.frombuffer(packed, dtype="<u4").tolist()]).decode("utf-8", errors="replace")
+        return b"".join([vocabulary.get(i, b"") for i in np.frombuffer(packed, dtype="<u4").tolist()]).decode("utf-8", errors="replace")
 
 
 @lru_cache(maxsize=4)

@@ -25,7 +25,7 @@ from .components import connected_components
 
 COSINE = 0.95
 TARGET_RECALL = 0.995
-#: Classes that codebooks and margin are fitted on, at most.
+#: Classes that codebooks and margin are fitted on: so many on average, by a hash of their ids.
 SAMPLE = 8_192
 #: Vectors a cell should have; the codebooks grow with the root of the table.
 CELL = 1_024
@@ -194,7 +194,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, column: str = "embe
     if n == 0:
         linked = classes.select("key", "rep", F.lit(0).cast("long").alias("links"), F.col("rep").alias("label"), "weight")
     else:
-        sample = classes.select("unit").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()  # SAMPLE rows at most
+        # of n classes some SAMPLE, chosen by a hash where they are, so no task hands on more than its share
+        sample = sorted(classes.filter(F.pmod(F.xxhash64("rep"), F.lit(n)) < SAMPLE).select("rep", "unit").collect())
         one, two, margin = fit_index(np.array([np.frombuffer(r.unit, dtype="<f8") for r in sample]), n, cosine)
         indexed = written(visits(classes, one, two, margin), "multi-index")
         sizes = indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).select("cell", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
