@@ -38,7 +38,7 @@ SIMILARITY = 0.8
 SEGMENT = 12
 #: Common shingles come last in the order of keys: those counted so often, and as many at most.
 COMMON, MOST_COMMON = 32, 2_000_000
-#: Shingles are counted whose hash is in the first 90 of 256 parts; keys are the lowest fifth of a text.
+#: Shingles whose hash is in the first 90 of 256 parts are counted exactly; keys are the lowest fifth of a text.
 COUNTED = 90
 #: Bits of a text's parities, eight longs.
 PARITIES = 512
@@ -132,9 +132,11 @@ def common_shingles(docs: DataFrame, shingle: int):
     """``(hashes, ranks)`` of common shingles, by hash; the rarest of them has rank 1.
 
     They only set the order of keys (:func:`keys_of`): any order finds every pair,
-    and this one keeps shared passages out of the keys. Keys have low hashes, so
-    shingles of low hash are counted, in all texts. Those found ``COMMON`` times are
-    common, or so often that ``MOST_COMMON`` of them are at most.
+    and this one keeps shared passages out of the keys. All texts are counted. Most
+    keys have low hashes, whose counts are exact; of others, those found fewer than
+    three times in a chunk are left out, so large groups of copies still count.
+    Shingles found ``COMMON`` times are common, or so often that ``MOST_COMMON`` of
+    them are at most.
     """
     import numpy as np
 
@@ -144,13 +146,13 @@ def common_shingles(docs: DataFrame, shingle: int):
 
         def counted(held):
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+            kept = (h < np.uint64(COUNTED << 56)) | (n > 2)
+            return pa.RecordBatch.from_arrays([pa.array(h[kept].view(np.int64)), pa.array(n[kept])], ["h", "n"])
 
         held, room = [], CHUNK
         for batch in source:
             for text in batch.column(0):
-                h = hashes_of(text.as_py(), shingle)
-                held.append(h[: np.searchsorted(h, np.uint64(COUNTED << 56))])
+                held.append(hashes_of(text.as_py(), shingle))
                 room -= len(held[-1])
                 if room < 0:
                     yield counted(held)
