@@ -76,10 +76,24 @@ def numbered(df: DataFrame, order: list[str], block: Column) -> DataFrame:
 def collision_names(files: DataFrame) -> DataFrame:
     """WIN7: ``target`` names of files in one folder: repeats get ``_1``, ``_2`` and so on.
 
-    ``files(path, stem, ext)``, in the order of ``path``.
+    ``files(path, stem, ext)``, in the order of ``path``. The first file of a name
+    keeps it; repeats take the least numbers whose names no file has, so all targets
+    differ. A number is free for the ``k``-th repeat if fewer than ``k`` are before it:
+    the ``i``-th taken number ``t`` has ``t - i`` free ones before it, and moves all
+    repeats beyond those up by one.
     """
-    nth = F.row_number().over(Window.partitionBy("stem", "ext").orderBy("path")) - 1
-    return files.withColumn("target", F.when(nth == 0, F.concat("stem", "ext")).otherwise(F.concat("stem", F.lit("_"), nth.cast("string"), "ext")))
+    own = Window.partitionBy("stem", "ext").orderBy("path")
+    nth = files.withColumn("_k", (F.row_number().over(own) - 1).cast("long"))
+    numbered_stem = F.regexp_extract("stem", r"^(.*)_([1-9][0-9]{0,17})$", 1)
+    number = F.expr(r"try_cast(nullif(regexp_extract(stem, '^(.*)_([1-9][0-9]{0,17})$', 2), '') AS bigint)")
+    taken = files.select(numbered_stem.alias("stem"), "ext", number.alias("_t")).filter("_t is not null").distinct()
+    before = F.col("_t") - F.row_number().over(Window.partitionBy("stem", "ext").orderBy("_t"))
+    marks = taken.select("stem", "ext", before.alias("_v"), F.lit(1).alias("_taken"), F.lit(None).cast(files.schema["path"].dataType).alias("path"))
+    rows = nth.select("stem", "ext", F.col("_k").alias("_v"), F.lit(0).alias("_taken"), "path").unionByName(marks)
+    upto = Window.partitionBy("stem", "ext").orderBy("_v", "_taken").rowsBetween(Window.unboundedPreceding, 0)
+    moved = rows.withColumn("_n", F.col("_v") + F.sum("_taken").over(upto)).filter("_taken = 0").select(F.col("path").alias("_path"), F.col("_v").alias("_own"), "_n")
+    named = files.join(moved, files["path"] == F.col("_path"))
+    return named.withColumn("target", F.when(F.col("_own") == 0, F.concat("stem", "ext")).otherwise(F.concat("stem", F.lit("_"), F.col("_n").cast("string"), "ext"))).drop("_path", "_own", "_n")
 
 
 def species_rollup(df: DataFrame) -> DataFrame:

@@ -68,12 +68,14 @@ def whitelist(region_species: DataFrame, code_index: DataFrame) -> DataFrame:
     """JN4, SRC24: distinct ``(region, idx)`` of regions below a country; unknown codes go.
 
     ``region_species(region_key, region_name, species_code)``; regions need a key
-    beyond ``CN-`` and a name that isn't a key. The last region of a name wins.
+    beyond ``CN-`` and a name that isn't a key. Of regions of one name that have a
+    known code the last in the file counts, by ``ord`` if there, else by key.
     """
-    named = region_species.filter(F.col("region_key").startswith("CN-") & (F.length("region_key") > 4) & (F.trim("region_name") != "") & ~F.col("region_name").startswith("CN-"))
-    owner = named.groupBy(F.trim("region_name").alias("region")).agg(F.max("region_key").alias("_key"))
-    rows = named.join(owner, (F.trim("region_name") == F.col("region")) & (F.col("region_key") == F.col("_key")))
-    return rows.join(code_index, F.col("species_code") == F.col("code")).select("region", "idx").distinct()
+    at = F.col("ord") if "ord" in region_species.columns else F.col("region_key")
+    named = region_species.filter(F.col("region_key").startswith("CN-") & (F.length("region_key") > 4) & (F.trim("region_name") != "") & ~F.trim("region_name").startswith("CN-"))
+    rows = named.join(code_index, F.col("species_code") == F.col("code")).select(F.trim("region_name").alias("region"), "region_key", at.alias("_at"), "idx")
+    owner = rows.groupBy("region").agg(F.max_by("region_key", F.struct("_at", "region_key")).alias("region_key"))
+    return rows.join(owner, ["region", "region_key"]).select("region", "idx").distinct()
 
 
 def national_list(region_species: DataFrame, code_index: DataFrame, country: str = "CN") -> DataFrame:

@@ -29,10 +29,10 @@ def taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def region_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """D12: ``region_species(region_key, region_name, species_code)`` and ``code_index(code, idx)``."""
+    """D12: ``region_species(ord, region_key, region_name, species_code)``, with the region's place in the file, and ``code_index(code, idx)``."""
     doc = _text(spark, path).select(F.from_json("value", "struct<code_mapping:map<string,int>,regions:map<string,struct<name:string,species:array<string>>>>").alias("_d")).select("_d.*")
     codes = doc.select(F.explode("code_mapping").alias("code", "idx"))
-    regions = doc.select(F.explode("regions").alias("region_key", "_r")).select("region_key", F.col("_r.name").alias("region_name"), F.explode("_r.species").alias("species_code"))
+    regions = doc.select(F.posexplode(F.map_entries("regions")).alias("ord", "_r")).select("ord", F.col("_r.key").alias("region_key"), F.col("_r.value.name").alias("region_name"), F.explode("_r.value.species").alias("species_code"))
     return regions, codes
 
 

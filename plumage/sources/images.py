@@ -12,7 +12,10 @@ from ..functions.text import suffix
 
 #: Suffixes of photos that can be decoded everywhere, and of raw formats.
 STANDARD = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp", ".gif")
-RAW = tuple(f".{x}" for x in "3fr arw bay cap cr2 cr3 crw dcr dcs dng drf eip erf fff gpr iiq k25 kdc mdc mef mos mrw nef nrw obm orf pef ptx pxn r3d raf raw rw2 rwl sr2 srf srw x3f".split())
+RAW = (
+    ".3fr", ".ari", ".arw", ".bay", ".cr2", ".cr3", ".crw", ".cs1", ".dcr", ".dcs", ".dng", ".drf", ".eip", ".erf", ".fff", ".iiq", ".k25", ".kdc", ".mdc",
+    ".mef", ".mos", ".mrw", ".nef", ".nrw", ".orf", ".pef", ".ptx", ".pxn", ".r3d", ".raf", ".raw", ".rw2", ".rwl", ".sr2", ".srf", ".srw", ".x3f",
+)
 XMP_FILE_LIMIT = 60 * 1024 * 1024
 XMP_HEAD = 8_000_000
 

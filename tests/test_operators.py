@@ -46,6 +46,30 @@ def test_whitelist_rules(spark):
     assert sorted(r.idx for r in taxonomy.national_list(regions, codes).collect()) == [0, 1, 2, 3]
 
 
+def test_the_last_region_of_a_name_with_known_codes_counts(spark):
+    rows = [(0, "CN-9", "x", "a"), (1, "CN-90", "x", "b"), (2, "CN-10", "x", "c"), (3, "CN-99", "x", "gone")]
+    regions = spark.createDataFrame(rows, "ord int, region_key string, region_name string, species_code string")
+    codes = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "code string, idx int")
+    assert [tuple(r) for r in taxonomy.whitelist(regions, codes).collect()] == [("x", 2)]
+
+
+def test_collision_names_dodge_given_ones(spark):
+    import random
+
+    rng = random.Random(7)
+    names = ["a", "a", "a_1"] + [rng.choice(["a", "b", "a_1", "a_2", "a_3", "b_2", "a_1_1", "c_01", "c"]) for _ in range(120)]
+    rows = [(i, n, rng.choice([".jpg", ".png"]) if i > 2 else ".jpg") for i, n in enumerate(names)]
+    got = {r.path: r.target for r in archive.collision_names(spark.createDataFrame(rows, "path int, stem string, ext string")).collect()}
+    given, seen, want = {n + e for _, n, e in rows}, set(), {}
+    for i, n, e in rows:
+        k = 0
+        while (name := n + e if k == 0 else f"{n}_{k}{e}") in seen or k and name in given:
+            k += 1
+        seen.add(name)
+        want[i] = name
+    assert got == want and len(set(got.values())) == len(rows)
+
+
 def test_locations(spark):
     square = lambda x, y, n=2.0: [{"x": x, "y": y}, {"x": x + n, "y": y}, {"x": x + n, "y": y + n}, {"x": x, "y": y + n}]
     schema = "ord int, name string, ring array<struct<x:double,y:double>>"

@@ -47,6 +47,20 @@ def test_positions_round_trip(spark):
     assert again.count(b"Exif\0\0") == 1
 
 
+def test_positions_keep_other_tags(spark):
+    tiff = tiff_with_time("2024:02:03 04:05:06")
+    payload = b"Exif\0\0" + tiff
+    jpeg = b"\xff\xd8\xff\xe1" + (len(payload) + 2).to_bytes(2, "big") + payload + b"\xff\xda\x00\x02rest"
+    for once in (sinks.with_gps(jpeg, 1.5, -2.5, -7.0), sinks.with_gps(sinks.with_gps(jpeg, 9.0, 9.0), 1.5, -2.5, -7.0)):
+        before, after = images.exif_row(jpeg), images.exif_row(once)
+        changed = {k for k in after if after[k] != before.get(k)} if isinstance(after, dict) else None
+        assert once.count(b"Exif\0\0") == 1 and once.endswith(b"rest")
+        assert changed is None or changed <= {"lat", "lon", "lat_ref", "lon_ref", "alt"}
+    files = spark.createDataFrame([("a", None, 1, bytearray(once))], "path string, modificationTime timestamp, length long, content binary")
+    row = images.with_exif(files).select("exif_original", "exif_datetime", images.position(F.col("lat"), F.col("lat_ref"), F.col("lon"), F.col("lon_ref")).alias("p")).first()
+    assert "2024:02:03 04:05:06" in (row.exif_original, row.exif_datetime) and (row.p.lat, row.p.lon) == (1.5, -2.5)
+
+
 def test_exif_walk_survives_garbage():
     import random
 
