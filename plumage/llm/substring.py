@@ -72,28 +72,34 @@ def least_of(mixed):
 
 
 def seeds_of(text: str | None):
-    """Places and hashes of a text's winnowed k-mers (A-Z in lower case)."""
+    """Places and hashes of a text's winnowed k-mers (A-Z in lower case), and how many words it has (if ``K`` at least)."""
     import numpy as np
 
     mixed = runs_of(text, K)
     at = np.unique(least_of(mixed))
-    return at, mixed[at]
+    return at, mixed[at], len(mixed) + K - 1
 
 
 def windows_of(text: str | None, shared):
     """Places and hashes of a text's runs of ``MIN_WORDS`` words whose seeds are all at ``shared`` places.
 
-    Seeds of a run are the least k-mers of neighbours inside it, so equal runs have equal ones.
+    Seeds of a run are the least k-mers of neighbours inside it, so equal runs have
+    equal ones. A run's hash is made of those of the k-mers that it consists of.
     """
     import numpy as np
 
-    least = least_of(runs_of(text, K))
+    mixed = runs_of(text, K)
+    least = least_of(mixed)
     inside = MIN_WORDS - K + 1 - WINNOW + 1
     if len(least) < inside:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     alone = np.concatenate([[0], np.cumsum(~np.isin(least, shared))])
     at = np.flatnonzero(alone[inside:] == alone[:-inside])
-    return at, runs_of(text, MIN_WORDS)[at] if len(at) else np.zeros(0, dtype=np.uint64)
+    whole = np.zeros(len(at), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for part in (*range(0, MIN_WORDS - K, K), MIN_WORDS - K):
+            whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + mixed[at + part]
+    return at, whole
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -107,10 +113,10 @@ def seeds(docs: DataFrame) -> DataFrame:
             ids = batch.column(0).to_pylist()
             parts = []
             for doc, text in zip(ids, batch.column(1), strict=True):
-                at, h = seeds_of(text.as_py())
+                at, h, n = seeds_of(text.as_py())
                 first = np.zeros(len(at), dtype=bool)
                 first[np.unique(h, return_index=True)[1]] = True
-                words = np.full(len(at), len((text.as_py() or "").encode("utf-8").split()), dtype=np.int32)
+                words = np.full(len(at), n, dtype=np.int32)
                 parts.append((h.view(np.int64), np.full(len(at), doc, dtype=np.int64), at.astype(np.int32), first, words))
                 if sum(len(p[0]) for p in parts[-256:]) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "doc", "pos", "first", "words"])
