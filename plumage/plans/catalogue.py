@@ -16,7 +16,7 @@ from ..functions import boxes as B
 from ..functions import geo as G
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import answers, archive, burst, refine, report, routing, spatial, taxonomy
+from ..operators import answers, archive, burst, detection, refine, report, routing, spatial, taxonomy
 from ..sources import images
 from ..streaming import bursts as stream
 from . import adapters as A
@@ -356,6 +356,36 @@ def eye_in_box(spark, d):
     return df.select("image", "det", "part", B.holds(*[F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")], 0.06).alias("eye_inside"))
 
 
+#: Line items as detections with four eyes each, placed by arithmetic; some lie outside.
+_DETECTED_SQL = f"""WITH {A.BOXES_SQL}, d AS (SELECT *, row_number() OVER () AS rid, CASE WHEN part % 4 = 0 THEN 2 ELSE 14 END AS cls, (part % 10) / 10e0 AS conf FROM boxes), b AS (SELECT * FROM d WHERE cls = 14 AND conf >= 0.3e0),
+e AS (SELECT b.*, j, (part * (j + 7)) % 10 / 10e0 AS eye_conf, x1 + (part * (j + 3)) % 60 AS px, y1 + (part * (j + 5)) % 30 AS py FROM b, (SELECT unnest(range(4)) AS j)),
+k AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY eye_conf DESC, j) AS r FROM e
+  WHERE px BETWEEN x1 - (x2 - x1) * 0.06 AND x2 + (x2 - x1) * 0.06 AND py BETWEEN y1 - (y2 - y1) * 0.06 AND y2 + (y2 - y1) * 0.06)"""
+
+
+def _detected(spark, d) -> DataFrame:
+    eye = lambda j: F.struct(
+        F.lit(j).alias("ord"), *[(F.col(c) + F.pmod(F.col("part") * (j + f), F.lit(m)) + s).cast("double").alias(n) for n, c, f, m, s in (("x1", "x1", 3, 60, -1), ("y1", "y1", 5, 30, -2), ("x2", "x1", 3, 60, 1), ("y2", "y1", 5, 30, 2))],
+        (F.pmod(F.col("part") * (j + 7), F.lit(10)) / 10.0).alias("conf"), F.lit(0).alias("cls"),
+    )
+    bird = F.struct(F.col("det").cast("int").alias("ord"), "x1", "y1", "x2", "y2", (F.pmod("part", F.lit(10)) / 10.0).alias("conf"), F.when(F.pmod("part", F.lit(4)) == 0, 2).otherwise(14).alias("cls"), F.array(*[eye(j) for j in range(4)]).alias("eyes"))
+    return A.boxes(spark, d).groupBy("image").agg(F.array_sort(F.collect_list(bird)).alias("birds"))  # some seven boxes an image
+
+
+@_query(_DETECTED_SQL + """, n AS (SELECT image, count(*) AS n_birds, max((x2 - x1) * (y2 - y1)) AS area FROM b GROUP BY image),
+f AS (SELECT image, det FROM (SELECT image, det, row_number() OVER (PARTITION BY image ORDER BY (x2 - x1) * (y2 - y1) DESC, det) AS r FROM b) WHERE r = 1), c AS (SELECT image, count(*) AS n_eyes FROM k WHERE r <= 2 GROUP BY image)
+SELECT i.image, coalesce(n_birds, 0) AS n_birds, coalesce(area, 0)::DOUBLE AS area, f.det AS best, coalesce(n_eyes, 0) AS n_eyes, coalesce(n_eyes, 0) > 0 AS has_eye FROM (SELECT DISTINCT image FROM boxes) i LEFT JOIN n USING (image) LEFT JOIN f USING (image) LEFT JOIN c USING (image)""")
+def screened_images(spark, d):
+    return detection.screened(_detected(spark, d)).select("image", "n_birds", "area", F.col("best.ord").alias("best"), "n_eyes", "has_eye")
+
+
+@_query(_DETECTED_SQL + " SELECT image, det, CAST(r AS INTEGER) AS place, j AS eye, eye_conf FROM k WHERE r <= 2")
+def surest_eyes(spark, d):
+    df = detection.screened(_detected(spark, d)).select("image", F.explode("birds").alias("b"))
+    df = df.select("image", F.col("b.ord").alias("det"), F.posexplode("b.eyes").alias("at", "e"))
+    return df.select("image", "det", (F.col("at") + 1).alias("place"), F.col("e.ord").cast("long").alias("eye"), F.col("e.conf").alias("eye_conf"))
+
+
 @_query(f"WITH {A.CANDIDATES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, det, rank) AS r FROM cand) SELECT image, confidence, det, rank, idx FROM o WHERE r = 1")
 def best_candidate(spark, d):
     return archive.best_candidate(A.candidates(spark, d), ["det", "rank", "idx"])

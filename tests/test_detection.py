@@ -1,0 +1,55 @@
+"""Injected detectors with stubs, and the rules on what they find."""
+
+from pyspark.sql import functions as F
+
+from plumage.operators import detection
+
+IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+
+
+def images(spark, *rows):
+    return spark.createDataFrame([((name, h, w, 3, 16, data),) for name, h, w, data in rows], IMAGE)
+
+
+def test_detectors_run_once_an_image(spark):
+    def birds():
+        def model(pixels, conf):
+            if pixels[0, 0, 0] == 9:
+                raise RuntimeError("no memory")
+            if pixels[0, 0, 0] == 8:
+                return []
+            return [(10.9, 10.2, 50.7, 40.1, 0.9, 14), (0, 0, 20, 20, 0.8, 2), (5, 5, 8, 8, 0.2, 14), (60, 10, 99, 40, 0.5, 14)]
+
+        return model
+
+    def eyes():
+        def model(pixels, conf):
+            h, w = pixels.shape[:2]  # the search area: the first bird's box grown by 4 pixels
+            return [(0, 0, 2, 2, 0.99, 0), (w / 2 - 1, h / 2 - 1, w / 2 + 1, h / 2 + 1, 0.6, 0), (10, 10, 12, 12, 0.6, 0), (12, 12, 14, 14, 0.7, 0)]
+
+        return model
+
+    plain = bytes(100 * 60 * 3)
+    rows = images(spark, ("a", 60, 100, plain), ("none", 60, 100, b"\x08" + plain[1:]), ("broken", 60, 100, b"\x09" + plain[1:]), ("short", 60, 100, b"abc"), ("null", -1, -1, None))
+    found = {r.path: r for r in detection.detected(rows, birds, eyes).collect()}
+    assert set(found) == {"a", "none", "broken", "short", "null"}
+    assert found["broken"].error == "RuntimeError: no memory" and all(found[k].error is None for k in ("a", "none", "short", "null"))
+    assert [(b.x1, b.y1, b.x2, b.y2) for b in found["a"].birds][0] == (10, 10, 50, 40)
+    assert [len(b.eyes) for b in found["a"].birds] == [4, 0, 0, 4]  # neither other classes nor unsure boxes are searched
+    assert found["a"].birds[0].eyes[0].x1 == 6.0  # the search area begins at 10 - int(40 * 0.12)
+
+    kept = {r.path: r for r in detection.screened(detection.detected(rows, birds, eyes)).collect()}
+    a = kept["a"]
+    assert [b.ord for b in a.birds] == [0, 3] and a.best.ord == 0 and a.area == 1200.0 and a.n_birds == 2
+    assert [e.ord for e in a.birds[0].eyes] == [3, 1]  # the surest lies outside; of equal ones the first stays
+    assert a.n_eyes == 4 and a.has_eye
+    for other in ("none", "broken", "short", "null"):
+        assert (kept[other].n_birds, kept[other].area, kept[other].best, kept[other].n_eyes, kept[other].has_eye) == (0, 0.0, None, 0, False)
+    assert detection.detected(rows.limit(0), birds).collect() == []
+
+
+def test_boxes_of_all_classes_and_ties(spark):
+    box = lambda o, side, cls, conf: (o, 0, 0, side, side, conf, cls, [])
+    df = spark.createDataFrame([([box(0, 3, 2, 0.3), box(1, 5, 14, 0.9), box(2, 5, 14, 0.9)],), ([],)], f"birds {detection.BIRDS}")
+    got = df.select(F.size(detection.of_class(F.col("birds"), None)).alias("n"), detection.largest(F.col("birds"))["ord"].alias("best")).collect()
+    assert [tuple(r) for r in got] == [(3, 1), (0, None)]
