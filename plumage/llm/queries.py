@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_tools, embeddings, packing, quality, sharding, simhash, substring, token_counts, warc
+from . import audit, bestfit, bpe, chat_tools, embeddings, lloyd, packing, quality, sharding, simhash, substring, token_counts, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_multi_index": embeddings.op8_multi_index,
         "op9_feistel_shards": sharding.op9_feistel_shards,
         "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
+        "op11_filter_interactions": audit.op11_filter_interactions,
+        "op12_best_fit_sequences": bestfit.op12_best_fit_sequences,
+        "op13_delta_lloyd": lloyd.op13_delta_lloyd,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_adaptive_quality": quality.OP5_SQL}
+    return {"op5_adaptive_quality": quality.OP5_SQL, "op11_filter_interactions": audit.OP11_SQL, "op13_delta_lloyd": lloyd.OP13_SQL}
