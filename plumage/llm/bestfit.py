@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from functools import lru_cache
 from zlib import crc32
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import default_path
+from .bpe import ByteLevelBpe, default_path
 from .common import documents, written
 
 CAPACITY = 2048
@@ -28,65 +29,52 @@ LOCAL = 32_768
 OPEN = LOCAL // 16
 #: A sequence that lacks no more than this part of the capacity is nearly full.
 NEARLY = 512
-#: Characters of words whose ids a worker remembers (some 600,000 words, below 200 MB).
-MEMO_CHARS = 6_000_000
+#: Characters whose classes (letter, number, space) every library's tables agree on.
+COMMON = "\u0000-\u024f"
 
 
-class WordEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct word once.
+class Encoder:
+    """Ids of whole texts as the tokenizers library gives them, at the speed of rank-based merging.
 
-    The byte-level split never joins characters across the start of a word, so where
-    all white space is single spaces and line feeds a text is cut before each. Other
-    texts, and those that hold a special string, go to the library as a whole.
+    A rank-based encoder merges two neighbours whenever their concatenation is a
+    token, the library only if the pair is in the list of merges. Both do the same
+    where every token, taken by itself, is merged to that token by the list: what
+    lies between a token's ends is merged as if nothing stood around it. This is
+    checked when the file is loaded. A file that fails it, texts with special strings
+    and texts with characters outside ``COMMON`` are encoded by the library itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-        self.room = MEMO_CHARS
-
-    def direct(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, text: str) -> list[str] | None:
-        """The text in parts that are encoded apart, or None."""
-        spaced = text.replace("\n", " \n")
-        words = spaced.split(" ")
-        if "" in words or "\n" in words or len(text.split()) != len(words) or any(s in text for s in self.special):
-            return None
-        return [w if w[0] == "\n" else f" {w}" if i else w for i, w in enumerate(words)]
+        listed = ByteLevelBpe(path)
+        ids = listed.byte_ids + [new for _, new in listed.merges.values()]
+        ranks = {listed.vocabulary[i]: rank for rank, i in enumerate(ids)}
+        same = len(ranks) == len(ids) and all(listed.merged(listed.vocabulary[i]) == [i] for i in ids)
+        self.ranked = tiktoken.Encoding("ranks", pat_str=listed.PATTERN, mergeable_ranks=ranks, special_tokens={}) if same else None
+        self.ids = np.array(ids, dtype="<u4")
+        self.other = re.compile("|".join([f"[^{COMMON}]", *map(re.escape, listed.special)])).search
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null and empty: none."""
-        out = []
-        for at in range(0, len(texts), 256):
-            block = [t or "" for t in texts[at : at + 256]]
-            cut = [self.words(t) for t in block]
-            if self.room < 0:
-                self.memo.clear()
-                self.room = MEMO_CHARS
-            missing = list(set().union(*[w for w in cut if w]).difference(self.memo))
-            for first in range(0, len(missing), 4096):
-                some = missing[first : first + 4096]
-                self.memo.update(zip(some, self.direct(some), strict=True))
-            self.room -= sum(map(len, missing)) + 4 * len(missing)
-            whole = iter(self.direct([t for t, w in zip(block, cut, strict=True) if w is None]))
-            out += [next(whole) if w is None else b"".join(map(self.memo.__getitem__, w)) for w in cut]
-        return out
+        import numpy as np
+
+        texts = [t or "" for t in texts]
+        by_library = [t for t in texts if self.ranked is None or self.other(t)]
+        found = iter(self.library.encode_batch_fast(by_library, add_special_tokens=False))
+        return [np.array(next(found).ids, dtype="<u4").tobytes() if self.ranked is None or self.other(t) else self.ids[self.ranked.encode_to_numpy(t)].tobytes() for t in texts]
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> Encoder:
     """One encoder a worker process and file."""
-    return WordEncoder(path)
+    return Encoder(path)
 
 
 def pieces_of(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -100,7 +88,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -
 
     A null text counts as empty: it has the one id ``end``. Repeated rows and rows
     without a doc_id are documents of their own; other columns are not read. A task
-    holds one Arrow batch of texts and its bounded memory of words.
+    holds one Arrow batch of texts and the ids of 512 of them.
     """
     closing = end.to_bytes(4, "little")
 

@@ -32,7 +32,7 @@ def check(rows, capacity):
     return len(held)
 
 
-def test_words_are_encoded_as_the_library_does(library):
+def test_odd_texts_are_encoded_as_the_library_does(library):
     rng = random.Random(4)
     parts = ["a", "b's", "'s", "é", "<|endoftext|>", "中文", "1", "12", "_", "\n", "\n\n", " ", "  ", "\t", "\r\n", " ", " ", "\x1c", "🙂", "é", "", "don't", "I'll", "\x00", "﻿"]
     texts = ["".join(rng.choice(parts) + rng.choice([" ", "\n", ""]) for _ in range(rng.randint(0, 12))) for _ in range(1500)] + [None, "", " ".join(parts)]
@@ -40,11 +40,33 @@ def test_words_are_encoded_as_the_library_does(library):
         assert ids == library(text)[:-1].tobytes(), text
 
 
-def test_memory_of_words_is_bounded(monkeypatch, library):
-    monkeypatch.setattr(B, "MEMO_CHARS", 100)
-    found = B.WordEncoder(B.default_path())
-    texts = [f"word{i} w{i}x" for i in range(2000)]
-    assert [len(x) for x in found.encode(texts)] == [library(t)[:-1].nbytes for t in texts] and len(found.memo) < 1000
+def test_latin_texts_take_the_ranks_and_equal_the_library(library):
+    found = B.encoder(B.default_path())
+    assert found.ranked is not None  # every token of the file is merged to itself
+    rng = random.Random(8)
+    characters = [chr(c) for c in range(0x250)]
+    texts = ["".join(rng.choices(characters, k=rng.randint(1, 40))) for _ in range(1000)]
+    texts += ["".join(rng.choices("aeionrst' \n", k=200)) for _ in range(1000)]
+    assert not any(map(found.other, texts))
+    assert [library(t)[:-1].tobytes() for t in texts] == found.encode(texts)
+
+
+def test_vocabulary_that_ranks_do_not_fit_goes_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(B.default_path(), encoding="utf-8") as file:
+        spec = json.load(file)
+    chars = sorted(t for t in spec["model"]["vocab"] if len(t) == 1)
+    # "ab" comes first, so "abc" by "a", "bc" is never reached from the text "abc"
+    spec["model"] |= {"vocab": {t: i for i, t in enumerate([*chars, "ab", "bc", "abc"])}, "merges": ["a b", "b c", "a bc"]}
+    spec["added_tokens"] = []
+    path = tmp_path / "odd.json"
+    path.write_text(json.dumps(spec))
+    found = B.Encoder(str(path))
+    assert found.ranked is None
+    assert [np.frombuffer(x, "<u4").tolist() for x in found.encode(["abc bc"])] == [Tokenizer.from_file(str(path)).encode("abc bc").ids]
 
 
 def test_pieces_of_every_length():
