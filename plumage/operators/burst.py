@@ -56,27 +56,39 @@ def best_frames(bursts: DataFrame, ratio: float = 0.2, least: int = 2, min_area:
     return df.withColumn("keep", F.col("eligible") & ((F.col("n") == 1) | (F.col("rk") <= F.col("quota"))))
 
 
-def sampled_scores(bursts: DataFrame) -> DataFrame:
-    """WIN13, JN11: scores where only a third of a burst (three at least) was measured.
+def sampled(bursts: DataFrame) -> DataFrame:
+    """WIN13: ``at``, a frame's place in its session, and whether it is one of those to measure.
+
+    In sessions of more than three frames, those at ``round(i * n / count)`` are, for a
+    third of the frames (three at least); smaller ones are measured whole. The only
+    ``i`` that can lead to a place are those beside its share of the count.
+    """
+    df = bursts.withColumn("at", (F.row_number().over(_session().orderBy("us", "path")) - 1).cast("long"))
+    count = F.greatest(F.lit(3), F.floor(F.col("n") / 3)).cast("long")
+    near = F.floor(F.col("at") * count / F.col("n")).cast("long")
+    leads = lambda i: i.between(0, count - 1) & (F.bround(i * (F.col("n") / count)).cast("long") == F.col("at"))
+    return df.withColumn("sampled", (F.col("n") <= 3) | leads(near - 1) | leads(near) | leads(near + 1))
+
 
-    In sessions of more than three frames, the frames at ``round(i * n / count)`` are
-    sampled; the others take 0.95 of the score of the nearest sampled frame, the
-    earlier one of two. Smaller sessions are measured whole.
+def estimated(measured: DataFrame) -> DataFrame:
+    """JN11: ``est_focus``; frames that weren't measured take 0.95 of the score of the nearest that was.
+
+    Of two equally near ones the earlier counts. Rows come from :func:`sampled`, with ``focus``.
     """
-    at = F.row_number().over(_session().orderBy("us", "path")) - 1
-    df = bursts.withColumn("at", at)
-    count = F.greatest(F.lit(3), F.floor(F.col("n") / 3))
-    places = F.transform(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1), lambda i: F.bround(i * (F.col("n") / count)).cast("long"))
-    df = df.withColumn("sampled", (F.col("n") <= 3) | F.array_contains(places, F.col("at").cast("long")))
     inside = _session().orderBy("us", "path")
     back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
     known = lambda c: F.when(F.col("sampled"), F.col(c))
-    df = df.withColumns({"_pa": F.last(known("at"), True).over(back), "_pf": F.last(known("focus"), True).over(back), "_na": F.first(known("at"), True).over(ahead), "_nf": F.first(known("focus"), True).over(ahead)})
+    df = measured.withColumns({"_pa": F.last(known("at"), True).over(back), "_pf": F.last(known("focus"), True).over(back), "_na": F.first(known("at"), True).over(ahead), "_nf": F.first(known("focus"), True).over(ahead)})
     earlier = F.col("_na").isNull() | ((F.col("at") - F.col("_pa")) <= (F.col("_na") - F.col("at")))
     near = F.when(F.col("_pa").isNotNull() & earlier, F.col("_pf")).otherwise(F.col("_nf"))
     return df.withColumn("est_focus", F.when(F.col("sampled"), F.col("focus")).otherwise(near * 0.95)).drop("_pa", "_pf", "_na", "_nf")
 
 
+def sampled_scores(bursts: DataFrame) -> DataFrame:
+    """WIN13, JN11: ``at``, ``sampled`` and ``est_focus`` where every frame has a ``focus``."""
+    return estimated(sampled(bursts))
+
+
 def burst_summary(frames: DataFrame) -> DataFrame:
     """AGG1: one row a burst."""
     return frames.filter("burst_id is not null").groupBy("camera", "burst_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("keep").alias("kept"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.max("focus").alias("best_focus"))

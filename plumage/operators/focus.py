@@ -126,6 +126,37 @@ def mask_terms(gray, mask) -> tuple[float, float, float, float] | None:
     return float(inner.var()) if inner.size > 1 else float((inner**2).mean()), mean, float((inner**2).mean()), max(0.0, outer / (mean + 1e-6) - 1.25) * 1.15
 
 
+#: Fixed value: the share that a subject's box is widened by before its sharpness is measured.
+ROI_MARGIN = 0.04
+
+
+def subject_terms(pixels, box: tuple | None = None, outline=None, mode: str = "mask_hybrid") -> tuple[float, float, float, float] | None:
+    """IMG6: raw terms of a whole image, of a subject's box or of what its outline holds.
+
+    ``mode`` as in the settings: ``mask_hybrid`` uses the outline where its mask is large
+    enough and the box elsewhere, ``hybrid`` the box; of ``laplacian`` only the variance
+    counts. None for an empty box.
+    """
+    import numpy as np
+
+    from .detection import grown_box
+
+    h, w = pixels.shape[:2]
+    x1, y1, x2, y2 = grown_box(box, w, h, ROI_MARGIN) if box else (0, 0, w, h)
+    crop = pixels[y1:y2, x1:x2]
+    if crop.size == 0:
+        return None
+    gray = gray_of(crop.tobytes(), *crop.shape)
+    if mode == "laplacian":
+        return float(laplacian(gray).var()), 0.0, 0.0, 0.0
+    if mode == "mask_hybrid" and box and outline:
+        points = np.array([(p["x"] - x1, p["y"] - y1) for p in outline])
+        terms = mask_terms(gray, polygon_mask(points, x2 - x1, y2 - y1))
+        if terms is not None:
+            return terms
+    return focus_terms(gray)
+
+
 def image_terms(images: DataFrame) -> DataFrame:
     """Raw terms of every row of Spark's ``image`` source; undecodable ones have nulls.
 

@@ -80,11 +80,14 @@ def accepted(counts: DataFrame, floor: float | None) -> DataFrame:
 
     ``counts`` has a row a detection: ``raw_count``, ``post_count``, ``top_confidence``
     (after refinement) and ``is_bird`` (false for other subjects of a remote answer,
-    which the floor spares).
+    which the floor spares). Where it also has ``kept_count``, detections that a later
+    step left without candidates have a reason of their own.
     """
     low = F.lit(False) if floor is None else F.coalesce(F.col("top_confidence") < floor, F.lit(False)) & F.col("is_bird")
     none_left = "all_candidates_removed_by_geo_rules" if floor is None else "all_candidates_filtered_below_unknown_kind_threshold"
     reason = F.when(F.col("raw_count") == 0, "no_model_candidates").when(F.col("post_count") == 0, none_left).when(low, "top1_conf_below_min_accept")
+    if "kept_count" in counts.columns:
+        reason = reason.when(F.col("kept_count") == 0, "all_candidates_filtered_after_geo_refine")
     return counts.withColumn("unknown_reason", reason).withColumn("accepted", reason.isNull())
 
 

@@ -61,18 +61,34 @@ def national(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.pmod("p_partkey", F.lit(50)).cast("int").alias("idx")).filter("idx < 20").distinct()
 
 
-CANDIDATES_SQL = """
-cand AS (SELECT *, row_number() OVER (PARTITION BY image, det ORDER BY confidence DESC, line, part) AS rank FROM (
-  SELECT l_orderkey AS image, CAST(l_suppkey % 2 AS INTEGER) AS det, CASE WHEN l_partkey % 7 <> 0 THEN CAST(l_partkey % 50 AS INTEGER) END AS idx, l_discount * 10 AS confidence,
-         CASE WHEN l_orderkey % 6 <> 0 THEN 'P' || (l_orderkey % 30) END AS province, l_linenumber AS line, l_partkey AS part FROM lineitem)),
+LISTS_SQL = """
 regional AS (SELECT DISTINCT 'P' || s_nationkey AS region, CAST(s_suppkey % 50 AS INTEGER) AS idx FROM supplier),
-national AS (SELECT DISTINCT CAST(p_partkey % 50 AS INTEGER) AS idx FROM part WHERE p_partkey % 50 < 20),
+national AS (SELECT DISTINCT CAST(p_partkey % 50 AS INTEGER) AS idx FROM part WHERE p_partkey % 50 < 20)"""
+
+REFINED_SQL = """
 flagged AS (SELECT c.*, EXISTS (SELECT 1 FROM national n WHERE n.idx = c.idx) AS in_national,
   CASE WHEN c.province IN (SELECT region FROM regional) THEN EXISTS (SELECT 1 FROM regional r WHERE r.region = c.province AND r.idx = c.idx) ELSE EXISTS (SELECT 1 FROM national n WHERE n.idx = c.idx) END AS listed
   FROM cand c WHERE rank <= 10),
 passed AS (SELECT * FROM (SELECT *, bool_or(listed) OVER (PARTITION BY image, det) AS any_listed FROM flagged WHERE listed OR confidence > 0.75) WHERE listed OR NOT any_listed),
 reranked AS (SELECT *, row_number() OVER (PARTITION BY image, det ORDER BY confidence + CASE WHEN in_national THEN 0.005 ELSE 0.0 END DESC, rank) AS new_rank FROM passed)"""
 
+CANDIDATES_SQL = f"""
+cand AS (SELECT *, row_number() OVER (PARTITION BY image, det ORDER BY confidence DESC, line, part) AS rank FROM (
+  SELECT l_orderkey AS image, CAST(l_suppkey % 2 AS INTEGER) AS det, CASE WHEN l_partkey % 7 <> 0 THEN CAST(l_partkey % 50 AS INTEGER) END AS idx, l_discount * 10 AS confidence,
+         CASE WHEN l_orderkey % 6 <> 0 THEN 'P' || (l_orderkey % 30) END AS province, l_linenumber AS line, l_partkey AS part FROM lineitem)),
+{LISTS_SQL},
+{REFINED_SQL}"""
+
+
+def species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first parts as a species table: two thirds of the classes have a name."""
+    p = table(spark, sf_dir, "part").filter("p_partkey <= 44")
+    return p.select((F.col("p_partkey") - 1).cast("int").alias("idx"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_name")).otherwise("").alias("chinese_name"), F.when(F.col("p_partkey") % 2 > 0, F.col("p_type")).alias("english_name"), F.lit("").alias("scientific_name"))
+
+
+SPECIES_SQL = """
+species AS (SELECT CAST(p_partkey - 1 AS INTEGER) AS idx, CASE WHEN p_partkey % 3 > 0 THEN p_name WHEN p_partkey % 2 > 0 THEN p_type ELSE '未知' END AS name FROM part WHERE p_partkey <= 44)"""
+
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as photos with positions; some have none."""

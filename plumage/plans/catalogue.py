@@ -16,7 +16,7 @@ from ..functions import boxes as B
 from ..functions import geo as G
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import answers, archive, burst, detection, refine, report, routing, spatial, taxonomy
+from ..operators import answers, archive, burst, detection, evaluation, recognition, refine, report, routing, spatial, taxonomy
 from ..sources import images
 from ..streaming import bursts as stream
 from . import adapters as A
@@ -113,6 +113,14 @@ def burst_fast_sample(spark, d):
     return burst.sampled_scores(_bursts(spark, d)).select("camera", "path", "sampled", "est_focus")
 
 
+@_query(f"""WITH {A.FRAMES_SQL}, p AS (SELECT *, pos - 1 AS place, greatest(3, n // 3) AS cnt FROM quotas),
+s AS (SELECT DISTINCT camera, sid, CAST(round_even(i * (n / cnt), 0) AS BIGINT) AS place FROM (SELECT DISTINCT camera, sid, n, cnt, unnest(range(cnt)) AS i FROM p WHERE n > 3))
+SELECT p.camera, p.path, p.place AS at, CASE WHEN n > 1 AND quota >= n THEN 'whole' WHEN n <= 3 OR s.place IS NOT NULL THEN 'measure' ELSE 'estimate' END AS plan
+FROM p LEFT JOIN s ON p.camera = s.camera AND p.sid = s.sid AND p.place = s.place""")
+def burst_plan(spark, d):
+    return evaluation.planned(_bursts(spark, d), False, True).select("camera", "path", "at", "plan")
+
+
 @_query(f"WITH {A.FRAMES_SQL} SELECT camera, burst_id, path, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S') AS time, time_diff, has_eye, keep AS kept FROM kept WHERE burst_id IS NOT NULL")
 def burst_report_nested(spark, d):
     frames = _kept(spark, d)
@@ -152,6 +160,26 @@ def logits_accept(spark, d):
     return refine.accepted(counts, 0.06).select("vec_id", "raw_count", "post_count", "unknown_reason")
 
 
+@_query(f"""WITH {_SOFTMAX}, {A.LISTS_SQL}, {A.SPECIES_SQL},
+boxes AS (SELECT vec_id AS image, CAST(label % 2 AS INTEGER) AS det, CASE WHEN vec_id % 6 <> 0 THEN 'P' || (vec_id % 30) END AS province FROM embeddings),
+cand AS (SELECT b.*, rank, r.idx, round(p, 4) AS confidence, name FROM boxes b JOIN r ON b.image = r.vec_id JOIN species USING (idx) WHERE rank <= 2),
+{A.REFINED_SQL},
+raw AS (SELECT image, det, count(*) AS raw_count, arg_min(name, rank) AS raw_top_name, arg_min(confidence, rank) AS raw_top_confidence FROM cand GROUP BY ALL),
+post AS (SELECT image, det, count(*) AS post_count, arg_min(name, new_rank) AS post_top_name, arg_min(confidence, new_rank) AS post_top_confidence FROM reranked GROUP BY ALL),
+o AS (SELECT boxes.image, boxes.det, coalesce(raw_count, 0) AS raw_count, raw_top_name, raw_top_confidence, coalesce(post_count, 0) AS post_count, post_top_name, post_top_confidence, f.floor
+  FROM boxes LEFT JOIN raw USING (image, det) LEFT JOIN post USING (image, det), (VALUES (CAST(NULL AS DOUBLE)), (0.025)) f(floor))
+SELECT *, CASE WHEN raw_count = 0 THEN 'no_model_candidates' WHEN post_count = 0 AND floor IS NULL THEN 'all_candidates_removed_by_geo_rules'
+  WHEN post_count = 0 THEN 'all_candidates_filtered_below_unknown_kind_threshold' WHEN post_top_confidence < floor THEN 'top1_conf_below_min_accept' END AS unknown_reason FROM o""")
+def recognition_outcomes(spark, d):
+    e = A.table(spark, d, "embeddings")
+    boxes = e.select(F.col("vec_id").alias("image"), F.pmod("label", F.lit(2)).cast("int").alias("det"), F.col("embedding").alias("logits"))
+    place = F.when(F.pmod("image", F.lit(6)) != 0, F.concat(F.lit("P"), F.pmod("image", F.lit(30)).cast("string")))
+    raw = recognition.candidates(boxes, A.species(spark, d), 2).withColumn("province", place)
+    passed = refine.refined(raw, A.regional(spark, d), A.national(spark, d))
+    judged = [recognition.outcomes(boxes, raw, passed, floor).withColumn("floor", F.lit(floor).cast("double")) for floor in (None, 0.025)]
+    return judged[0].unionByName(judged[1]).drop("is_bird", "accepted", "detail")
+
+
 @_query(f"WITH {A.CANDIDATES_SQL} SELECT image, det, rank, idx, listed, in_national FROM flagged")
 def geo_flag(spark, d):
     return refine.whitelist_flags(A.candidates(spark, d).filter("rank <= 10"), A.regional(spark, d), A.national(spark, d)).select("image", "det", "rank", "idx", "listed", "in_national")

@@ -4,7 +4,8 @@ import sys
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")]))
+here = os.path.dirname(os.path.abspath(__file__))  # workers import stubs from the tests' own modules
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(here), here, os.environ.get("PYTHONPATH", "")]))
 
 
 @pytest.fixture(scope="session")

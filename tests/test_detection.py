@@ -49,7 +49,7 @@ def test_detectors_run_once_an_image(spark):
 
 
 def test_boxes_of_all_classes_and_ties(spark):
-    box = lambda o, side, cls, conf: (o, 0, 0, side, side, conf, cls, [])
+    box = lambda o, side, cls, conf: (o, 0, 0, side, side, conf, cls, [], None)
     df = spark.createDataFrame([([box(0, 3, 2, 0.3), box(1, 5, 14, 0.9), box(2, 5, 14, 0.9)],), ([],)], f"birds {detection.BIRDS}")
     got = df.select(F.size(detection.of_class(F.col("birds"), None)).alias("n"), detection.largest(F.col("birds"))["ord"].alias("best")).collect()
     assert [tuple(r) for r in got] == [(3, 1), (0, None)]
