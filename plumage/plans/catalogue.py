@@ -542,6 +542,29 @@ def two_pass_routing(spark, d):
     return routing.routed(A.table(spark, d, "orders"), "o_orderkey", first, second, ("first", "second")).select("o_orderkey", "method", "score")
 
 
+_ROUTES = """
+o AS (SELECT o_orderkey, o_orderkey % 3 = 0 AS here, (o_orderkey // 4) % 3 AS lo, (o_orderkey // 16) % 3 AS re, ['ok', 'empty', 'raised'] AS names, 'm' || (o_custkey % 2) AS model FROM orders),
+s AS (SELECT *, CASE WHEN here THEN lo = 2 ELSE true END AS asks_remote, CASE WHEN here THEN true ELSE re > 0 END AS asks_local FROM o),
+t AS (SELECT o_orderkey, here, CASE WHEN asks_remote THEN names[re + 1] END AS remote_status, CASE WHEN asks_local THEN names[lo + 1] END AS local_status, '豆包API(' || model || ')' AS served FROM s)"""
+
+
+@_query(f"""WITH {_ROUTES} SELECT o_orderkey, remote_status, local_status,
+CASE WHEN here AND local_status <> 'raised' THEN '本地模型' WHEN here AND remote_status <> 'raised' THEN served || '(回退)' WHEN here THEN 'unknown' WHEN remote_status = 'ok' THEN served
+  WHEN local_status <> 'raised' THEN '本地模型(豆包无可用结果，已回退)' WHEN remote_status = 'empty' THEN served ELSE 'unknown' END AS method,
+CASE WHEN here AND local_status = 'ok' THEN 'local' WHEN here AND local_status = 'empty' THEN NULL WHEN remote_status = 'ok' THEN 'remote' WHEN NOT here AND local_status = 'ok' THEN 'local' END AS first FROM t""")
+def hybrid_routes(spark, d):
+    def way(divisor, name):
+        k = F.pmod(F.call_function("div", F.col("o_orderkey"), F.lit(divisor)), F.lit(3))
+        one = F.array(F.struct(F.lit(1).alias("rank"), F.lit(name).alias("name"), F.lit(0.9).alias("confidence")))
+        status = F.when(k == 0, "ok").when(k == 1, "empty").otherwise("raised")
+        model = F.concat(F.lit("m"), F.pmod("o_custkey", F.lit(2)).cast("string"))
+        return lambda rows: rows.select("o_orderkey", status.alias("status"), model.alias("model"), F.when(k == 0, one).alias("candidates"))
+
+    routed = routing.hybrid(A.table(spark, d, "orders"), "o_orderkey", way(4, "local"), way(16, "remote"), F.col("o_orderkey") % 3 == 0)
+    return routed.select("o_orderkey", "remote_status", "local_status", "method", F.get("candidates", F.lit(0))["name"].alias("first"))
+
+
+
 # --- text ----------------------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""Online enrichment with an injected transport: geocoders and vision models.
+"""Online geocoders with an injected transport.
 
 A transport is ``transport(url, params) -> dict`` (or raises). It is created in each
 task by a factory, so sessions and keys never leave the workers; tests inject one
@@ -13,8 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import backoff_seconds
-
 Transport = Callable[[str, dict], dict]
 
 
@@ -99,49 +97,3 @@ def geocode_online(names: DataFrame, factory: Callable[[], Transport], enabled:
 
     distinct = names.groupBy("name").agg(F.min("query_name").alias("query_name"))
     return distinct.mapInPandas(batches, "name string, lat double, lon double, tier string")
-
-
-def ask_models(images: DataFrame, factory: Callable[[], Transport], models: list[str], url: str, retries: int = 5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """SRC31: one chat request an image: ``(image, model, answer, total_tokens, outcome)``.
-
-    ``images(image, request)``; ``request`` is the JSON text of the body's messages. The
-    transport raises ``PermissionError`` for a model that is refused (it is blocked
-    in this task), ``BlockingIOError`` for too many requests (the next model, after
-    a wait), ``TimeoutError`` and ``OSError`` otherwise; spent retries give no answer.
-    """
-
-    def batches(source):
-        import json
-
-        import pandas as pd
-
-        transport, blocked = factory(), set()
-
-        def ask(request: str):
-            at = 0
-            for attempt in range(retries):
-                usable = [m for m in models if m not in blocked]
-                if not usable:
-                    return None, None, None, "blocked"
-                model = usable[at % len(usable)]
-                try:
-                    body = transport(url, {"model": model, "messages": json.loads(request)})
-                    usage = body.get("usage") or {}
-                    tokens = usage.get("total_tokens") or (usage.get("prompt_tokens") or 0) + (usage.get("completion_tokens") or 0)
-                    return model, json.dumps(body, ensure_ascii=False), tokens, "ok"
-                except PermissionError:
-                    blocked.add(model)
-                except BlockingIOError:
-                    at += 1
-                    sleep(backoff_seconds(attempt, None))
-                except TimeoutError:
-                    at += 1
-                    sleep(min(8.0, 1.0 + attempt))
-                except OSError:
-                    sleep(min(6.0, 1.0 + attempt))
-            return None, None, None, "exhausted"
-
-        for pdf in source:
-            yield pd.DataFrame([(i, *ask(r)) for i, r in zip(pdf["image"], pdf["request"], strict=True)], columns=["image", "model", "answer", "total_tokens", "outcome"])
-
-    return images.select("image", "request").mapInPandas(batches, "image string, model string, answer string, total_tokens long, outcome string")

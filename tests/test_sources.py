@@ -142,25 +142,6 @@ def test_online_tiers(spark):
     assert got == {"here": (30.5, 120.5, "amap"), "there": (0.0, 5.0, "open-meteo"), "nowhere": (None, None, None)}
 
 
-def test_model_requests(spark):
-    def factory():
-        calls = {"n": 0}
-
-        def transport(url, body):
-            calls["n"] += 1
-            if body["model"] == "refused":
-                raise PermissionError
-            if calls["n"] == 2:
-                raise BlockingIOError
-            return {"choices": [], "usage": {"prompt_tokens": 3, "completion_tokens": 4}}
-
-        return transport
-
-    rows = spark.createDataFrame([("i1", "[]"), ("i2", "[]")], "image string, request string").coalesce(1)
-    got = geocoders.ask_models(rows, factory, ["refused", "m"], "u", sleep=lambda s: None).collect()
-    assert {(r.image, r.model, r.total_tokens, r.outcome) for r in got} == {("i1", "m", 7, "ok"), ("i2", "m", 7, "ok")}
-
-
 def test_copies_and_usage(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"1")
     plan = spark.createDataFrame([(str(tmp_path / "a"), str(tmp_path / "x/y/a")), (str(tmp_path / "none"), str(tmp_path / "x/none"))], "src string, dest string")
