@@ -73,27 +73,36 @@ def numbered(df: DataFrame, order: list[str], block: Column) -> DataFrame:
     return df.join(starts, "_block").withColumn("seq", F.col("_start") + F.row_number().over(inside)).drop("_block", "_start")
 
 
-def collision_names(files: DataFrame) -> DataFrame:
+def collision_names(files: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """WIN7: ``target`` names of files in one folder: repeats get ``_1``, ``_2`` and so on.
 
-    ``files(path, stem, ext)``, in the order of ``path``. The first file of a name
-    keeps it; repeats take the least numbers whose names no file has, so all targets
-    differ. A number is free for the ``k``-th repeat if fewer than ``k`` are before it:
-    the ``i``-th taken number ``t`` has ``t - i`` free ones before it, and moves all
-    repeats beyond those up by one.
+    ``files(path, stem, ext)``, in the order of ``path``; ``existing(stem, ext)`` are names
+    that the folder has already. The first file of a name keeps it unless the folder
+    has it; the others take the least numbers whose names no file has, so all targets
+    differ from each other and from what is there. A number is free for the ``k``-th
+    repeat if fewer than ``k`` are before it: the ``i``-th taken number ``t`` has ``t - i``
+    free ones before it, and moves all repeats beyond those up by one. Rows are carried
+    along, not joined back, so a path that occurs again is one more file.
     """
-    own = Window.partitionBy("stem", "ext").orderBy("path")
-    nth = files.withColumn("_k", (F.row_number().over(own) - 1).cast("long"))
+    held = files.select(F.col("stem").alias("_s"), F.col("ext").alias("_e"), F.col("path").alias("_p"), F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("_row"))
+    names = files.select("stem", "ext")
+    if existing is None:
+        held = held.withColumn("_there", F.lit(0))
+    else:
+        there = existing.select(F.col("stem").alias("_s"), F.col("ext").alias("_e")).distinct()
+        names = names.unionByName(existing.select("stem", "ext"))
+        held = held.join(there.withColumn("_there", F.lit(1)), ["_s", "_e"], "left").withColumn("_there", F.coalesce("_there", F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("_s", "_e").orderBy("_p")) - 1 + F.col("_there")
+    rows = held.select("_s", "_e", nth.cast("long").alias("_v"), F.lit(0).alias("_taken"), "_row")
     numbered_stem = F.regexp_extract("stem", r"^(.*)_([1-9][0-9]{0,17})$", 1)
     number = F.expr(r"try_cast(nullif(regexp_extract(stem, '^(.*)_([1-9][0-9]{0,17})$', 2), '') AS bigint)")
-    taken = files.select(numbered_stem.alias("stem"), "ext", number.alias("_t")).filter("_t is not null").distinct()
-    before = F.col("_t") - F.row_number().over(Window.partitionBy("stem", "ext").orderBy("_t"))
-    marks = taken.select("stem", "ext", before.alias("_v"), F.lit(1).alias("_taken"), F.lit(None).cast(files.schema["path"].dataType).alias("path"))
-    rows = nth.select("stem", "ext", F.col("_k").alias("_v"), F.lit(0).alias("_taken"), "path").unionByName(marks)
-    upto = Window.partitionBy("stem", "ext").orderBy("_v", "_taken").rowsBetween(Window.unboundedPreceding, 0)
-    moved = rows.withColumn("_n", F.col("_v") + F.sum("_taken").over(upto)).filter("_taken = 0").select(F.col("path").alias("_path"), F.col("_v").alias("_own"), "_n")
-    named = files.join(moved, files["path"] == F.col("_path"))
-    return named.withColumn("target", F.when(F.col("_own") == 0, F.concat("stem", "ext")).otherwise(F.concat("stem", F.lit("_"), F.col("_n").cast("string"), "ext"))).drop("_path", "_own", "_n")
+    taken = names.select(numbered_stem.alias("_s"), F.col("ext").alias("_e"), number.alias("_t")).filter("_t is not null").distinct()
+    before = F.col("_t") - F.row_number().over(Window.partitionBy("_s", "_e").orderBy("_t"))
+    marks = taken.select("_s", "_e", before.alias("_v"), F.lit(1).alias("_taken"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    upto = Window.partitionBy("_s", "_e").orderBy("_v", "_taken").rowsBetween(Window.unboundedPreceding, 0)
+    moved = rows.unionByName(marks).withColumn("_n", F.col("_v") + F.sum("_taken").over(upto)).filter("_taken = 0")
+    target = F.when(F.col("_v") == 0, F.concat("_s", "_e")).otherwise(F.concat("_s", F.lit("_"), F.col("_n").cast("string"), "_e"))
+    return moved.withColumn("_target", target).select(*[F.col("_row").getField(c).alias(c) for c in files.columns if c != "target"], F.col("_target").alias("target"))
 
 
 def species_rollup(df: DataFrame) -> DataFrame:

@@ -470,6 +470,23 @@ def name_collision(spark, d):
     return archive.collision_names(files).select("path", "target")
 
 
+@_query(r"""WITH files AS (SELECT o_orderkey AS path, 'IMG_' || (o_custkey % 40) || CASE WHEN o_orderkey % 4 = 0 THEN '_' || (o_orderkey % 23) ELSE '' END AS stem, '.jpg' AS ext FROM orders),
+there AS (SELECT DISTINCT 'IMG_' || (c_custkey % 60) || CASE WHEN c_custkey % 3 > 0 THEN '_' || (c_custkey % 50) ELSE '' END AS stem, '.jpg' AS ext FROM customer),
+names AS (SELECT stem, ext FROM files UNION SELECT stem, ext FROM there),
+taken AS (SELECT DISTINCT regexp_extract(stem, '^(.*)_([1-9][0-9]{0,17})$', 1) AS stem, ext, CAST(regexp_extract(stem, '^(.*)_([1-9][0-9]{0,17})$', 2) AS BIGINT) AS t FROM names WHERE regexp_matches(stem, '^(.*)_([1-9][0-9]{0,17})$')),
+sized AS (SELECT stem, ext, count(*) + (SELECT count(*) FROM taken t WHERE t.stem = f.stem AND t.ext = f.ext) + 1 AS top FROM files f GROUP BY stem, ext),
+free AS (SELECT stem, ext, i, row_number() OVER (PARTITION BY stem, ext ORDER BY i) AS k FROM (SELECT stem, ext, unnest(range(1, top + 1)) AS i FROM sized) s WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.stem = s.stem AND t.ext = s.ext AND t.t = s.i)),
+nth AS (SELECT f.*, row_number() OVER (PARTITION BY f.stem, f.ext ORDER BY path) - CASE WHEN there.stem IS NULL THEN 1 ELSE 0 END AS k FROM files f LEFT JOIN there ON f.stem = there.stem AND f.ext = there.ext)
+SELECT path, CASE WHEN nth.k = 0 THEN nth.stem || nth.ext ELSE nth.stem || '_' || i || nth.ext END AS target FROM nth LEFT JOIN free ON nth.stem = free.stem AND nth.ext = free.ext AND nth.k = free.k""")
+def name_dodging(spark, d):
+    name = lambda key, n: F.concat(F.lit("IMG_"), F.pmod(key, F.lit(n)).cast("string"))
+    more = lambda key, n: F.concat(F.lit("_"), F.pmod(key, F.lit(n)).cast("string"))
+    files = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.concat(name("o_custkey", 40), F.when(F.col("o_orderkey") % 4 == 0, more("o_orderkey", 23)).otherwise("")).alias("stem"), F.lit(".jpg").alias("ext"))
+    there = A.table(spark, d, "customer").select(F.concat(name("c_custkey", 60), F.when(F.col("c_custkey") % 3 > 0, more("c_custkey", 50)).otherwise("")).alias("stem"), F.lit(".jpg").alias("ext"))
+    return archive.collision_names(files, there).select("path", "target")
+
+
+
 @_query("""WITH p AS (SELECT 'src/' || o_orderkey || CASE o_custkey % 3 WHEN 0 THEN '.NEF' WHEN 1 THEN '.jpg' ELSE '.png' END AS path, o_orderkey FROM orders)
 SELECT o_orderkey, 'out/' || o_orderkey || CASE WHEN path LIKE '%.NEF' THEN '.jpg' ELSE right(path, 4) END AS screened FROM p WHERE o_orderkey % 5 <> 0""")
 def screened_copies(spark, d):

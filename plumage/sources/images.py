@@ -104,6 +104,11 @@ def _app1(data: bytes) -> bytes | None:
     return None
 
 
+def exif_block(data: bytes | None) -> bytes | None:
+    """The TIFF block with a JPEG's EXIF tags; None for other data."""
+    return _app1(data) if data else None
+
+
 def exif_row(data: bytes | None) -> tuple:
     """The columns of EXIF_SCHEMA; absent and malformed tags are null."""
     tags = exif_tags(data)

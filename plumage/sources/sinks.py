@@ -23,34 +23,11 @@ def write_archive(plan: DataFrame, path: str) -> None:
     plan.write.mode("overwrite").partitionBy("order_cn", "family_cn").parquet(path)
 
 
-def copied(plan: DataFrame) -> DataFrame:
-    """SNK2, SNK6: copy the files of ``plan(src, dest)``; ``(src, dest, ok)``.
+def copied(plan: DataFrame, root: str) -> DataFrame:
+    """SNK2, SNK6: copy the files of ``plan(src, dest)`` below ``root``, see :func:`files.write_files`."""
+    from .files import write_files
 
-    Paths are of a file system that all executors mount. A destination is written
-    under another name and renamed, so a task that runs twice leaves one whole file.
-    """
-
-    def batches(source):
-        import os
-        import shutil
-        import uuid
-
-        import pandas as pd
-
-        for pdf in source:
-            ok = []
-            for src, dest in zip(pdf["src"], pdf["dest"], strict=True):
-                try:
-                    os.makedirs(os.path.dirname(dest) or ".", exist_ok=True)
-                    part = f"{dest}.{uuid.uuid4().hex}.part"
-                    shutil.copy2(src, part)
-                    os.replace(part, dest)
-                    ok.append(True)
-                except OSError:
-                    ok.append(False)
-            yield pd.DataFrame({"src": pdf["src"], "dest": pdf["dest"], "ok": ok})
-
-    return plan.select("src", "dest").mapInPandas(batches, "src string, dest string, ok boolean")
+    return write_files(plan.select("src", "dest"), root)
 
 
 def gps_directory(lat: float, lon: float, alt: float | None, at: int, order: str = ">") -> bytes:
@@ -102,11 +79,29 @@ def tiff_with_gps(tiff: bytes, lat: float, lon: float, alt: float | None = None)
     return out[:4] + struct.pack(order + "I", at) + out[8:] + directory + gps_directory(lat, lon, alt, gps_at, order)
 
 
-def with_gps(jpeg: bytes, lat: float, lon: float, alt: float | None = None) -> bytes:
-    """A JPEG with its position set; all other EXIF tags stay. ValueError for other data or if EXIF has no room."""
+def tiff_with_maker(tiff: bytes, make: bytes) -> bytes:
+    """A TIFF block whose maker (tag 271) is ``make``, if it has one; all else stays where it is."""
+    order = {b"MM\0*": ">", b"II*\0": "<"}.get(tiff[:4])
+    if order is None or len(tiff) < 8:
+        raise ValueError("no TIFF block")
+    (first,) = struct.unpack_from(order + "I", tiff, 4)
+    if not 8 <= first <= len(tiff) - 2:
+        return tiff
+    (n,) = struct.unpack_from(order + "H", tiff, first)
+    for at in range(first + 2, min(first + 2 + 12 * n, len(tiff) - 11), 12):
+        if struct.unpack_from(order + "H", tiff, at)[0] == 271:
+            end = len(tiff) + len(tiff) % 2
+            text = make + b"\0"
+            value = text.ljust(4, b"\0") if len(text) <= 4 else struct.pack(order + "I", end)
+            return tiff[:at] + struct.pack(order + "HHI", 271, 2, len(text)) + value + tiff[at + 12 :] + (b"" if len(text) <= 4 else b"\0" * (len(tiff) % 2) + text)
+    return tiff
+
+
+def _segments(jpeg: bytes) -> tuple[bytes | None, bytes]:
+    """The EXIF block of a JPEG, and all that follows its first marker without it."""
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
-    tiff, rest, at = b"MM\0*\0\0\0\0", [], 2
+    tiff, rest, at = None, [], 2
     while at + 4 <= len(jpeg) and jpeg[at] == 0xFF and jpeg[at + 1] != 0xDA:
         size = int.from_bytes(jpeg[at + 2 : at + 4], "big")
         if jpeg[at + 1] == 0xE1 and jpeg[at + 4 : at + 10] == b"Exif\0\0":
@@ -114,10 +109,20 @@ def with_gps(jpeg: bytes, lat: float, lon: float, alt: float | None = None) -> b
         else:
             rest.append(jpeg[at : at + 2 + size])
         at += 2 + size
-    payload = b"Exif\0\0" + tiff_with_gps(tiff, lat, lon, alt)
+    return tiff, b"".join(rest) + jpeg[at:]
+
+
+def with_exif(jpeg: bytes, tiff: bytes, make: bytes | None = None) -> bytes:
+    """A JPEG with the EXIF block ``tiff`` in place of its own. ValueError for other data or if there is no room."""
+    payload = b"Exif\0\0" + (tiff if make is None else tiff_with_maker(tiff, make))
     if len(payload) > 65_533:
         raise ValueError("no room in the EXIF segment")
-    return b"".join([b"\xff\xd8\xff\xe1", struct.pack(">H", len(payload) + 2), payload, *rest, jpeg[at:]])
+    return b"".join([b"\xff\xd8\xff\xe1", struct.pack(">H", len(payload) + 2), payload, _segments(jpeg)[1]])
+
+
+def with_gps(jpeg: bytes, lat: float, lon: float, alt: float | None = None) -> bytes:
+    """A JPEG with its position set; all other EXIF tags stay. ValueError for other data or if EXIF has no room."""
+    return with_exif(jpeg, tiff_with_gps(_segments(jpeg)[0] or b"MM\0*\0\0\0\0", lat, lon, alt))
 
 
 def gps_written(files: DataFrame) -> DataFrame:

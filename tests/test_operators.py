@@ -53,21 +53,30 @@ def test_the_last_region_of_a_name_with_known_codes_counts(spark):
     assert [tuple(r) for r in taxonomy.whitelist(regions, codes).collect()] == [("x", 2)]
 
 
-def test_collision_names_dodge_given_ones(spark):
+def test_collision_names_dodge_given_and_existing_ones(spark):
     import random
 
     rng = random.Random(7)
     names = ["a", "a", "a_1"] + [rng.choice(["a", "b", "a_1", "a_2", "a_3", "b_2", "a_1_1", "c_01", "c"]) for _ in range(120)]
     rows = [(i, n, rng.choice([".jpg", ".png"]) if i > 2 else ".jpg") for i, n in enumerate(names)]
-    got = {r.path: r.target for r in archive.collision_names(spark.createDataFrame(rows, "path int, stem string, ext string")).collect()}
-    given, seen, want = {n + e for _, n, e in rows}, set(), {}
-    for i, n, e in rows:
-        k = 0
-        while (name := n + e if k == 0 else f"{n}_{k}{e}") in seen or k and name in given:
-            k += 1
-        seen.add(name)
-        want[i] = name
-    assert got == want and len(set(got.values())) == len(rows)
+    for there in (None, [("b", ".jpg"), ("b_1", ".jpg"), ("b", ".jpg"), ("a_4", ".png"), ("c_7", ".jpg"), ("z", ".jpg")]):
+        existing = there and spark.createDataFrame(there, "stem string, ext string")
+        got = {r.path: r.target for r in archive.collision_names(spark.createDataFrame(rows, "path int, stem string, ext string"), existing).collect()}
+        old = {n + e for n, e in there or []}
+        given, seen, want = {n + e for _, n, e in rows} | old, set(old), {}
+        for i, n, e in rows:
+            k = 0
+            while (name := n + e if k == 0 else f"{n}_{k}{e}") in seen or k and name in given:
+                k += 1
+            seen.add(name)
+            want[i] = name
+        assert got == want and len(set(got.values()) - old) == len(rows)
+
+
+def test_collision_names_keep_every_row_of_a_repeated_path(spark):
+    rows = spark.createDataFrame([("p", "a", ".jpg", 1), ("p", "a", ".jpg", 1), ("q", "a", ".jpg", 2)], "path string, stem string, ext string, target int")
+    got = archive.collision_names(rows).collect()
+    assert sorted(r.target for r in got) == ["a.jpg", "a_1.jpg", "a_2.jpg"] and {r.target for r in got if r.path == "q"} == {"a_2.jpg"}
 
 
 def test_locations(spark):

@@ -144,8 +144,8 @@ def test_online_tiers(spark):
 
 def test_copies_and_usage(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"1")
-    plan = spark.createDataFrame([(str(tmp_path / "a"), str(tmp_path / "x/y/a")), (str(tmp_path / "none"), str(tmp_path / "x/none"))], "src string, dest string")
-    assert tuple(sinks.written_count(sinks.copied(plan)).first()) == (1, 2) and (tmp_path / "x/y/a").read_bytes() == b"1"
+    plan = spark.createDataFrame([(str(tmp_path / "a"), "x/y/a"), (str(tmp_path / "none"), "x/none")], "src string, dest string")
+    assert tuple(sinks.written_count(sinks.copied(plan, str(tmp_path))).first()) == (1, 2) and (tmp_path / "x/y/a").read_bytes() == b"1"
     usage = spark.createDataFrame([("2024-01-01", "a", 1), ("2024-01-02", "a", 2)], "day string, model string, tokens long")
     sinks.write_usage(usage, str(tmp_path / "u"))
     sinks.write_usage(usage.filter("day = '2024-01-02'").withColumn("tokens", F.lit(9).cast("long")), str(tmp_path / "u"))
