@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 Transport = Callable[[str, dict], dict]
 
+FAULTS = "array<struct<tier:string,fault:string>>"
+ONLINE = f"name string, lat double, lon double, tier string, faults {FAULTS}"
+
 
 def _pair(lat, lon) -> tuple[float, float] | None:
     try:
@@ -39,7 +42,7 @@ def _result_location(body: dict):
 
 def _results_list(body: dict):
     found = body.get("results") or []
-    return _pair(found[0].get("latitude"), found[0].get("longitude")) if found else None
+    return _pair(found[0].get("latitude") or None, found[0].get("longitude") or None) if found else None  # an exact 0 counts as missing there
 
 
 def _features(body: dict):
@@ -64,10 +67,11 @@ TIERS: list[tuple[str, str, str, Callable]] = [
 
 
 def geocode_online(names: DataFrame, factory: Callable[[], Transport], enabled: tuple[str, ...] = tuple(t[0] for t in TIERS), interval: float = 0.0) -> DataFrame:
-    """JN12, online tiers: ``(name, lat, lon, tier)`` for distinct ``names(name, query_name)``.
+    """JN12, online tiers: ``(name, lat, lon, tier, faults)`` for distinct ``names(name, query_name)``.
 
     The first tier that answers wins; the free tiers ask for ``query_name`` first and
-    then the name. Names that nobody knows have nulls. ``interval``: seconds between
+    then the name. Names that nobody knows have nulls. A tier that fails is passed
+    over, and each fault is in ``faults`` with its tier. ``interval``: seconds between
     requests of one task.
     """
 
@@ -77,6 +81,7 @@ def geocode_online(names: DataFrame, factory: Callable[[], Transport], enabled:
         transport = factory()
 
         def ask(name: str, query: str):
+            faults: list[dict] = []
             for tier, url, field, read in TIERS:
                 if tier not in enabled:
                     continue
@@ -85,15 +90,49 @@ def geocode_online(names: DataFrame, factory: Callable[[], Transport], enabled:
                         time.sleep(interval)
                     try:
                         found = read(transport(url, {field: q}))
-                    except Exception:  # noqa: BLE001  a tier that fails is passed over
+                    except Exception as e:  # noqa: BLE001  whatever a transport raises is its tier's fault
                         found = None
+                        faults.append({"tier": tier, "fault": f"{type(e).__name__}: {e}"})
                     if found:
-                        return *found, tier
-            return None, None, None
+                        return *found, tier, faults
+            return None, None, None, faults
 
         for pdf in source:
             rows = [(n, *ask(n, q or n)) for n, q in zip(pdf["name"], pdf["query_name"], strict=True)]
-            yield pd.DataFrame(rows, columns=["name", "lat", "lon", "tier"])
+            yield pd.DataFrame(rows, columns=["name", "lat", "lon", "tier", "faults"])
 
     distinct = names.groupBy("name").agg(F.min("query_name").alias("query_name"))
-    return distinct.mapInPandas(batches, "name string, lat double, lon double, tier string")
+    return distinct.mapInPandas(batches, ONLINE)
+
+
+def geocode(names: DataFrame, root: str, factory: Callable[[], Transport] | None, keywords: list[tuple[str, str]], translations: DataFrame, remember: bool = True, **online) -> DataFrame:
+    """JN12-JN15 as one call: ``names(name)`` with ``lat``, ``lon``, ``tier`` and ``faults``.
+
+    Dictionary, literal, then the online tiers for the distinct names still open,
+    under their English names. What those find is added to the dictionary below
+    ``root`` (see :mod:`places`), so the next run doesn't ask again. Every row is
+    answered, nulls and repeats included; names are asked without quotes and space
+    around them, and empty ones not at all. Answers are written before they are used.
+    """
+    from ..functions.text import unquoted
+    from ..operators.spatial import english_names, geocoded
+    from .places import add_places, places
+    from .tables import materialised
+
+    spark = names.sparkSession
+    local = geocoded(names, places(spark, root))
+    if factory is None:
+        return local.withColumn("faults", F.array().cast(FAULTS))
+    local = materialised(local.withColumn("_clean", unquoted(F.col("name"))))
+    still = local.filter("tier is null and _clean != ''").select(F.col("_clean").alias("name")).distinct()
+    found = materialised(geocode_online(english_names(still, keywords, translations).select("name", "query_name"), factory, **online))
+    if remember and not found.filter("lat is not null").isEmpty():
+        add_places(found, root)
+    told = found.select(F.col("name").alias("_clean"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("tier").alias("_tier"), F.col("faults").alias("_faults"))
+    out = local.join(told, "_clean", "left")
+    return out.select(*names.columns, F.coalesce("lat", "_lat").alias("lat"), F.coalesce("lon", "_lon").alias("lon"), F.coalesce("tier", "_tier").alias("tier"), F.coalesce("_faults", F.array().cast(FAULTS)).alias("faults"))
+
+
+def fault_counts(answers: DataFrame) -> DataFrame:
+    """How often each tier failed, and how."""
+    return answers.select(F.explode("faults").alias("_f")).groupBy(F.col("_f.tier").alias("tier"), F.col("_f.fault").alias("fault")).agg(F.count(F.lit(1)).alias("n"))

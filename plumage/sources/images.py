@@ -126,18 +126,37 @@ def exif_row(data: bytes | None) -> tuple:
     return (text("exif", 0x9003), text("exif", 0x9004), text("0th", 0x0132), text("0th", 0x0110), one("exif", 0x829D), one("exif", 0x829A), one("exif", 0x920A), int(iso[0]) if isinstance(iso, tuple) else None, text("gps", 1), ratios("gps", 2), text("gps", 3), ratios("gps", 4), one("gps", 6))
 
 
-def with_exif(files: DataFrame) -> DataFrame:
-    """SRC12, SRC14, SRC15: EXIF columns of ``files(path, modificationTime, length, content)``; the content goes."""
+def with_exif(files: DataFrame, keep: tuple[str, ...] = ("path", "modificationTime", "length")) -> DataFrame:
+    """SRC12, SRC14, SRC15: EXIF columns of files with ``content`` beside those to keep; the content goes."""
+    from pyspark.sql.types import StructType
+
+    names = [f.name for f in StructType.fromDDL(EXIF_SCHEMA)]
+    rows = files.select(*keep, "content")
+    kept = StructType(rows.schema.fields[:-1] + StructType.fromDDL(EXIF_SCHEMA).fields)
 
     def batches(source):
         import pandas as pd
 
-        names = [c.strip().split(" ")[0] for c in EXIF_SCHEMA.replace("struct<num:int,den:int>", "s").split(", ")]
         for pdf in source:
-            rows = pd.DataFrame([exif_row(c) for c in pdf["content"]], columns=names, index=pdf.index, dtype=object)
-            yield pd.concat([pdf[["path", "modificationTime", "length"]], rows], axis=1)
+            tags = pd.DataFrame([exif_row(c) for c in pdf["content"]], columns=names, index=pdf.index, dtype=object)
+            yield pd.concat([pdf[list(keep)], tags], axis=1)
+
+    return rows.mapInPandas(batches, kept)
+
 
-    return files.select("path", "modificationTime", "length", "content").mapInPandas(batches, "path string, modificationTime timestamp, length long, " + EXIF_SCHEMA)
+def positioned(files: DataFrame) -> DataFrame:
+    """SRC15 as one call: ``(path, lat, lon, altitude, origin)`` of ``files(path, length, content)``.
+
+    The position in EXIF counts, else the one in XMP; ``origin`` is ``exif``, ``xmp`` or
+    null. Files are read once, and contents don't leave their task.
+    """
+    xmp = files.select("path", "content", xmp_position(xmp_text(F.col("content"), F.col("length"))).alias("_xmp"))
+    df = with_exif(xmp.select("path", "content", F.col("_xmp.lat").alias("_xlat"), F.col("_xmp.lon").alias("_xlon")), ("path", "_xlat", "_xlon"))
+    own = position(F.col("lat"), F.col("lat_ref"), F.col("lon"), F.col("lon_ref"))
+    df = df.select("path", own.alias("_own"), altitude(F.col("alt")).alias("altitude"), "_xlat", "_xlon")
+    exif = F.col("_own.lat").isNotNull() & F.col("_own.lon").isNotNull()
+    origin = F.when(exif, "exif").when(F.col("_xlat").isNotNull(), "xmp")
+    return df.select("path", F.when(exif, F.col("_own.lat")).otherwise(F.col("_xlat")).alias("lat"), F.when(exif, F.col("_own.lon")).otherwise(F.col("_xlon")).alias("lon"), F.when(exif, F.col("altitude")).alias("altitude"), origin.alias("origin"))
 
 
 def capture_time(original: Column, digitized: Column, plain: Column, mtime: Column) -> Column:
@@ -162,7 +181,7 @@ def altitude(alt: Column) -> Column:
 
 def xmp_text(content: Column, length: Column) -> Column:
     """SRC16: the head of a file as text, null beyond the size limit or without a position."""
-    text = F.decode(F.substring(content, 1, XMP_HEAD), "UTF-8")
+    text = F.substring(content, 1, XMP_HEAD).cast("string")  # bytes that are no UTF-8 don't matter
     return F.when((length <= XMP_FILE_LIMIT) & text.contains("GPSLatitude"), text)
 
 

@@ -131,15 +131,17 @@ def test_online_tiers(spark):
         def transport(url, params):
             if "amap" in url:
                 return {"status": "1", "geocodes": [{"location": "120.5,30.5"}]} if params["address"] == "here" else {"status": "0"}
-            if "open-meteo" in url and params["name"] == "there-en":
-                return {"results": [{"latitude": 0.0, "longitude": 5.0}]}
+            if "open-meteo" in url:
+                return {"results": [{"latitude": 8.0 if params["name"] == "there-en" else 0.0, "longitude": 5.0}]}  # an exact 0 is no answer there
             raise OSError("down")
 
         return transport
 
     names = spark.createDataFrame([("here", "here"), ("there", "there-en"), ("nowhere", None), ("here", "here")], "name string, query_name string")
-    got = {r.name: (r.lat, r.lon, r.tier) for r in geocoders.geocode_online(names, factory).collect()}
-    assert got == {"here": (30.5, 120.5, "amap"), "there": (0.0, 5.0, "open-meteo"), "nowhere": (None, None, None)}
+    rows = geocoders.geocode_online(names, factory).collect()
+    got = {r.name: (r.lat, r.lon, r.tier) for r in rows}
+    assert got == {"here": (30.5, 120.5, "amap"), "there": (8.0, 5.0, "open-meteo"), "nowhere": (None, None, None)}
+    assert {r.name: [f.tier for f in r.faults] for r in rows} == {"here": [], "there": ["tencent", "baidu"], "nowhere": ["tencent", "baidu", "photon", "nominatim"]}
 
 
 def test_copies_and_usage(spark, tmp_path):
