@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import geo as G
+from ..functions import layout as L
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import answers, archive, burst, detection, evaluation, recognition, refine, report, routing, spatial, taxonomy
@@ -658,6 +659,44 @@ def admin_names(spark, d):
     return A.table(spark, d, "nation").select("n_nationkey", T.admin_base(name).alias("base"))
 
 
+# --- layout of pictures ----------------------------------------------------------------
+
+_WIDTHS = {" ": 0.25, "i": 0.25, "l": 0.25, "m": 0.875, "W": 1.0}
+_EMS = "CASE ch " + " ".join(f"WHEN '{c}' THEN {w}" for c, w in _WIDTHS.items()) + " ELSE 0.5 END"
+
+
+@_query(f"""WITH RECURSIVE t AS (SELECT p_partkey, trim(p_name || ' ' || p_type || ' ' || p_brand) AS s, CAST(60 + p_partkey % 90 AS DOUBLE) AS most FROM part),
+f AS (SELECT p_partkey, s, most, 0 AS i, '' AS line, CAST(0 AS DOUBLE) AS width, CAST([] AS VARCHAR[]) AS lines FROM t
+UNION ALL SELECT p_partkey, s, most, i + 1, CASE WHEN width + w <= most THEN line || ch ELSE ch END, CASE WHEN width + w <= most THEN width + w ELSE w END,
+  CASE WHEN width + w <= most OR line = '' THEN lines ELSE list_append(lines, line) END FROM (SELECT *, substr(s, i + 1, 1) AS ch, CAST(16 * {_EMS.replace("ch", "substr(s, i + 1, 1)")} AS DOUBLE) AS w FROM f WHERE i < length(s)))
+SELECT p_partkey, array_to_string(list_append(lines, line), '|') AS lines, len(lines) + 1 AS n FROM f WHERE i = length(s)""")
+def caption_wrap(spark, d):
+    p = A.table(spark, d, "part")
+    text, most = F.concat_ws(" ", "p_name", "p_type", "p_brand"), (F.pmod("p_partkey", F.lit(90)) + 60).cast("double")
+    df = p.select("p_partkey", L.wrapped(text, most, F.lit(16), _WIDTHS).alias("l"))
+    return df.select("p_partkey", F.array_join("l", "|").alias("lines"), F.size("l").cast("long").alias("n"))
+
+
+@_query("""WITH p AS (SELECT o_orderkey, CAST(100 + o_orderkey % 6000 AS INTEGER) AS w, CAST(100 + (o_orderkey * 7) % 4000 AS INTEGER) AS h, CAST(o_custkey % 900 AS INTEGER) AS lw, CAST(o_orderkey % 400 AS INTEGER) AS lh FROM orders),
+a AS (SELECT *, greatest(2, CAST(floor(CAST(0.01 AS DOUBLE) * (w + h)) AS INTEGER)) AS side, greatest(40, CAST(floor(w * CAST(0.3 AS DOUBLE)) AS INTEGER)) AS rw, greatest(28, CAST(floor(h * CAST(0.16 AS DOUBLE)) AS INTEGER)) AS rh FROM p),
+s AS (SELECT *, CASE WHEN lw <= 0 OR lh <= 0 THEN lw ELSE greatest(1, CAST(floor(lw * least(rw / lw, rh / lh)) AS INTEGER)) END AS nw, CASE WHEN lw <= 0 OR lh <= 0 THEN lh ELSE greatest(1, CAST(floor(lh * least(rw / lw, rh / lh)) AS INTEGER)) END AS nh FROM a)
+SELECT o_orderkey, nw AS logo_w, nh AS logo_h, side + 1 + greatest(0, (w - nw) // 2) AS logo_x, side + 1 + h - nh - greatest(8, CAST(floor(h * CAST(0.02 AS DOUBLE)) AS INTEGER)) AS logo_y, w + 2 * side + 2 AS canvas_width FROM s""")
+def logo_layout(spark, d):
+    o = A.table(spark, d, "orders")
+    size = lambda key, n: F.pmod(F.col(key), F.lit(n)).cast("int")
+    df = o.select("o_orderkey", (size("o_orderkey", 6000) + 100).alias("w"), (F.pmod(F.col("o_orderkey") * 7, F.lit(4000)).cast("int") + 100).alias("h"), size("o_custkey", 900).alias("lw"), size("o_orderkey", 400).alias("lh"))
+    df = df.withColumn("f", L.caption_frame(F.col("w"), F.col("h"))).withColumn("l", L.logo_place(F.col("f"), F.col("w"), F.col("h"), F.col("lw"), F.col("lh")))
+    return df.select("o_orderkey", F.col("l.width").alias("logo_w"), F.col("l.height").alias("logo_h"), F.col("l.x").alias("logo_x"), F.col("l.y").alias("logo_y"), "f.canvas_width")
+
+
+@_query(f"""WITH {A.BOXES_SQL}, b AS (SELECT *, CAST(40 + part % 90 AS INTEGER) AS tw, CAST(24 + det * 6 AS INTEGER) AS lh FROM boxes)
+SELECT image, det, part, CASE WHEN x1 + tw + 6 > width THEN greatest(0, x1 - (x1 + tw + 6 - width)) ELSE x1 END AS label_x, CASE WHEN y1 - lh - 4 >= 0 THEN y1 - lh - 4 WHEN y2 + 4 + lh <= height THEN y2 + 4 ELSE greatest(0, y1 - lh - 4) END AS label_y FROM b""")
+def label_plan(spark, d):
+    b = A.boxes(spark, d).withColumns({"tw": (F.pmod("part", F.lit(90)) + 40).cast("int"), "lh": (F.col("det") * 6 + 24).cast("int")})
+    at = L.label_spot(*[F.col(c) for c in ("x1", "y1", "y2", "tw", "lh", "width", "height")], F.lit(6), F.lit(4))
+    return b.withColumn("at", at).select("image", "det", "part", F.col("at.x").alias("label_x"), F.col("at.y").alias("label_y"))
+
+
 # --- progress --------------------------------------------------------------------------
 
 
