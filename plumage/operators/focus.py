@@ -183,16 +183,3 @@ def scored(images: DataFrame) -> DataFrame:
 
     score = sharpness_blend(F.col("lap_var"), F.col("tenengrad"), F.col("centre"), F.col("penalty"))
     return image_terms(images).withColumn("focus", F.coalesce(score, F.lit(0.0)))
-
-
-def developed(x, shadow: float = 0.0, exposure: float = 0.0, contrast: float = 0.0):
-    """IMG17: brightness and contrast of an RGB image (shadow lifts need an optional library)."""
-    import numpy as np
-
-    y = x.astype(np.float64)
-    if exposure:
-        y = y * min(2.2, max(0.35, 1 + exposure / 200))
-    if contrast:
-        mean = round(float((0.299 * y[..., 0] + 0.587 * y[..., 1] + 0.114 * y[..., 2]).mean()))
-        y = mean + (y - mean) * min(2.2, max(0.35, 1 + contrast / 200))
-    return np.clip(y, 0, 255).astype(np.uint8)
