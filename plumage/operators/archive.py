@@ -58,19 +58,20 @@ def copy_names(df: DataFrame) -> DataFrame:
     return df.withColumn("filename", F.concat(F.concat_ws("_", safe_name(F.col("_stem")), *place, padded_number(F.col("seq"))), filled(F.col("_ext"), ".jpg"))).drop("_base", "_ext", "_stem")
 
 
-def numbered(df: DataFrame, order: list[str], block: Column) -> DataFrame:
-    """WIN8: ``seq`` from 1 in a total order, without sorting everything in one task.
+def numbered(df: DataFrame, order: list[str], slices: int = 64) -> DataFrame:
+    """WIN8: ``seq`` from 1 in the total order of ``order``, without sorting everything in one task.
 
-    ``block`` is a coarse number that rises with the order (the order's key divided
-    by some thousands): blocks are numbered by themselves, and the table of block
-    counts, with one row a block, gives the offsets.
+    Rows are range-partitioned by the order and written cut. Each slice is numbered by
+    itself, and the counts of the slices before it, ``slices`` rows in all however many
+    rows there are, give its offset.
     """
-    df = df.withColumn("_block", block)
-    counts = df.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_block").orderBy(*order)
-    return df.join(starts, "_block").withColumn("seq", F.col("_start") + F.row_number().over(inside)).drop("_block", "_start")
+    from ..sources.tables import materialised
+
+    cut = materialised(df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n")).select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_slice").orderBy(*order)
+    return cut.join(F.broadcast(starts), "_slice").withColumn("seq", F.col("_start") + F.row_number().over(inside)).drop("_slice", "_start")  # a row a slice
 
 
 def collision_names(files: DataFrame, existing: DataFrame | None = None) -> DataFrame:

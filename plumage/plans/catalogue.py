@@ -453,7 +453,7 @@ def archive_key(spark, d):
 
 @_query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS seq, CASE WHEN row_number() OVER (ORDER BY o_orderkey) > 99999 THEN CAST(row_number() OVER (ORDER BY o_orderkey) AS VARCHAR) ELSE lpad(CAST(row_number() OVER (ORDER BY o_orderkey) AS VARCHAR), 5, '0') END AS padded FROM orders")
 def archive_seq(spark, d):
-    df = archive.numbered(A.table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], F.floor(F.col("o_orderkey") / 4096))
+    df = archive.numbered(A.table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 16)
     return df.withColumn("padded", T.padded_number(F.col("seq")))
 
 
@@ -703,11 +703,8 @@ def label_plan(spark, d):
 @_query("""WITH w AS (SELECT s_suppkey, s_nationkey, (s_suppkey % 9 + 1) / 100.0 AS w FROM supplier), r AS (SELECT *, sum(w) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY s_nationkey) AS t FROM w)
 SELECT s_suppkey, round(100.0 * (c - w) / t, 6) AS lo, round(100.0 * c / t, 6) AS hi FROM r""")
 def phase_ranges(spark, d):
-    w = (F.pmod("s_suppkey", F.lit(9)) + 1) / 100.0
-    whole = Window.partitionBy("s_nationkey")
-    df = A.table(spark, d, "supplier").withColumn("w", w)
-    df = df.withColumns({"c": F.sum("w").over(whole.orderBy("s_suppkey").rowsBetween(Window.unboundedPreceding, 0)), "t": F.sum("w").over(whole)})
-    return df.select("s_suppkey", F.round(100.0 * (F.col("c") - F.col("w")) / F.col("t"), 6).alias("lo"), F.round(100.0 * F.col("c") / F.col("t"), 6).alias("hi"))
+    df = A.table(spark, d, "supplier").withColumn("weight", (F.pmod("s_suppkey", F.lit(9)) + 1) / 100.0)
+    return report.phase_ranges(df, "s_suppkey", "s_nationkey").select("s_suppkey", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 @_query("""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events),
