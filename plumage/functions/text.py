@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 #: Labels of the fields in a model's answer.
 LABELS = ("主体类型", "简要说明", "动物名称", "英文名称", "学名", "识别准确率", "准确率", "置信度", "中文名称")
 #: Tokens that no species name has.
-STOP_TOKENS = (*LABELS[:4], "中文名称", "学名", "识别准确率", "准确率", "置信度", "图中", "可能是", "无法确定", "看起来", "这只", "该图", "照片")
+STOP_TOKENS = (
+    "主体类型", "简要说明", "动物名称", "英文名称", "中文名称", "学名", "识别准确率", "准确率", "置信度", "图中", "可能是", "无法确定", "看起来", "这只", "该图", "照片",
+)
 #: Suffixes of administrative names, and what file names can't hold.
 ADMIN_SUFFIX = "(维吾尔自治区|壮族自治区|回族自治区|特别行政区|自治区|省|市)$"
 UNSAFE = r'[\\/:*?"<>|]'
 CJK = r"[一-鿿·・]"
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def safe_name(name: Column) -> Column:
     """STR1."""
     return F.regexp_replace(name, UNSAFE, "_")
@@ -55,10 +62,15 @@ def without_markdown(value: Column) -> Column:
 
 def cn_name(value: Column) -> Column:
     """STR6: a Chinese name out of a fragment, else ''."""
-    clean = before_next_label(without_markdown(without_notes(value)))
-    wrapped = F.regexp_extract(clean, "_+(" + CJK + "{1,24})_+", 1)
-    name = F.regexp_replace(F.when(wrapped != "", wrapped).otherwise(without_underscores(clean)), r"(?U)\s+", "")
-    return F.when(name.rlike("^" + CJK + "{1,24}$"), name).otherwise(F.regexp_extract(name, "^" + CJK + "{2,24}", 0))
+
+    def unwrapped(clean: Column) -> Column:
+        inside = F.regexp_extract(clean, "_+(" + CJK + "{1,24})_+", 1)
+        return F.regexp_replace(once(inside, lambda w: F.when(w != "", w).otherwise(without_underscores(clean))), r"(?U)\s+", "")
+
+    def head(name: Column) -> Column:
+        return F.when(name.rlike("^" + CJK + "{1,24}$"), name).otherwise(F.regexp_extract(name, "^" + CJK + "{2,24}", 0))
+
+    return once(once(before_next_label(without_markdown(without_notes(value))), unwrapped), head)
 
 
 def en_name(value: Column) -> Column:
@@ -80,17 +92,20 @@ def percent(value: Column) -> Column:
 
 def subject(value: Column) -> Column:
     """STR9: what a subject token means: bird, human, other_animal, other or ''."""
-    v = F.rtrim(stripped(value), F.lit("。；;，,、"))
-    return (
-        F.when(v.isin("鸟类", "鸟"), "bird").when(v.isin("人像", "人物", "人"), "human").when(v.isin("其它动物", "其他动物", "动物"), "other_animal").when(v.isin("其它", "其他"), "other")
-        .when(v.contains("鸟") & (F.length(v) <= 4), "bird").when(v.contains("人像"), "human").when(v.contains("动物"), "other_animal").otherwise("")
-    )
+
+    def meaning(v: Column) -> Column:
+        return (
+            F.when(v.isin("鸟类", "鸟"), "bird").when(v.isin("人像", "人物", "人"), "human").when(v.isin("其它动物", "其他动物", "动物"), "other_animal").when(v.isin("其它", "其他"), "other")
+            .when(v.contains("鸟") & (F.length(v) <= 4), "bird").when(v.contains("人像"), "human").when(v.contains("动物"), "other_animal").otherwise("")
+        )
+
+    return once(F.rtrim(stripped(value), F.lit("。；;，,、")), meaning)
 
 
 def implausible_name(value: Column, most: int = 24) -> Column:
     """FLT13: too long, punctuated, or with words of an explanation."""
-    s = stripped(F.coalesce(value, F.lit("")))
-    return (s != "") & ((F.length(s) > most) | s.rlike(r"[\n\r:：;；,，。.!?？（）()]") | s.rlike("|".join(dict.fromkeys(STOP_TOKENS))))
+    found = lambda s: (s != "") & ((F.length(s) > most) | s.rlike(r"[\n\r:：;；,，。.!?？（）()]") | s.rlike("|".join(STOP_TOKENS)))
+    return once(stripped(F.coalesce(value, F.lit(""))), found)
 
 
 def chat_text(body: Column) -> Column:

@@ -9,9 +9,24 @@ from ..functions import text as T
 
 OTHER_ROOT, OTHER_TAG = "其它", "未分类"
 
+_END = r"(?:\n|[；;]|[、，,]|$)"
+_CN_END = f"(?={_END}|英文名称|学名|识别准确|中文名称)"
+
+#: How answers name things. Ends of clauses, the subject's clause, labels between commas, and loose forms in the order they are tried.
+CLAUSE_ENDS = r"\s*[；;]\s*|\s*\n+"
+SUBJECT_CLAUSE = r"^主体类型\s*[:：]\s*(.+)$"
+SUBJECT_INLINE = r"主体类型\s*[:：]\s*([^\n；;]+)"
+BETWEEN_COMMAS = {"cn": "中文名称|中文名稱", "en": "英文名称", "sci": "学名"}
+CLAUSES = {"brief": "简要说明", "animal": "动物名称", "kind": "动物类型", "cn": "中文名称", "en": "英文名称", "sci": "学名"}
+LOOSE = {
+    "cn": [r"(?s)\*\*中文名称\*\*[:：]\s*\*\*(.+?)\*\*", r"(?s)这只鸟是\*\*(.+?)\*\*", r"(?s)中文名称\**\s*[:：]\s*(.+?)" + _CN_END, f"_+({T.CJK}" + "{1,24})_+"],
+    "en": [r"(?s)英文名称\**\s*[:：]\s*(.+?)" + _CN_END, r"_+([A-Z][a-z]{2,})_+"],
+    "sci": [r"(?s)\*\*学名\*\*[:：]\s*\*(.+?)\*", r"(?s)学名\**\s*[:：]\s*(.+?)" + _CN_END, r"_+([A-Z][a-z]+(?:\s+[a-z][a-z]+)+)_+"],
+}
+
 
 def _clauses(value: Column) -> Column:
-    return F.filter(F.transform(F.split(value, r"\s*[；;]\s*|\s*\n+"), T.stripped), lambda c: c != "")
+    return F.filter(F.transform(F.split(value, CLAUSE_ENDS), T.stripped), lambda c: c != "")
 
 
 def _labelled(clauses: Column, label: str, clean) -> Column:
@@ -33,9 +48,6 @@ def _first_match(value: Column, patterns: list[str], clean) -> Column:
     return F.coalesce(*[F.nullif(clean(F.regexp_extract(value, p, 1)), F.lit("")) for p in patterns])
 
 
-_END = r"(?:\n|[；;]|[、，,]|$)"
-
-
 def parsed(answers: DataFrame, column: str = "answer", longest: int = 8) -> DataFrame:
     """STR10: subject, names and confidence of an answer.
 
@@ -48,26 +60,22 @@ def parsed(answers: DataFrame, column: str = "answer", longest: int = 8) -> Data
     df = df.withColumn("_clauses", _clauses(F.col("_text"))).withColumn("_parts", F.transform(F.split("_text", "[、，,]"), T.stripped))
     squeezed = lambda most: lambda v: F.substring(F.regexp_replace(T.before_next_label(v), r"\s+", ""), 1, most)
     clauses = F.col("_clauses")
-    said = F.filter(F.transform(F.filter(clauses, lambda c: c.rlike(r"^主体类型\s*[:：]")), lambda c: T.subject(F.regexp_extract(c, r"^主体类型\s*[:：]\s*(.+)$", 1))), lambda s: s.isNotNull())
-    inline = F.regexp_extract("_raw", r"主体类型\s*[:：]\s*([^\n；;]+)", 1)
-    df = df.withColumns({
-        "_subject": F.coalesce(F.try_element_at(said, F.lit(-1)), F.when(inline != "", T.subject(inline)), F.lit("")),
-        "brief": _labelled(clauses, "简要说明", squeezed(80)), "animal": _labelled(clauses, "动物名称", squeezed(40)), "kind": _labelled(clauses, "动物类型", squeezed(20)),
-        "_cn1": _labelled(clauses, "中文名称", T.cn_name), "_en1": _labelled(clauses, "英文名称", T.en_name), "_sci1": _labelled(clauses, "学名", T.sci_name),
-    })
+    said = F.filter(F.transform(F.filter(clauses, lambda c: c.rlike(SUBJECT_CLAUSE)), lambda c: T.subject(F.regexp_extract(c, SUBJECT_CLAUSE, 1))), lambda s: s.isNotNull())
+    inline = F.regexp_extract("_raw", SUBJECT_INLINE, 1)
+    cleaned = {"brief": squeezed(80), "animal": squeezed(40), "kind": squeezed(20), "cn": T.cn_name, "en": T.en_name, "sci": T.sci_name}
+    named = {"cn": "_cn1", "en": "_en1", "sci": "_sci1"}
+    df = df.withColumns({"_subject": F.coalesce(F.try_element_at(said, F.lit(-1)), F.when(inline != "", T.subject(inline)), F.lit("")), **{named.get(k, k): _labelled(clauses, label, cleaned[k]) for k, label in CLAUSES.items()}})
     bare = F.filter(F.transform(F.filter(clauses, lambda c: ~c.rlike("[:：]")), T.cn_name), lambda v: v != "")
-    end = f"(?={_END}|英文名称|学名|识别准确|中文名称)"
-    cn = F.coalesce(
-        _compact(F.col("_parts"), "中文名称|中文名稱", T.cn_name), "_cn1", "animal", F.get(bare, F.lit(0)),
-        _first_match(F.col("_text"), [r"(?s)\*\*中文名称\*\*[:：]\s*\*\*(.+?)\*\*", r"(?s)这只鸟是\*\*(.+?)\*\*", r"(?s)中文名称\**\s*[:：]\s*(.+?)" + end, f"_+({T.CJK}" + "{1,24})_+"], T.cn_name),
-    )
-    en = F.coalesce(_compact(F.col("_parts"), "英文名称", T.en_name), "_en1", _first_match(F.col("_text"), [r"(?s)英文名称\**\s*[:：]\s*(.+?)" + end, r"_+([A-Z][a-z]{2,})_+"], T.en_name), F.lit(""))
-    sci = F.coalesce(_compact(F.col("_parts"), "学名", T.sci_name), "_sci1", _first_match(F.col("_text"), [r"(?s)\*\*学名\*\*[:：]\s*\*(.+?)\*", r"(?s)学名\**\s*[:：]\s*(.+?)" + end, r"_+([A-Z][a-z]+(?:\s+[a-z][a-z]+)+)_+"], T.sci_name), F.lit(""))
+    between = lambda k: _compact(F.col("_parts"), BETWEEN_COMMAS[k], cleaned[k])
+    loose = lambda k: _first_match(F.col("_text"), LOOSE[k], cleaned[k])
+    cn = F.coalesce(between("cn"), "_cn1", "animal", F.get(bare, F.lit(0)), loose("cn"))
+    en = F.coalesce(between("en"), "_en1", loose("en"), F.lit(""))
+    sci = F.coalesce(between("sci"), "_sci1", loose("sci"), F.lit(""))
     df = df.withColumns({"_cn": F.coalesce(cn, F.lit("")), "en": en, "sci": sci, "confidence": F.coalesce(T.percent(F.col("_raw")), F.lit(0.9))})
     fits = F.col("_cn").rlike(T.CJK) & ~T.implausible_name(F.col("_cn"), longest)
     df = df.withColumn("cn", F.when(fits, F.col("_cn")).otherwise(""))
-    named = (F.col("cn") != "") | (F.col("en") != "") | (F.col("sci") != "")
-    df = df.withColumn("subject", F.when((F.col("_subject") == "") & named, "bird").otherwise(F.col("_subject")))
+    any_name = (F.col("cn") != "") | (F.col("en") != "") | (F.col("sci") != "")
+    df = df.withColumn("subject", F.when((F.col("_subject") == "") & any_name, "bird").otherwise(F.col("_subject")))
     return df.drop("_raw", "_text", "_clauses", "_parts", "_subject", "_cn1", "_en1", "_sci1", "_cn")
 
 

@@ -67,11 +67,13 @@ def normalised_names(candidates: DataFrame, taxonomy: DataFrame, species: DataFr
 def whitelist(region_species: DataFrame, code_index: DataFrame) -> DataFrame:
     """JN4, SRC24: distinct ``(region, idx)`` of regions below a country; unknown codes go.
 
-    ``region_species(region_key, region_name, species_code)``; regions need a key
-    beyond ``CN-`` and a name that isn't a key. Of regions of one name that have a
-    known code the last in the file counts, by ``ord`` if there, else by key.
+    ``region_species(ord, region_key, region_name, species_code)``, ``ord`` being the
+    region's place in the file; regions need a key beyond ``CN-`` and a name that isn't
+    a key. Of regions of one name that have a known code the last in the file counts.
     """
-    at = F.col("ord") if "ord" in region_species.columns else F.col("region_key")
+    if "ord" not in region_species.columns:
+        raise ValueError("regions need their place in the file, in a column 'ord'")
+    at = F.col("ord")
     named = region_species.filter(F.col("region_key").startswith("CN-") & (F.length("region_key") > 4) & (F.trim("region_name") != "") & ~F.trim("region_name").startswith("CN-"))
     rows = named.join(code_index, F.col("species_code") == F.col("code")).select(F.trim("region_name").alias("region"), "region_key", at.alias("_at"), "idx")
     owner = rows.groupBy("region").agg(F.max_by("region_key", F.struct("_at", "region_key")).alias("region_key"))

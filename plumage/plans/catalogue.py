@@ -70,6 +70,11 @@ def burst_sessions(spark, d):
     return _bursts(spark, d).select("path", "camera", "sid", "n", "burst_id")
 
 
+@_query(f"WITH {A.FRAMES_SQL} SELECT path, camera, sid, n, burst_id FROM bursts")
+def burst_sessions_sliced(spark, d):
+    return burst.sliced_sessions(A.frames(spark, d), A.GAP, 16).select("path", "camera", "sid", "n", "burst_id")
+
+
 @_query(f"WITH {A.FRAMES_SQL} SELECT camera, min(us) AS started_us, count(*) AS n FROM cut GROUP BY camera, sid")
 def burst_sessions_native(spark, d):
     frames = A.frames(spark, d).select("camera", F.timestamp_micros("us").alias("ts"))
@@ -220,17 +225,17 @@ def province_or_country(spark, d):
 
 def _region_tables(spark, d):
     s, n, p = (A.table(spark, d, t) for t in ("supplier", "nation", "part"))
-    regions = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("CN-"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("region_key"), F.col("n_name").alias("region_name"), F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("species_code"))
+    regions = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("CN-"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("region_key"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("shared "), F.col("n_regionkey").cast("string"))).otherwise(F.col("n_name")).alias("region_name"), (24 - F.col("n_nationkey")).alias("ord"), F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("species_code"))
     codes = p.filter("p_partkey % 3 <> 0").select(F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("code"), F.col("p_partkey").alias("idx"))
     return regions, codes
 
 
 _REGION_SQL = """
-rs AS (SELECT 'CN-' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS region_key, n_name AS region_name, 'c' || s_suppkey AS species_code FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+rs AS (SELECT 'CN-' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS region_key, CASE WHEN n_nationkey % 3 = 0 THEN 'shared ' || n_regionkey ELSE n_name END AS region_name, 24 - n_nationkey AS ord, 'c' || s_suppkey AS species_code FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 codes AS (SELECT 'c' || p_partkey AS code, p_partkey AS idx FROM part WHERE p_partkey % 3 <> 0)"""
 
 
-@_query(f"WITH {_REGION_SQL} SELECT DISTINCT region_name AS region, idx FROM rs JOIN codes ON species_code = code")
+@_query(f"WITH {_REGION_SQL}, k AS (SELECT * FROM rs JOIN codes ON species_code = code), owner AS (SELECT region_name, arg_max(region_key, ord) AS region_key FROM k GROUP BY region_name) SELECT DISTINCT region_name AS region, idx FROM k JOIN owner USING (region_name, region_key)")
 def code_index_inner(spark, d):
     return taxonomy.whitelist(*_region_tables(spark, d))
 

@@ -83,6 +83,20 @@ def test_giant_folder_equals_plain(spark):
     assert a == b
 
 
+def test_sliced_sessions_equal_plain_ones(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(burst, "BLOCK", 8)
+    rng = random.Random(4)
+    rows = [("hot", rng.randint(0, 900) * 1_000_000, f"h{i:04}") for i in range(500)] + [(rng.choice(["a", "b", "i", "z", None]), rng.randint(0, 300) * 1_000_000, f"p{i:04}") for i in range(120)]
+    df = spark.createDataFrame(rows, "camera string, us long, path string")
+    key = lambda r: (r.camera, r.path, r.sid, r.n, r.burst_id)
+    for slices, threshold in ((1, 1.0), (7, 1.0), (23, 3.0)):
+        want = sorted(map(key, burst.sessions(df, threshold).collect()), key=repr)
+        assert sorted(map(key, burst.sliced_sessions(df, threshold, slices).collect()), key=repr) == want
+    assert burst.sliced_sessions(df.filter("false"), 1.0, 3).count() == 0
+
+
 def test_one_exchange(spark):
     plan = burst.burst_summary(burst.best_frames(burst.sessions(plain(spark, [0, 1]), 1.0)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1

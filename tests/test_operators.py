@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumage.config import PipelineConfig
@@ -40,8 +41,11 @@ def test_genus_cascade_and_unknowns(spark):
 
 def test_whitelist_rules(spark):
     rows = [("CN", "China", "a"), ("CN-35", "福建", "b"), ("CN-99", "CN-99", "c"), ("CN-36", " ", "d"), ("US", "US", "e"), ("CNX", "x", "f"), ("CN-37", "山东", "gone")]
-    regions = spark.createDataFrame(rows, "region_key string, region_name string, species_code string")
+    plain = spark.createDataFrame(rows, "region_key string, region_name string, species_code string")
     codes = spark.createDataFrame([(c, i) for i, c in enumerate("abcdef")], "code string, idx int")
+    with pytest.raises(ValueError, match="place in the file"):
+        taxonomy.whitelist(plain, codes)
+    regions = plain.withColumn("ord", F.lit(0))
     assert [tuple(r) for r in taxonomy.whitelist(regions, codes).collect()] == [("福建", 1)]
     assert sorted(r.idx for r in taxonomy.national_list(regions, codes).collect()) == [0, 1, 2, 3]
 
