@@ -38,6 +38,40 @@ def decoded(spark: SparkSession, folder: str, drop_invalid: bool = True) -> Data
     return spark.read.format("image").option("dropInvalid", str(drop_invalid).lower()).option("recursiveFileLookup", "true").load(folder)
 
 
+def whole(images: DataFrame) -> DataFrame:
+    """SRC11: decoded images, or an error that names the first one that can't be."""
+    i = F.col("image")
+    broken = (i["data"].isNull()) | (F.octet_length(i["data"]) < 1) | (i["height"] < 1)
+    return images.withColumn("image", F.when(broken, F.raise_error(F.concat(F.lit("not decoded: "), F.coalesce(i["origin"], F.lit("?"))))).otherwise(i))
+
+
+def as_rgb(images: DataFrame) -> DataFrame:
+    """SRC10: ``(path, height, width, rgb)`` of decoded images; gray ones get three equal channels, undecodable ones null."""
+
+    def batches(source):
+        import numpy as np
+        import pyarrow as pa
+
+        from ..operators.detection import frames_of
+
+        for batch in source:
+            rows = []
+            for path, w, h, pixels in frames_of(batch):
+                rgb = None if pixels is None else np.ascontiguousarray(np.repeat(pixels[:, :, :1], 3, axis=2) if pixels.shape[2] < 3 else pixels[:, :, 2::-1]).tobytes()
+                rows.append((path, h, w, rgb))
+            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["path", "height", "width", "rgb"])
+
+    from ..operators.detection import pixel_columns
+
+    return pixel_columns(images).mapInArrow(batches, "path string, height int, width int, rgb binary")
+
+
+def in_order(files: DataFrame) -> DataFrame:
+    """SRT1: a listing by path, sorted over its tasks."""
+    return files.orderBy("path")
+
+
 def raw_supported() -> bool:
     """Whether the optional raw decoder is installed."""
     import importlib.util
