@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .chat_tools import canonical
 
 DATE = "2024-01-01T00:00:00Z"
+#: Bytes of a page in which its meta element may name the charset.
+META_BYTES = 2_048
 OUT_SCHEMA = "page_id long, record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, content_type string, block_digest string, source_payload_digest string, content_length long, record binary"
 
 _DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)(noscript|template|svg)(?=[\s/>])[^>]*>", re.I | re.S)
@@ -31,7 +33,7 @@ _HEAD = re.compile(rf"<head{_ATTRIBUTES}(?:\s++|</?(?:base|basefont|bgsound|link
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""")
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
+_TITLE, _TITLE_END = re.compile(r"<title\b", re.I), re.compile(r"</title\s*+>", re.I)
 _CODE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 
 
@@ -40,15 +42,58 @@ def sha1_digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode("ascii")
 
 
-def charset_of(http_headers: str) -> str:
-    """Charset of the Content-Type header; UTF-8 if there is none that is known as one of texts."""
-    found = re.search(r"(?im)^content-type:[^\r\n]*charset=[\"']?([-\w]+)", http_headers)
-    try:
-        name = codecs.lookup(found[1]).name if found else "utf-8"
-        b"a".decode(name, errors="replace")  # hex, base64 and others are no charsets
-        return name
-    except (LookupError, ValueError):
-        return "utf-8"
+def charset_of(http_headers: str, payload: bytes = b"") -> str:
+    """Charset of the Content-Type header, else of a meta element near the page's start; UTF-8 if neither is known as one of texts."""
+    in_header = re.search(r"(?im)^content-type:[^\r\n]*charset=[\"']?([-\w]+)", http_headers)
+    in_page = re.search(rb"(?i)<meta\s[^<>]*?charset\s*=\s*[\"']?\s*([-\w]+)", payload[:META_BYTES])
+    for name in [m[1] if isinstance(m[1], str) else m[1].decode("ascii", "replace") for m in (in_header, in_page) if m]:
+        try:
+            name = codecs.lookup(name).name
+            b"a".decode(name, errors="replace")  # hex, base64 and others are no charsets
+            return name
+        except (LookupError, ValueError):
+            continue
+    return "utf-8"
+
+
+def is_text(http_headers: list[tuple[str, str]]) -> bool:
+    """Whether the Content-Type is one of texts; without one it is taken for text."""
+    kind = (header(http_headers, "Content-Type") or "text/html").split(";")[0].strip().lower()
+    return not kind or kind.startswith("text/") or kind.endswith(("+xml", "+json", "/xml", "/json", "/javascript"))
+
+
+def ungzipped(payload: bytes) -> bytes:
+    """All members of a gzip payload; what follows them and is none is left out."""
+    out: list[bytes] = []
+    while payload:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(payload) + member.flush())
+        except zlib.error:
+            if not out:
+                raise
+            break
+        if not member.eof:
+            raise ValueError("a member is cut short")
+        payload = member.unused_data
+    return b"".join(out)
+
+
+def tags_part(page: str) -> int:
+    """Where the last tag of a page can end: beyond it patterns of tags need not be tried.
+
+    Without this an open ``<script`` for each few characters makes each of them look
+    for its end up to the page's.
+    """
+    return page.rfind(">") + 1
+
+
+def title_of(page: str) -> str | None:
+    """What stands in the first title element; if the first has no end, none has."""
+    began = _TITLE.search(page)
+    start = page.find(">", began.end()) + 1 if began else 0
+    end = _TITLE_END.search(page, start) if start else None
+    return page[start : end.start()] if end else None
 
 
 def without_dropped(page: str) -> str:
@@ -58,7 +103,8 @@ def without_dropped(page: str) -> str:
     closed only the tag goes, later on.
     """
     cuts, stack, held = [], [], {"noscript": 0, "template": 0, "svg": 0}
-    for m in _DROPPED.finditer(page):
+    tail_at = tags_part(page)
+    for m in _DROPPED.finditer(page, 0, tail_at):
         name = (m[3] or "").lower()
         if not name:
             cuts.append(m.span())
@@ -74,6 +120,10 @@ def without_dropped(page: str) -> str:
             while cuts and cuts[-1][0] >= start:
                 cuts.pop()
             cuts.append((start, m.end()))
+    if cuts and cuts[-1][1] == tail_at and _open_end(page[slice(*cuts[-1])]):
+        cuts[-1] = (cuts[-1][0], len(page))  # a script or comment without an end takes what follows with it
+    elif (comment := page.find("<!--", max(tail_at, cuts[-1][1] if cuts else 0))) >= 0:
+        cuts.append((comment, len(page)))
     out, at = [], 0
     for start, end in cuts:
         out.append(page[at:start])
@@ -81,6 +131,14 @@ def without_dropped(page: str) -> str:
     return " ".join([*out, page[at:]])
 
 
+def _open_end(cut: str) -> bool:
+    """Whether a piece that was cut is a comment, script or style without its end."""
+    if cut.startswith("<!--"):
+        return not (cut.endswith("-->") and len(cut) > 6)
+    name = re.match(r"<(script|style)(?=[\s/>])", cut, re.I)
+    return bool(name) and not re.search(rf"</{name[1]}\s*+>\Z", cut[-200:], re.I)
+
+
 def text_of(page: str) -> str:
     """Text of a page: block elements end lines, other tags vanish, entities are resolved.
 
@@ -88,15 +146,18 @@ def text_of(page: str) -> str:
     space, and empty lines go. The head ends with its end tag or before the first
     text or tag that can't be in one, as its end tag may be missing.
     """
-    page = _HEAD.sub(" ", without_dropped(page))
-    page = _TAG.sub(lambda m: "\n" if m[2] and m[2].lower() in _BLOCKS else "", page)
+    page = without_dropped(page)
+    tail_at = tags_part(page)
+    page, tail = _HEAD.sub(" ", page[:tail_at]), page[tail_at:]
+    page = _TAG.sub(lambda m: "\n" if m[2] and m[2].lower() in _BLOCKS else "", page) + tail
     lines = (" ".join(line.split()) for line in html.unescape(page).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
 def page_metadata(page: str, target: str) -> dict:
     """Title, metas and links of a page; links are absolute, in order, repeats included."""
-    title = _TITLE.search(page)
+    page = page[: tags_part(page)]
+    title = title_of(page)
     metas, links = [], []
     for m in _TAG.finditer(_CODE.sub(" ", page)):
         name = (m[2] or "").lower()
@@ -110,7 +171,7 @@ def page_metadata(page: str, target: str) -> dict:
                 links.append({"path": name, "url": urljoin(target, url)})
             except ValueError:
                 links.append({"path": name, "url": url})
-    return {"Links": links, "Metas": metas, "Title": " ".join(html.unescape(title[1]).split()) if title else None}
+    return {"Links": links, "Metas": metas, "Title": " ".join(html.unescape(title).split()) if title is not None else None}
 
 
 def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -173,7 +234,7 @@ def decoded_payload(headers: list[tuple[str, str]], payload: bytes) -> bytes:
             if coding == "chunked":
                 payload = unchunked(payload)
             elif coding in ("gzip", "x-gzip"):
-                payload = zlib.decompress(payload, 31)
+                payload = ungzipped(payload)
             elif coding == "deflate":
                 payload = zlib.decompress(payload, 15 if payload[:1] == b"\x78" else -15)
         except (ValueError, zlib.error):
@@ -188,7 +249,11 @@ def split_http(block: bytes) -> tuple[str, bytes]:
 
 
 def derived(record: bytes) -> list[tuple]:
-    """The metadata and conversion records of a response record; none of other records."""
+    """The metadata and conversion records of a response record; none of other records.
+
+    Responses of other types than text (images, PDFs) have a metadata record only,
+    without a page's title, metas and links.
+    """
     source, block = parse_record(record)
     if (header(source, "WARC-Type") or "").lower() != "response":
         return []
@@ -196,15 +261,17 @@ def derived(record: bytes) -> list[tuple]:
     target, refers, date = header(source, "WARC-Target-URI") or "", header(source, "WARC-Record-ID"), header(source, "WARC-Date") or DATE
     status, *lines = http.split("\r\n")
     fields = header_lines(lines)
-    page = decoded_payload(fields, payload).decode(charset_of(http), errors="replace")
+    text, body = is_text(fields), decoded_payload(fields, payload)
+    page = body.decode(charset_of(http, body), errors="replace") if text else ""
     payload_digest = header(source, "WARC-Payload-Digest") or sha1_digest(payload)
     ids = {kind: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers}#{kind}')}>" for kind in ("metadata", "conversion")}
-    envelope = {"Envelope": {"HTML-Metadata": page_metadata(page, target), "HTTP-Headers": [list(f) for f in fields], "HTTP-Status": status, "Payload-Digest": payload_digest, "Payload-Length": len(payload), "WARC-Headers": [list(h) for h in source]}}
+    envelope = {"Envelope": {"HTML-Metadata": page_metadata(page, target) if text else None, "HTTP-Headers": [list(f) for f in fields], "HTTP-Status": status, "Payload-Digest": payload_digest, "Payload-Length": len(payload), "WARC-Headers": [list(h) for h in source]}}
     out = []
-    for kind, other, content_type, data in (("metadata", "conversion", "application/json", canonical(envelope).encode("utf-8", "surrogatepass")), ("conversion", "metadata", "text/plain; charset=utf-8", text_of(page).encode("utf-8", "replace"))):
+    for kind, other, content_type, data in (("metadata", "conversion", "application/json", canonical(envelope).encode("utf-8", "surrogatepass")), ("conversion", "metadata", "text/plain; charset=utf-8", text_of(page).encode("utf-8", "replace")))[: 2 if text else 1]:
+        other = other if text else None
         digest = sha1_digest(data)
-        headers = [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Refers-To", refers), ("WARC-Concurrent-To", ids[other]), ("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Block-Digest", digest), ("WARC-Source-Payload-Digest", payload_digest), ("Content-Type", content_type), ("Content-Length", str(len(data)))]
-        out.append((kind, ids[kind], refers, ids[other], target, content_type, digest, payload_digest, len(data), record_bytes(headers, data)))
+        headers = [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Refers-To", refers), ("WARC-Concurrent-To", ids[other] if other else None), ("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Block-Digest", digest), ("WARC-Source-Payload-Digest", payload_digest), ("Content-Type", content_type), ("Content-Length", str(len(data)))]
+        out.append((kind, ids[kind], refers, ids[other] if other else None, target, content_type, digest, payload_digest, len(data), record_bytes(headers, data)))
     return out
 
 
