@@ -18,6 +18,7 @@ from itertools import groupby
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import json_schema
 from .common import unwritten, written
 
 #: Conversations with more calls than this are levelled by joins, not in one task.
@@ -103,36 +104,6 @@ def parse(text: str | None):
     return value
 
 
-KINDS = {
-    "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list), "string": lambda v: isinstance(v, str), "null": lambda v: v is None, "boolean": lambda v: isinstance(v, bool),
-    "number": lambda v: isinstance(v, int | float) and not isinstance(v, bool), "integer": lambda v: isinstance(v, int | float) and not isinstance(v, bool) and v == int(v),
-}
-
-
-def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """Where a value breaks a JSON schema (types, required, properties, items, enum, bounds)."""
-    kinds = schema.get("type", [])
-    kinds = [kinds] if isinstance(kinds, str) else kinds
-    if kinds and not any(KINDS[k](value) for k in kinds):
-        return [f"{at}: type"]
-    out = [f"{at}: enum"] if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]) else []  # true is not 1
-    if isinstance(value, str):
-        out += [f"{at}: minLength"] * (len(value) < schema.get("minLength", 0)) + [f"{at}: maxLength"] * (len(value) > schema.get("maxLength", len(value)))
-    if KINDS["number"](value):
-        out += [f"{at}: minimum"] * (value < schema.get("minimum", value)) + [f"{at}: maximum"] * (value > schema.get("maximum", value))
-    if isinstance(value, list) and "items" in schema:
-        out += [x for i, v in enumerate(value) for x in violations(v, schema["items"], f"{at}[{i}]")]
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [f"{at}.{k}: required" for k in sorted(schema.get("required", [])) if k not in value]
-        for k in sorted(value):
-            if k in known:
-                out += violations(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties", True) is False:
-                out.append(f"{at}.{k}: unknown")
-    return out
-
-
 def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Calls ``(conv_id, turn, index, id, name, arguments, after)`` with their results.
 
@@ -263,9 +234,12 @@ def formatted(calls: DataFrame, results: DataFrame, schemas: dict[str, str], lar
 
     Arguments that are no JSON, and tools without a schema, are errors and not
     valid, as are those nested over ``MAX_DEPTH`` levels; such arguments stay as text
-    in the JSON, whole. Orphans have level 0. Other columns of either table go. Empty
+    in the JSON, whole. A schema that can't be applied in full is refused before the
+    run, with a ValueError (see :mod:`json_schema`). Orphans have level 0. Other columns of either table go. Empty
     tables give no rows. The keys (conv_id, turn, index) must be unique.
     """
+    for text in schemas.values():
+        json_schema.load(text)
     units = linked(calls, results)
     levels = call_levels(calls, large).select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("index").alias("_i"), "level")
     on = F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t")) & F.col("index").eqNullSafe(F.col("_i")) & (F.col("kind") != "orphan")
@@ -274,7 +248,7 @@ def formatted(calls: DataFrame, results: DataFrame, schemas: dict[str, str], lar
     def batches(source):
         import pyarrow as pa
 
-        known = {name: json.loads(text) for name, text in schemas.items()}
+        known = {name: json_schema.load(text) for name, text in schemas.items()}
         for batch in source:
             valid, errors, out = [], [], []
             for row in batch.to_pylist():
@@ -282,9 +256,11 @@ def formatted(calls: DataFrame, results: DataFrame, schemas: dict[str, str], lar
                 if row["kind"] != "orphan":
                     try:
                         arguments = parse(row["arguments"])
-                        bad = violations(arguments, known[row["name"]]) if row["name"] in known else ["tool: unknown"]
+                        bad = json_schema.violations(arguments, known[row["name"]], canonical) if row["name"] in known else ["tool: unknown"]
                     except ValueError:
                         arguments, bad = row["arguments"], ["$: not JSON"]
+                    except RecursionError:  # a schema that refers to itself without going down
+                        bad = ["$: schema without end"]
                     unit["call"] = {"arguments": arguments, "name": row["name"], "turn": row["turn"]}
                 unit["result"] = None if row["kind"] == "unanswered" else {"content": row["content"], "turn": row["result_turn"]}
                 valid.append(not bad)
