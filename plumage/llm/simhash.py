@@ -40,6 +40,9 @@ SEGMENT = 12
 COMMON, MOST_COMMON = 32, 2_000_000
 #: Shingles whose hash is in the first 90 of 256 parts are counted exactly; keys are the lowest fifth of a text.
 COUNTED = 90
+#: Open texts meet by up to so many keys that they share; a pair costs as much as so many rows of keys;
+#: groups are cut while the pairs of those that should be are more than so many for each text.
+SHARED, PAIR_COST, PAIRS_EACH = 8, 4, 4
 #: Bits of a text's parities, eight longs.
 PARITIES = 512
 #: Hashes that a Python worker holds before it hands them on.
@@ -178,8 +181,9 @@ def keys_of(hashes, common, least: float):
 
     With the shingles of all texts in one order, two sets with a Jaccard similarity
     of ``least`` share one of the first ``n - ceil(least * n) + 1`` of each (prefix
-    filter); of the smaller set the first ``lead`` are enough. The first ``rare`` of
-    the keys aren't common.
+    filter); of the smaller set the first ``lead`` are enough. For every shingle more
+    that they have in common, they share one more key where one more is looked at, so
+    ``SHARED - 1`` keys follow. The first ``rare`` of the keys aren't common.
     """
     import numpy as np
 
@@ -190,7 +194,7 @@ def keys_of(hashes, common, least: float):
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         rank = np.where(known[at] == hashes, ranks[at], 0)
     first = lambda share: n - math.ceil(share * n - 1e-9) + 1
-    chosen = np.argsort(rank, kind="stable")[: first(least)]
+    chosen = np.argsort(rank, kind="stable")[: first(least) + SHARED - 1]
     return hashes[chosen].view(np.int64), first(2 * least / (1 + least)), int((rank[chosen] == 0).sum())
 
 
@@ -463,35 +467,105 @@ def plausible(marks: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return out
 
 
+def spare(least: float) -> Column:
+    """Shingles of ``n`` that a similar text need not have."""
+    return F.col("n") - F.ceil(F.col("n") * least - 1e-9)
+
+
 def open_pairs(marks: DataFrame, classes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """Every pair ``(a, b)`` of texts in different groups that can be similar enough.
 
     Similar texts share a key (:func:`keys_of`). Keys whose texts are of one group
-    are done. Of others, all texts meet that aren't in one group: those outside the
-    key's largest group, in blocks of ``DENSE``, with all. Keys that aren't common
-    have few texts each and are looked at in one shuffle; a common one may have very
-    many, so those are summed up before the shuffle and joined again.
+    are done. Of others, all texts meet that aren't in one group, where they are few;
+    where they are many, those that share more keys (:func:`meetings`). Keys that
+    aren't common have few texts each and are looked at in one shuffle; a common one
+    may have very many, so those are summed up before the shuffle and joined again.
     """
     named = classes.select("rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
     named = written(named, "text-labels")
-    few = named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then keys are moved once only
-    keyed = marks.filter("n > 1").join(F.broadcast(named) if few else named, F.col("doc_id") == F.col("rep")).select("rep", "n", "label", "lead", "rare", F.posexplode("keys").alias("at", "key"))
+    texts = named.count()
+    few = texts <= BROADCAST_ROWS  # then keys are moved once only
+    keyed = marks.filter("n > 1").join(F.broadcast(named) if few else named, F.col("doc_id") == F.col("rep"))
+    keyed = keyed.select("rep", "n", "label", "lead", "rare", F.posexplode(F.slice("keys", F.lit(1), (spare(least) + 1).cast("int"))).alias("at", "key"))
     keys = keyed.select("key", "rep", "n", "label", "at", (F.col("at") < F.col("lead")).alias("lead"), (F.col("at") < F.col("rare")).alias("rare"))
     of_key = Window.partitionBy("key")
     scarce = keys.filter("rare").withColumns({"lo": F.min("label").over(of_key), "hi": F.max("label").over(of_key), "led": F.max("lead").over(of_key)}).filter("lo < hi and led")
     many = keys.filter("not rare")
     mixed = many.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("lead").alias("led")).filter("lo < hi and led").select("key")
     columns = ["key", "rep", "n", "label", "at"]
-    held = written(scarce.select(*columns).unionByName(many.join(mixed, "key").select(*columns)), "open-keys")
-    sizes = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
-    sizes = written(sizes.select("key", "main", F.ceil(F.col("others") / DENSE).alias("blocks")), "open-sizes")
-    cut = held.join(sizes, "key")
-    one = cut.filter("label <> main").select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), *[F.col(c).alias(f"{c}1") for c in columns[1:]])
-    two = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}2") for c in columns[1:]])
+    held = written(scarce.select(*columns).unionByName(many.join(mixed, "key").select(*columns)).withColumnRenamed("key", "group"), "open-keys")
+    out = meetings(marks, held, texts, least)
+    unwritten(named)
+    return out
+
+
+def meetings(marks: DataFrame, held: DataFrame, texts: int, least: float) -> DataFrame:
+    """Pairs of different labels that meet in a group of ``held(group, rep, n, label, at)``.
+
+    A group's texts share one key, at place ``at`` of each. A group whose pairs would
+    be more work than its texts' later keys is cut by the next key that two texts
+    share, and again, up to ``SHARED`` keys: boilerplate makes many texts share one
+    key, but few share many. Two similar texts have that next key, and early enough
+    (of ``o`` shared shingles, ``l`` are in the first ``n - o + l``), unless they need
+    no more than they share; those meet at once. Cutting ends where the pairs left are
+    no more than some for each text. In what isn't cut, the texts outside the group's
+    largest label meet all, in blocks of ``DENSE``. No pair that can be similar is lost.
+    """
     needed = F.ceil((F.col("n1") + F.col("n2")) * (least / (1 + least)) - 1e-9)
-    enough = (F.col("n1") - F.col("at1") >= needed) & (F.col("n2") - F.col("at2") >= needed)  # so it is for the first key that two similar texts share
-    met = one.join(two, ["key", "block"]).filter((F.col("label1") != F.col("label2")) & enough)
-    return met.select(F.greatest("rep1", "rep2").alias("a"), F.least("rep1", "rep2").alias("b")).distinct()
+    columns = ["rep", "n", "label", "at"]
+    found = []
+    for shared in range(1, SHARED + 1):
+        ahead = F.sum(spare(least) + shared - F.col("at"))  # keys among which the next shared one is
+        sizes = held.groupBy("group", "label").agg(F.count(F.lit(1)).alias("c"), ahead.alias("ahead")).groupBy("group")
+        sizes = sizes.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("size"), (F.sum("c") - F.max("c")).alias("others"), F.sum("ahead").alias("ahead")).filter("others > 0")
+        met = F.col("others") * F.col("size")
+        sizes = written(sizes.withColumn("cut", (F.lit(shared < SHARED)) & (met * PAIR_COST > F.col("ahead"))), "open-sizes")
+        left = sizes.filter("cut").agg(F.sum(met)).first()[0] or 0
+        going = left > PAIRS_EACH * texts
+        cut = F.col("cut") if going else F.lit(False)
+        rows = held.join(sizes.select("group", "main", cut.alias("cut"), F.ceil(F.col("others") / DENSE).alias("blocks")), "group").filter(~F.col("cut") | (F.col("n") - spare(least) <= shared))
+        one = rows.filter("label <> main").select("group", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), *[F.col(c).alias(f"{c}1") for c in columns])
+        two = rows.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}2") for c in columns])
+        enough = (F.col("n1") - F.col("at1") + shared - 1 >= needed) & (F.col("n2") - F.col("at2") + shared - 1 >= needed)
+        pairs = one.join(two, ["group", "block"]).filter((F.col("label1") != F.col("label2")) & enough)
+        found.append(written(pairs.select(F.greatest("rep1", "rep2").alias("a"), F.least("rep1", "rep2").alias("b")).distinct(), "open-pairs"))
+        done = (held, sizes)
+        if going:
+            held = cut_by_next(marks, held.join(sizes.filter("cut").select("group", "size"), "group"), shared, least)
+        for table in done:
+            unwritten(table)
+        if not going:
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def cut_by_next(marks: DataFrame, groups: DataFrame, shared: int, least: float) -> DataFrame:
+    """Groups whose texts share ``shared`` keys, cut by one more key each; columns as in :func:`meetings`.
+
+    A key that all texts of a group have is shared by each two of them, so none of
+    them first meets in a later one; a group of one key that all its texts have after
+    such a key has no pair of its own. Shingles of one line therefore count once.
+    """
+    groups = written(groups, "cut-groups")
+    keys = among(marks.select("doc_id", "keys"), groups.select("rep").distinct()).withColumnRenamed("doc_id", "rep")
+    spread = groups.join(keys, "rep").select("group", "size", "rep", "n", "label", "at", F.posexplode("keys").alias("pos", "key"))
+    after = (F.col("pos") > F.col("at")) & (F.col("pos") <= spare(least) + shared)
+    later = written(spread.filter(after | (F.lit(shared == 1) & (F.col("pos") < F.col("at")))), "later-keys")
+    counted = later.groupBy("group", "key").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("size"), F.max(F.col("pos") < F.col("at")).alias("before"))
+    whole = written(counted.filter("c = size").select("group", "key", "before"), "whole-keys")
+    dead = whole.filter("before").select("group").distinct()
+    first = later.filter("pos > at").join(whole.filter("not before"), ["group", "key"]).groupBy("group", "rep").agg(F.min("pos").alias("first"))
+    kept = later.filter("pos > at").join(dead, "group", "left_anti").join(first, ["group", "rep"], "left").filter("first is null or pos <= first")
+    rows = kept.select(F.xxhash64("group", "key", F.lit(shared)).alias("group"), "rep", "n", "label", F.col("pos").alias("at"))
+    of_group = Window.partitionBy("group")
+    mixed = rows.withColumns({"lo": F.min("label").over(of_group), "hi": F.max("label").over(of_group)}).filter("lo < hi").drop("lo", "hi")
+    out = written(mixed, "open-keys")
+    for table in (groups, later, whole):
+        unwritten(table)
+    return out
 
 
 def verified(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:

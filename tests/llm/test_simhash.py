@@ -132,6 +132,50 @@ def test_near_copies_are_exact(spark, make, prose, monkeypatch):
     assert_exact(spark, make, texts)
 
 
+def boilerplate(prose, n, lines=40, of=12):
+    """Texts of lines drawn from a few common ones."""
+    common = [prose(40_000 + i, 8) for i in range(lines)]
+    rng = random.Random(n)
+    return {i: "\n".join(rng.choice(common) for _ in range(of)) for i in range(n)}
+
+
+def found_open(spark, make, texts):
+    """Pairs that :func:`open_pairs` finds where nothing is linked before."""
+    from pyspark.sql import functions as F
+
+    marks = S.sketches(make(list(texts.items()))).cache()
+    classes = marks.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    found = {tuple(r) for r in S.open_pairs(marks, classes.select("rep"), spark.createDataFrame([], "node long, label long"), S.SIMILARITY).collect()}
+    marks.unpersist()
+    return found
+
+
+def test_boilerplate_makes_pairs_in_proportion(spark, make, prose):
+    few, many = (len(found_open(spark, make, boilerplate(prose, n))) for n in (500, 2000))
+    assert many <= 4.5 * few  # all pairs of a key's texts grow by 16
+
+
+def test_cut_groups_lose_no_pair(spark, make, prose, monkeypatch):
+    """Common lines, edited copies of them, and texts so short that they share all they need at once."""
+    monkeypatch.setattr(S, "PAIR_COST", 1000)
+    monkeypatch.setattr(S, "PAIRS_EACH", 0)
+    rng = random.Random(31)
+    texts = boilerplate(prose, 150, 12, 6)
+    texts |= {1000 + i: edited(rng, texts[i], 0.02, prose) for i in range(150)}
+    opening = prose(77, 12)
+    texts |= {2000 + i: opening + " " + prose(3000 + i % 9, i % 4) for i in range(60)}
+    texts |= {3000 + i: prose(78, 30) + " " + prose(4000 + i, i % 8) for i in range(40)}
+    sets = {i: shingles_of(t, 5) for i, t in texts.items()}
+    first = {}
+    for i, t in texts.items():
+        first.setdefault(" ".join(t.lower().split()), i)
+    reps = sorted(first.values())
+    near = {(a, b) for a in reps for b in reps if a > b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    found = found_open(spark, make, texts)
+    assert near <= found and len(near) > 300
+    assert_exact(spark, make, texts)
+
+
 def test_keys_of_similar_sets_meet():
     import numpy as np
 
