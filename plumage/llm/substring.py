@@ -3,8 +3,11 @@
 1. Seeds: every document's 8-word k-mers are winnowed (the least hash of each 16
    neighbours), so two texts that share 23 words in a row share a seed.
 2. Join: every seed is matched with the first document that has it, and seeds that
-   no passage covers then with the last one before theirs. Matches grow with the
-   seeds, however many documents share one.
+   no passage covers then with the last one before theirs. Pairs of such seeds that
+   no passage covers even then are matched with the first document that has both
+   within ``REACH`` words: documents that quote less of a passage than lies between
+   two of its seeds have no such pair, however many of them own its seeds. Matches
+   grow with the seeds, however many documents share one.
 3. Chain: matches of a document with one earlier document are chained in order in
    both, with gap costs, through a Fenwick tree of prefix maxima.
 4. Align: the words between and around a chain's seeds are compared, chains with
@@ -35,8 +38,10 @@ GAP_COST = 0.05
 #: Words around a chain that alignment may extend it by; slices are cut at multiples.
 MARGIN = 32
 GRID = 64
-#: Holders of a seed that are put in order by one task.
+#: Least holders of seeds that are worth a task of their own when they are put in order.
 HOLDERS = 4_096
+#: Most words from one seed to another that it is matched together with.
+REACH = 96
 
 SPAN_SCHEMA = "doc_id long, start_word int, end_word int, src_doc_id long, src_start_word int, src_end_word int, n_matched int, similarity double"
 CHAIN_SCHEMA = "doc long, src long, lo int, hi int, slo int, shi int, at array<int>, sat array<int>"
@@ -128,24 +133,32 @@ def seeds(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(batches, "h long, doc long, pos int, first boolean, words int")
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """Seeds matched with the first document that has them: ``(doc, src, pos, spos, h, words)``."""
-    owners = found.filter("first").groupBy("h").agg(F.min("doc").alias("src"), F.min_by("pos", "doc").alias("spos"), F.max("doc").alias("last")).filter("src < last").select("h", "src", "spos")
-    owners = written(owners, "seed-owners")  # apart from the join, of which Spark can split a seed that very many documents have
+def owners_of(found: DataFrame) -> DataFrame:
+    """The first document of each seed that two or more have: ``(h, src, spos)``."""
+    return found.filter("first").groupBy("h").agg(F.min("doc").alias("src"), F.min_by("pos", "doc").alias("spos"), F.max("doc").alias("last")).filter("src < last").select("h", "src", "spos")
+
+
+def matches(found: DataFrame, owners: DataFrame) -> DataFrame:
+    """Seeds matched with the first document that has them: ``(doc, src, pos, spos, h, words)``.
+
+    ``owners``, see :func:`owners_of`, is a table of its own, so that Spark can split
+    the join for a seed that very many documents have.
+    """
     return found.join(owners, "h").filter("doc <> src").select("doc", "src", "pos", "spos", "h", "words")
 
 
 def nearest_matches(found: DataFrame, left: DataFrame) -> DataFrame:
     """Seeds ``left(h)`` matched with the last document before theirs that has them: ``(doc, src, pos, spos, words)``.
 
-    The documents that hold a seed are put in order in blocks of ids, and the first
-    of a block follows the last of the block before it, so no task has to sort all
-    holders of a frequent seed.
+    The documents that hold a seed are put in order in ranges of seeds and ids that
+    have about equally many rows, and the first of a range follows the last of the
+    range before it. So no task has to sort all holders of a frequent seed, however
+    their ids are spread.
     """
     holders = written(found.filter("first").join(left, "h").select("h", "doc", "pos", "words"), "open-holders")
-    span = holders.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("n > 1")
-    share = (F.col("doc") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1.0)
-    placed = written(holders.join(written(span, "open-spans"), "h").select("h", F.floor(share * F.ceil(F.col("n") / HOLDERS)).alias("block"), "doc", "pos", "words"), "open-blocks")
+    most = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = holders.repartitionByRange(max(1, min(most, holders.count() // HOLDERS)), "h", "doc")
+    placed = written(ranges.withColumn("block", F.spark_partition_id()), "open-blocks")
     at = F.struct("doc", "pos")
     before = F.lag("last").over(Window.partitionBy("h").orderBy("block"))
     ends = placed.groupBy("h", "block").agg(F.max(at).alias("last")).select("h", "block", before.alias("before"))
@@ -154,6 +167,31 @@ def nearest_matches(found: DataFrame, left: DataFrame) -> DataFrame:
     return near.select("doc", F.col("near.doc").alias("src"), "pos", F.col("near.pos").alias("spos"), "words")
 
 
+def pair_matches(found: DataFrame, owners: DataFrame, left: DataFrame, spans: DataFrame) -> DataFrame:
+    """Pairs of seeds ``left(h)`` matched with the first document that has both, seed by seed: ``(doc, src, pos, spos)``.
+
+    The seeds of a pair are ``K`` to ``REACH`` words apart in either document. A pair
+    whose seeds have one owner, as near to each other, would meet that one again, and
+    is left out. Pairs of which ``spans`` cover a seed ask for no match, but may be the match.
+    """
+    rows = found.join(left, "h").join(owners, "h").select("doc", "pos", "h", "src", "spos", "words")
+    covered = uncovered(rows, spans).select("doc", "pos", F.lit(True).alias("asks"))
+    rows = written(rows.join(covered, ["doc", "pos"], "left"), "pair-seeds")
+    after = F.collect_list(F.struct("pos", "h", "src", "spos", "asks")).over(Window.partitionBy("doc").orderBy("pos").rangeBetween(K, REACH))
+    pairs = rows.withColumn("after", after).select("doc", "pos", "h", "src", "spos", "asks", F.explode("after").alias("b"))
+    again = (F.col("src") == F.col("b.src")) & (F.col("b.spos") - F.col("spos")).between(K, REACH)
+    pairs = pairs.filter(~again).select(F.xxhash64("h", "b.h").alias("p"), "doc", "pos", F.col("b.pos").alias("pos2"), (F.col("asks") & F.col("b.asks")).alias("asks"))
+    pairs = written(pairs, "seed-pairs")
+    first = pairs.groupBy("p").agg(F.min(F.struct("doc", "pos", "pos2")).alias("o"), F.max("doc").alias("last")).filter("o.doc < last").select("p", "o")
+    first = written(first, "pair-owners")
+    met = pairs.filter("asks").join(first, "p").filter("doc <> o.doc")
+    ends = F.explode(F.array(F.struct("pos", F.col("o.pos").alias("spos")), F.struct(F.col("pos2").alias("pos"), F.col("o.pos2").alias("spos"))))
+    out = written(met.select("doc", F.col("o.doc").alias("src"), ends.alias("at")).select("doc", "src", "at.*").distinct(), "pair-matches")
+    for table in (rows, pairs, first):
+        unwritten(table)
+    return out
+
+
 def chain(pos, spos) -> list[list[int]]:
     """Collinear chains of matches sorted by ``pos``; lists of indexes, best chains first.
 
@@ -301,14 +339,19 @@ def passages(docs: DataFrame) -> DataFrame:
     """
     docs = one_row_each(docs).select("doc_id", "text")
     found = written(seeds(docs), "seeds")
-    met = written(matches(found), "matches")
+    owners = written(owners_of(found), "seed-owners")
+    met = written(matches(found, owners), "matches")
     first = written(alignments(docs, written(chains(met), "chains")), "first-passages")
     near = uncovered(nearest_matches(found, open_seeds(met, first)), first)
     second = written(alignments(docs, written(chains(near), "near-chains")), "second-passages")
     both = first.unionByName(second)
-    runs = window_runs(docs, found, open_seeds(met, both), both)
-    out = written(first.unionByName(covering(first, second.unionByName(runs))), "passages")
-    for table in (found, met, first, second):
+    left = open_seeds(met, both)
+    paired = pair_matches(found, owners, left, both)
+    third = written(alignments(docs, written(chains(paired), "pair-chains")), "third-passages")
+    known = both.unionByName(third)
+    runs = window_runs(docs, found, open_seeds(met, known), known)
+    out = written(first.unionByName(covering(first, second.unionByName(third).unionByName(runs))), "passages")
+    for table in (found, owners, met, paired, first, second, third):
         unwritten(table)
     return out
 

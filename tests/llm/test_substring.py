@@ -99,6 +99,47 @@ def test_passages_that_earlier_documents_quote_in_part(spark, make, prose):
     assert sum(f >= 0.8 for f in found) >= 0.9 * len(found)  # words beyond the last seed may be left out where an edit is near the end
 
 
+def test_fuzzy_passages_whose_seeds_others_own(spark, make, prose):
+    """Two variants of a passage; four documents before both and four between them quote 40 words each of either."""
+    rng = random.Random(41)
+    docs, spans = [], {}
+    for g in range(40):
+        n = rng.choice([99, 120, 200])
+        words, base = prose(90_000 + g, n).split(), 1000 * g
+        other = edited(" ".join(words), range(20 + g % 20, n, 40 if n < 100 else 50)).split()
+        for k in range(8):
+            at = rng.randrange(n - 40) if g % 2 else k % 4 * (n - 40) // 3
+            quote = (words if k < 4 else other)[at : at + 40]
+            docs.append((base + (10 if k < 4 else 110) + k, prose(91_000 + 10 * g + k, 30) + " " + " ".join(quote) + " " + prose(92_000 + 10 * g + k, 30)))
+        docs += [(base + 100, prose(93_000 + g, 40) + " " + " ".join(words) + " " + prose(94_000 + g, 40)), (base + 200, prose(95_000 + g, 40) + " " + " ".join(other) + " " + prose(96_000 + g, 40))]
+        if S.similarity(words, other) >= S.SIMILARITY:
+            spans[base + 200] = set(range(40, 40 + n))
+    got = {}
+    for r in S.passages(make(docs)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    shares = [len(span & got.get(i, set())) / len(span) for i, span in spans.items()]
+    assert len(shares) >= 30 and sum(s >= 0.8 for s in shares) >= 0.9 * len(shares)
+
+
+def test_nearest_holder_with_one_id_far_off(spark, monkeypatch):
+    """Ranges of holders are cut by rows, so that an id far from the others changes no range's size."""
+    monkeypatch.setattr(S, "HOLDERS", 50)
+    ids = [*range(400), 2**62]
+    seeds = spark.createDataFrame([(7, d, 1, True, 100) for d in ids], "h long, doc long, pos int, first boolean, words int")
+    sizes = []
+    keep = S.written
+
+    def seen(df, name):
+        out = keep(df, name)
+        if name == "open-blocks":
+            sizes.extend(r["count"] for r in out.groupBy("h", "block").count().collect())
+        return out
+
+    monkeypatch.setattr(S, "written", seen)
+    got = sorted((r.src, r.doc) for r in S.nearest_matches(seeds, seeds.select("h").distinct()).collect())
+    assert got == list(itertools.pairwise(ids)) and len(sizes) > 3 and max(sizes) < 200
+
+
 def test_nearest_holder_is_the_one_before(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(h, d, rng.randint(0, 99), True, 100) for h in range(6) for d in sorted(rng.sample(range(1000), 3 + 40 * h))]
