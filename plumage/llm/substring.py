@@ -42,6 +42,8 @@ GRID = 64
 HOLDERS = 4_096
 #: Most words from one seed to another that it is matched together with.
 REACH = 96
+#: Words among which one seed is chosen for a pair.
+STEP = 16
 
 SPAN_SCHEMA = "doc_id long, start_word int, end_word int, src_doc_id long, src_start_word int, src_end_word int, n_matched int, similarity double"
 CHAIN_SCHEMA = "doc long, src long, lo int, hi int, slo int, shi int, at array<int>, sat array<int>"
@@ -170,17 +172,21 @@ def nearest_matches(found: DataFrame, left: DataFrame) -> DataFrame:
 def pair_matches(found: DataFrame, owners: DataFrame, left: DataFrame, spans: DataFrame) -> DataFrame:
     """Pairs of seeds ``left(h)`` matched with the first document that has both, seed by seed: ``(doc, src, pos, spos)``.
 
-    The seeds of a pair are ``K`` to ``REACH`` words apart in either document. A pair
-    whose seeds have one owner, as near to each other, would meet that one again, and
-    is left out. Pairs of which ``spans`` cover a seed ask for no match, but may be the match.
+    Each seed is paired, among the seeds that follow it within ``REACH`` words, with
+    the one of the least hash in each ``STEP`` words, so that texts in which that
+    one is left alone choose the same, and pairs grow with the seeds. A pair whose
+    seeds have one owner, as near to each other, would meet that one again, and is
+    left out. Pairs of which ``spans`` cover a seed ask for no match, but may be the match.
     """
     rows = found.join(left, "h").join(owners, "h").select("doc", "pos", "h", "src", "spos", "words")
     covered = uncovered(rows, spans).select("doc", "pos", F.lit(True).alias("asks"))
     rows = written(rows.join(covered, ["doc", "pos"], "left"), "pair-seeds")
-    after = F.collect_list(F.struct("pos", "h", "src", "spos", "asks")).over(Window.partitionBy("doc").orderBy("pos").rangeBetween(K, REACH))
-    pairs = rows.withColumn("after", after).select("doc", "pos", "h", "src", "spos", "asks", F.explode("after").alias("b"))
-    again = (F.col("src") == F.col("b.src")) & (F.col("b.spos") - F.col("spos")).between(K, REACH)
-    pairs = pairs.filter(~again).select(F.xxhash64("h", "b.h").alias("p"), "doc", "pos", F.col("b.pos").alias("pos2"), (F.col("asks") & F.col("b.asks")).alias("asks"))
+    after = F.collect_list(F.struct("h", "pos", "src", "spos", "asks")).over(Window.partitionBy("doc").orderBy("pos").rangeBetween(K, REACH))  # at most REACH seeds
+    anew = F.filter("after", lambda b: (b["h"] != F.col("h")) & ~((b["src"] == F.col("src")) & (b["spos"] - F.col("spos")).between(K, REACH)))
+    ahead = lambda lo: lambda b: (b["pos"] - F.col("pos")).between(lo + 1, lo + STEP)
+    least = [F.array_min(F.filter("anew", ahead(lo))) for lo in range(0, REACH, STEP)]
+    pairs = rows.withColumn("after", after).withColumn("anew", anew).withColumn("b", F.explode(F.array_compact(F.array(*least))))
+    pairs = pairs.select(F.xxhash64("h", "b.h").alias("p"), "doc", "pos", F.col("b.pos").alias("pos2"), (F.col("asks") & F.col("b.asks")).alias("asks"))
     pairs = written(pairs, "seed-pairs")
     first = pairs.groupBy("p").agg(F.min(F.struct("doc", "pos", "pos2")).alias("o"), F.max("doc").alias("last")).filter("o.doc < last").select("p", "o")
     first = written(first, "pair-owners")
