@@ -493,10 +493,24 @@ def open_pairs(marks: DataFrame, classes: DataFrame, labels: DataFrame, least: f
     many = keys.filter("not rare")
     mixed = many.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("lead").alias("led")).filter("lo < hi and led").select("key")
     columns = ["key", "rep", "n", "label", "at"]
-    held = written(scarce.select(*columns).unionByName(many.join(mixed, "key").select(*columns)).withColumnRenamed("key", "group"), "open-keys")
-    out = meetings(marks, held, texts, least)
-    unwritten(named)
-    return out
+    met = written(scarce.select(*columns).unionByName(many.join(mixed, "key").select(*columns)).withColumnRenamed("key", "group"), "shared-keys")
+    held = written(first_met(met), "open-keys")
+    for table in (named, met):
+        unwritten(table)
+    return meetings(marks, held, texts, least)
+
+
+def first_met(held: DataFrame, *within: str) -> DataFrame:
+    """``held(group, rep, at, ...)`` without groups whose texts all meet in one earlier group.
+
+    ``group`` stands for the key at place ``at`` of a text, within a group of fewer
+    keys if ``within`` names its column. Where the key before it, of those that are in
+    ``held``, is the same in all texts of a group, each two of them share that one
+    first. The shingles of a line therefore count once, not each with each other.
+    """
+    before = F.lag("group").over(Window.partitionBy(*within, "rep").orderBy("at"))
+    late = held.withColumn("before", before).groupBy("group").agg(F.count_if(F.col("before").isNull()).alias("alone"), F.min("before").alias("lo"), F.max("before").alias("hi"))
+    return held.join(late.filter("alone = 0 and lo = hi").select("group"), "group", "left_anti")
 
 
 def meetings(marks: DataFrame, held: DataFrame, texts: int, least: float) -> DataFrame:
@@ -507,31 +521,43 @@ def meetings(marks: DataFrame, held: DataFrame, texts: int, least: float) -> Dat
     share, and again, up to ``SHARED`` keys: boilerplate makes many texts share one
     key, but few share many. Two similar texts have that next key, and early enough
     (of ``o`` shared shingles, ``l`` are in the first ``n - o + l``), unless they need
-    no more than they share; those meet at once. Cutting ends where the pairs left are
-    no more than some for each text. In what isn't cut, the texts outside the group's
+    no more than they share; those meet at once. Work is counted in pairs that share
+    enough for their lengths: texts of unlike lengths are dropped as they meet, while a
+    cut writes a row for every later key. Cutting ends where the pairs left are no more
+    than some for each text. In what isn't cut, the texts outside the group's
     largest label meet all, in blocks of ``DENSE``. No pair that can be similar is lost.
     """
     needed = F.ceil((F.col("n1") + F.col("n2")) * (least / (1 + least)) - 1e-9)
     columns = ["rep", "n", "label", "at"]
+
+    def met_in(rows: DataFrame, shared: int) -> DataFrame:
+        """Pairs of ``rows`` that share enough, once for each group they meet in."""
+        one = rows.filter("label <> main").select("group", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), *[F.col(c).alias(f"{c}1") for c in columns])
+        two = rows.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}2") for c in columns])
+        enough = (F.col("n1") - F.col("at1") + shared - 1 >= needed) & (F.col("n2") - F.col("at2") + shared - 1 >= needed)
+        return one.join(two, ["group", "block"]).filter((F.col("label1") != F.col("label2")) & enough)
+
     found = []
     for shared in range(1, SHARED + 1):
         ahead = F.sum(spare(least) + shared - F.col("at"))  # keys among which the next shared one is
         sizes = held.groupBy("group", "label").agg(F.count(F.lit(1)).alias("c"), ahead.alias("ahead")).groupBy("group")
         sizes = sizes.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("size"), (F.sum("c") - F.max("c")).alias("others"), F.sum("ahead").alias("ahead")).filter("others > 0")
-        met = F.col("others") * F.col("size")
-        sizes = written(sizes.withColumn("cut", (F.lit(shared < SHARED)) & (met * PAIR_COST > F.col("ahead"))), "open-sizes")
-        left = sizes.filter("cut").agg(F.sum(met)).first()[0] or 0
+        may = (F.lit(shared < SHARED)) & (F.col("others") * F.col("size") * PAIR_COST > F.col("ahead"))
+        sizes = written(sizes.withColumns({"may": may, "blocks": F.ceil(F.col("others") / DENSE)}), "open-sizes")
+        large = held.join(sizes.filter("may").select("group", "main", "blocks"), "group")
+        cost = met_in(large, shared).groupBy("group").agg(F.count(F.lit(1)).alias("pairs"))  # counted in the join, none is kept
+        cuts = sizes.filter("may").join(cost, "group").filter(F.col("pairs") * PAIR_COST > F.col("ahead")).select("group", "size", "pairs", F.lit(True).alias("cut"))
+        cuts = written(cuts, "open-cuts")
+        left = cuts.agg(F.sum("pairs")).first()[0] or 0
         going = left > PAIRS_EACH * texts
-        cut = F.col("cut") if going else F.lit(False)
-        rows = held.join(sizes.select("group", "main", cut.alias("cut"), F.ceil(F.col("others") / DENSE).alias("blocks")), "group").filter(~F.col("cut") | (F.col("n") - spare(least) <= shared))
-        one = rows.filter("label <> main").select("group", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), *[F.col(c).alias(f"{c}1") for c in columns])
-        two = rows.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}2") for c in columns])
-        enough = (F.col("n1") - F.col("at1") + shared - 1 >= needed) & (F.col("n2") - F.col("at2") + shared - 1 >= needed)
-        pairs = one.join(two, ["group", "block"]).filter((F.col("label1") != F.col("label2")) & enough)
+        rows = held.join(sizes.select("group", "main", "blocks"), "group")
+        if going:
+            rows = rows.join(cuts.select("group", "cut"), "group", "left").filter(F.col("cut").isNull() | (F.col("n") - spare(least) <= shared))
+        pairs = met_in(rows, shared)
         found.append(written(pairs.select(F.greatest("rep1", "rep2").alias("a"), F.least("rep1", "rep2").alias("b")).distinct(), "open-pairs"))
-        done = (held, sizes)
+        done = (held, sizes, cuts)
         if going:
-            held = cut_by_next(marks, held.join(sizes.filter("cut").select("group", "size"), "group"), shared, least)
+            held = cut_by_next(marks, held.join(cuts.select("group", "size"), "group"), shared, least)
         for table in done:
             unwritten(table)
         if not going:
@@ -559,11 +585,12 @@ def cut_by_next(marks: DataFrame, groups: DataFrame, shared: int, least: float)
     dead = whole.filter("before").select("group").distinct()
     first = later.filter("pos > at").join(whole.filter("not before"), ["group", "key"]).groupBy("group", "rep").agg(F.min("pos").alias("first"))
     kept = later.filter("pos > at").join(dead, "group", "left_anti").join(first, ["group", "rep"], "left").filter("first is null or pos <= first")
-    rows = kept.select(F.xxhash64("group", "key", F.lit(shared)).alias("group"), "rep", "n", "label", F.col("pos").alias("at"))
+    rows = kept.select(F.col("group").alias("cut"), F.xxhash64("group", "key", F.lit(shared)).alias("group"), "rep", "n", "label", F.col("pos").alias("at"))
     of_group = Window.partitionBy("group")
     mixed = rows.withColumns({"lo": F.min("label").over(of_group), "hi": F.max("label").over(of_group)}).filter("lo < hi").drop("lo", "hi")
-    out = written(mixed, "open-keys")
-    for table in (groups, later, whole):
+    mixed = written(mixed, "shared-keys")
+    out = written(first_met(mixed, "cut").drop("cut"), "open-keys")
+    for table in (groups, later, whole, mixed):
         unwritten(table)
     return out
 

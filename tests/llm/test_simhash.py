@@ -176,6 +176,27 @@ def test_cut_groups_lose_no_pair(spark, make, prose, monkeypatch):
     assert_exact(spark, make, texts)
 
 
+def test_groups_of_unlike_lengths_are_not_cut(spark, make, prose, monkeypatch):
+    """Few of a group's texts are of similar length: meeting is less work than a row for every later key."""
+
+    def cut(*_):
+        raise AssertionError("groups are cut whose pairs are few")
+
+    monkeypatch.setattr(S, "COMMON", 10**6)
+    monkeypatch.setattr(S, "cut_by_next", cut)
+    texts = {i: prose(91, 40) + " " + prose(5000 + i, round(60 * 1.03**i)) for i in range(150)}
+    texts |= {1000 + i: texts[i] + " tail" for i in range(0, 150, 15)}
+    assert {(1000 + i, i) for i in range(0, 150, 15)} <= found_open(spark, make, texts)
+
+
+def test_keys_that_follow_the_same_key_meet_once(spark):
+    """Three keys of one line, a key of two texts of it, and one that another text has without the line."""
+    rows = [(k, rep, 50, rep, at) for rep in range(4) for k, at in ((11, 1), (12, 2), (13, 3))]
+    rows += [(14, 0, 50, 0, 4), (14, 1, 50, 1, 4), (15, 2, 50, 2, 5), (15, 9, 50, 9, 0)]
+    held = spark.createDataFrame(rows, "group long, rep long, n long, label long, at int")
+    assert {r.group for r in S.first_met(held).collect()} == {11, 15}
+
+
 def test_keys_of_similar_sets_meet():
     import numpy as np
 
