@@ -75,7 +75,13 @@ def least_of(mixed):
 
     if len(mixed) <= WINNOW:
         return np.array([int(mixed.argmin())] if len(mixed) else [], dtype=np.int64)
-    return np.lib.stride_tricks.sliding_window_view(mixed, WINNOW).argmin(axis=1) + np.arange(len(mixed) - WINNOW + 1)
+    least, value, width = np.arange(len(mixed)), mixed, 1
+    while width < WINNOW:  # the least of a run, from those of two that make it up; of equals the first
+        step = min(width, WINNOW - width)
+        later = value[step:] < value[:-step]
+        least, value = np.where(later, least[step:], least[:-step]), np.where(later, value[step:], value[:-step])
+        width += step
+    return least
 
 
 def seeds_of(text: str | None):

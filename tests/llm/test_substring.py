@@ -211,3 +211,14 @@ def test_odd_rows_many_copies_and_names(spark, make, odd, prose):
     left = S.without_passages(docs)
     assert left.columns == docs.columns and left.count() == len(odd) - 1
     assert S.passages(make([])).count() == 0 and S.without_passages(make([])).count() == 0
+
+
+def test_least_of_neighbours_is_the_first_of_equals():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 16, 17, 18, 40, 500):
+        for top in (2, 5, 2**63):
+            mixed = rng.integers(0, top, n).astype(np.uint64)
+            runs = [mixed[i : i + S.WINNOW] for i in range(max(1, n - S.WINNOW + 1))] if n else []
+            assert S.least_of(mixed).tolist() == [i + int(r.argmin()) for i, r in enumerate(runs)]
