@@ -26,7 +26,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE_CLASS, among, documents, one_row_each, unwritten, words_of, written
+from .common import BROADCAST_ROWS, SPACE_CLASS, among, documents, one_row_each, unwritten, written
 
 K = 8
 WINNOW = 16
@@ -44,31 +44,56 @@ HOLDERS = 4_096
 REACH = 96
 #: Words among which one seed is chosen for a pair.
 STEP = 16
+#: Bytes of texts that are taken apart at once.
+PART_BYTES = 1 << 20
 
 SPAN_SCHEMA = "doc_id long, start_word int, end_word int, src_doc_id long, src_start_word int, src_end_word int, n_matched int, similarity double"
 CHAIN_SCHEMA = "doc long, src long, lo int, hi int, slo int, shi int, at array<int>, sat array<int>"
 
 
-def runs_of(text: str | None, size: int):
-    """Hashes of all runs of ``size`` words of a text (A-Z in lower case)."""
+def hashed_words(texts):
+    """Hashes of all words of an Arrow array of texts (A-Z in lower case), and where each text's begin, and the last one's end.
+
+    Each word of the array is hashed once, however often it comes.
+    """
     import numpy as np
+    import pyarrow.compute as pc
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode("utf-8").lower().split()
-    n = len(words) - size + 1
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten()
+    filled = pc.binary_length(words).to_numpy() > 0  # white space at an end gives an empty word
+    bounds = np.concatenate([[0], np.cumsum(filled)])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
+    coded = words.dictionary_encode()
+    once = np.fromiter(map(xxh64_intdigest, coded.dictionary.to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(coded.dictionary))  # of their UTF-8
+    return once[coded.indices.to_numpy()[filled]], bounds
+
+
+def runs_of(hashed, size: int):
+    """Hashes of all runs of ``size`` words, from those of the words."""
+    import numpy as np
+
+    n = len(hashed) - size + 1
     if n < 1:
         return np.zeros(0, dtype=np.uint64)
-    hashed = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
     with np.errstate(over="ignore"):
         mixed = np.zeros(n, dtype=np.uint64)
         for j in range(size):
-            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashed[j : j + n]
+            mixed *= np.uint64(0x9E3779B97F4A7C15)
+            mixed += hashed[j : j + n]
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(29)
     return mixed
 
 
+def ranges(starts, counts):
+    """``counts`` whole numbers from each of the ``starts`` on, one range after the other."""
+    import numpy as np
+
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
 def least_of(mixed):
     """Place of the least hash of each ``WINNOW`` neighbours."""
     import numpy as np
@@ -84,35 +109,66 @@ def least_of(mixed):
     return least
 
 
-def seeds_of(text: str | None):
-    """Places and hashes of a text's winnowed k-mers (A-Z in lower case), and how many words it has (if ``K`` at least)."""
+def seeds_of(texts):
+    """Winnowed k-mers of an Arrow array of texts: ``(text, pos, h, first, words)``, see :func:`seeds`; ``text`` counts from 0."""
     import numpy as np
 
-    mixed = runs_of(text, K)
-    at = np.unique(least_of(mixed))
-    return at, mixed[at], len(mixed) + K - 1
-
-
-def windows_of(text: str | None, shared):
-    """Places and hashes of a text's runs of ``MIN_WORDS`` words whose seeds are all at ``shared`` places.
+    hashed, bounds = hashed_words(texts)
+    mixed, begins, words = runs_of(hashed, K), bounds[:-1], np.diff(bounds)
+    places = [np.zeros(0, dtype=np.int64)]
+    whole = words >= K + WINNOW - 1
+    if whole.any():
+        places.append(least_of(mixed)[ranges(begins[whole], words[whole] - K - WINNOW + 2)])
+    for i in np.flatnonzero((words >= K) & ~whole):
+        places.append(begins[i] + least_of(mixed[begins[i] : begins[i] + words[i] - K + 1]))
+    at = np.unique(np.concatenate(places))
+    text, h = np.searchsorted(bounds, at, side="right") - 1, mixed[at]
+    order = np.lexsort((h, text))  # equal seeds of a text by place
+    first = np.ones(len(at), dtype=bool)
+    first[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+    return text, at - bounds[text], h, first, words[text]
+
+
+def windows_of(texts, shared):
+    """Runs of ``MIN_WORDS`` words of an Arrow array of texts whose seeds are all at the places ``shared`` (a list for each): ``(text, pos, w)``.
 
     Seeds of a run are the least k-mers of neighbours inside it, so equal runs have
     equal ones. A run's hash is made of those of the k-mers that it consists of.
     """
     import numpy as np
+    import pyarrow.compute as pc
 
-    mixed = runs_of(text, K)
+    hashed, bounds = hashed_words(texts)
+    mixed, begins, words = runs_of(hashed, K), bounds[:-1], np.diff(bounds)
+    counts = np.maximum(words - MIN_WORDS + 1, 0)
+    if not counts.any():
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     least = least_of(mixed)
     inside = MIN_WORDS - K + 1 - WINNOW + 1
-    if len(least) < inside:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    alone = np.concatenate([[0], np.cumsum(~np.isin(least, shared))])
-    at = np.flatnonzero(alone[inside:] == alone[:-inside])
+    lonely = np.ones(len(mixed), dtype=bool)
+    lonely[np.repeat(begins, pc.list_value_length(shared).to_numpy()) + shared.flatten().to_numpy()] = False
+    alone = np.concatenate([[0], np.cumsum(lonely[least])])
+    at = ranges(begins, counts)
+    text = np.repeat(np.arange(len(counts)), counts)
+    kept = alone[at + inside] == alone[at]
+    at, text = at[kept], text[kept]
     whole = np.zeros(len(at), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for part in (*range(0, MIN_WORDS - K, K), MIN_WORDS - K):
             whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + mixed[at + part]
-    return at, whole
+    return text, at - bounds[text], whole
+
+
+def parts_of(batch, column: int):
+    """Slices of an Arrow batch of about ``PART_BYTES`` of the texts in ``column``, one text at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = np.flatnonzero(np.diff(ends // PART_BYTES)) + 1
+    for lo, hi in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -123,19 +179,10 @@ def seeds(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in source:
-            ids = batch.column(0).to_pylist()
-            parts = []
-            for doc, text in zip(ids, batch.column(1), strict=True):
-                at, h, n = seeds_of(text.as_py())
-                first = np.zeros(len(at), dtype=bool)
-                first[np.unique(h, return_index=True)[1]] = True
-                words = np.full(len(at), n, dtype=np.int32)
-                parts.append((h.view(np.int64), np.full(len(at), doc, dtype=np.int64), at.astype(np.int32), first, words))
-                if sum(len(p[0]) for p in parts[-256:]) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "doc", "pos", "first", "words"])
-                    parts = []
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "doc", "pos", "first", "words"])
+            for part in parts_of(batch, 1):
+                text, pos, h, first, words = seeds_of(part.column(1))
+                columns = [h.view(np.int64), part.column(0).to_numpy()[text], pos.astype(np.int32), first, words.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc", "pos", "first", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(batches, "h long, doc long, pos int, first boolean, words int")
@@ -146,13 +193,13 @@ def owners_of(found: DataFrame) -> DataFrame:
     return found.filter("first").groupBy("h").agg(F.min("doc").alias("src"), F.min_by("pos", "doc").alias("spos"), F.max("doc").alias("last")).filter("src < last").select("h", "src", "spos")
 
 
-def matches(found: DataFrame, owners: DataFrame) -> DataFrame:
-    """Seeds matched with the first document that has them: ``(doc, src, pos, spos, h, words)``.
+def shared_seeds(found: DataFrame, owners: DataFrame) -> DataFrame:
+    """Seeds that two or more documents have, with the first of these: ``(h, doc, pos, first, words, src, spos)``.
 
     ``owners``, see :func:`owners_of`, is a table of its own, so that Spark can split
     the join for a seed that very many documents have.
     """
-    return found.join(owners, "h").filter("doc <> src").select("doc", "src", "pos", "spos", "h", "words")
+    return found.join(owners.hint("shuffle_hash"), "h").select("h", "doc", "pos", "first", "words", "src", "spos")
 
 
 def nearest_matches(found: DataFrame, left: DataFrame) -> DataFrame:
@@ -175,7 +222,43 @@ def nearest_matches(found: DataFrame, left: DataFrame) -> DataFrame:
     return near.select("doc", F.col("near.doc").alias("src"), "pos", F.col("near.pos").alias("spos"), "words")
 
 
-def pair_matches(found: DataFrame, owners: DataFrame, left: DataFrame, spans: DataFrame) -> DataFrame:
+def seed_pairs(rows: DataFrame) -> DataFrame:
+    """Each of the seeds ``rows(doc, pos, h, src, spos, asks)`` with those after it that it is paired with: ``(doc, pos, pos2, h, h2, asks)``.
+
+    See :func:`pair_matches`. The seeds of a text are compared with the next ones,
+    those after the next ones and so on, as far as ``REACH``, all at once.
+    """
+
+    def batches(source):
+        import numpy as np
+        import pyarrow as pa
+
+        def closed(rows):
+            doc, pos, h, src, spos, asks = rows
+            chosen = np.full((REACH // STEP, len(doc)), -1)
+            for step in range(1, len(doc)):
+                apart, other = pos[step:] - pos[:-step], spos[step:] - spos[:-step]
+                near = (doc[step:] == doc[:-step]) & (apart <= REACH)
+                if not near.any():
+                    break
+                again = (src[step:] == src[:-step]) & (K <= other) & (other <= REACH)
+                at = np.flatnonzero(near & (apart >= K) & (h[step:] != h[:-step]) & ~again)
+                stretch = (apart[at] - 1) // STEP
+                held = chosen[stretch, at]
+                less = (held < 0) | (h[at + step] < h[held])  # of equals the first
+                chosen[stretch[less], at[less]] = at[less] + step
+            at = np.flatnonzero((chosen >= 0).ravel())
+            to, at = chosen.ravel()[at], at % max(1, len(doc))
+            columns = [doc[at], pos[at], pos[to], h[at], h[to], asks[at] & asks[to]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "pos", "pos2", "h", "h2", "asks"])
+
+        yield from map(closed, whole_groups(source))
+
+    ordered = rows.select("doc", "pos", "h", "src", "spos", "asks").repartition("doc").sortWithinPartitions("doc", "pos")
+    return ordered.mapInArrow(batches, "doc long, pos int, pos2 int, h long, h2 long, asks boolean")
+
+
+def pair_matches(shared: DataFrame, left: DataFrame, spans: DataFrame) -> DataFrame:
     """Pairs of seeds ``left(h)`` matched with the first document that has both, seed by seed: ``(doc, src, pos, spos)``.
 
     Each seed is paired, among the seeds that follow it within ``REACH`` words, with
@@ -184,26 +267,40 @@ def pair_matches(found: DataFrame, owners: DataFrame, left: DataFrame, spans: Da
     seeds have one owner, as near to each other, would meet that one again, and is
     left out. Pairs of which ``spans`` cover a seed ask for no match, but may be the match.
     """
-    rows = found.join(left, "h").join(owners, "h").select("doc", "pos", "h", "src", "spos", "words")
-    covered = uncovered(rows, spans).select("doc", "pos", F.lit(True).alias("asks"))
-    rows = written(rows.join(covered, ["doc", "pos"], "left"), "pair-seeds")
-    after = F.collect_list(F.struct("h", "pos", "src", "spos", "asks")).over(Window.partitionBy("doc").orderBy("pos").rangeBetween(K, REACH))  # at most REACH seeds
-    anew = F.filter("after", lambda b: (b["h"] != F.col("h")) & ~((b["src"] == F.col("src")) & (b["spos"] - F.col("spos")).between(K, REACH)))
-    ahead = lambda lo: lambda b: (b["pos"] - F.col("pos")).between(lo + 1, lo + STEP)
-    least = [F.array_min(F.filter("anew", ahead(lo))) for lo in range(0, REACH, STEP)]
-    pairs = rows.withColumn("after", after).withColumn("anew", anew).withColumn("b", F.explode(F.array_compact(F.array(*least))))
-    pairs = pairs.select(F.xxhash64("h", "b.h").alias("p"), "doc", "pos", F.col("b.pos").alias("pos2"), (F.col("asks") & F.col("b.asks")).alias("asks"))
-    pairs = written(pairs, "seed-pairs")
+    covers = spans.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))  # at most the seeds of one text
+    covered = F.exists("spans", lambda s: (s["start_word"] <= F.greatest(F.col("pos") + K - MIN_WORDS, F.lit(0))) & (F.least(F.col("pos") + MIN_WORDS, "words") <= s["end_word"]))
+    rows = shared.join(left.hint("shuffle_hash"), "h").join(covers, "doc", "left").withColumn("asks", ~F.coalesce(covered, F.lit(False)))
+    pairs = written(seed_pairs(rows).select(F.xxhash64("h", "h2").alias("p"), "doc", "pos", "pos2", "asks"), "seed-pairs")
     first = pairs.groupBy("p").agg(F.min(F.struct("doc", "pos", "pos2")).alias("o"), F.max("doc").alias("last")).filter("o.doc < last").select("p", "o")
     first = written(first, "pair-owners")
     met = pairs.filter("asks").join(first, "p").filter("doc <> o.doc")
     ends = F.explode(F.array(F.struct("pos", F.col("o.pos").alias("spos")), F.struct(F.col("pos2").alias("pos"), F.col("o.pos2").alias("spos"))))
     out = written(met.select("doc", F.col("o.doc").alias("src"), ends.alias("at")).select("doc", "src", "at.*").distinct(), "pair-matches")
-    for table in (rows, pairs, first):
+    for table in (pairs, first):
         unwritten(table)
     return out
 
 
+def whole_groups(source):
+    """Columns of Arrow batches sorted by the first, as numpy arrays, so that equal values of the first come together."""
+    import numpy as np
+
+    held = None
+    for batch in source:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        # the last document may go on in the next batch; its matches are no more than its seeds
+        cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+        if cut:
+            yield [c[:cut] for c in rows]
+        held = [c[cut:] for c in rows]
+    if held is not None:
+        yield held
+
+
 def chain(pos, spos) -> list[list[int]]:
     """Collinear chains of matches sorted by ``pos``; lists of indexes, best chains first.
 
@@ -269,20 +366,7 @@ def chains(found: DataFrame) -> DataFrame:
 
         names = ["doc", "src", "lo", "hi", "slo", "shi", "at", "sat"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        held = None
-        for batch in source:
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            if not len(rows[0]):
-                continue
-            # the last document may go on in the next batch; its matches are no more than its seeds
-            cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
-            if cut:
-                yield closed([c[:cut] for c in rows])
-            held = [c[cut:] for c in rows]
-        if held is not None:
-            yield closed(held)
+        yield from map(closed, whole_groups(source))
 
     return found.select("doc", "src", "pos", "spos").repartition("doc").sortWithinPartitions("doc", "src", "pos", "spos").mapInArrow(batches, CHAIN_SCHEMA)
 
@@ -307,13 +391,14 @@ def similarity(a: list, b: list) -> float:
     return len(x & y) / len(x | y)
 
 
-def aligned(a: list, b: list, at: list[int], bat: list[int]) -> list[tuple[int, int, int, int, int, float]]:
+def aligned(a: list, b: list, at: list[int], bat: list[int], unequal: list[int] | None = None) -> list[tuple[int, int, int, int, int, float]]:
     """Passages around a chain: ``(lo, hi, slo, shi, matched, similarity)`` in word places.
 
     ``at`` and ``bat`` are the places of the chain's seeds in the words ``a`` and ``b``.
     The ends grow while words are equal; the words between two seeds are matched as
     far as they are equal from the left, and the rest is aligned. A chain that isn't
-    similar enough is cut in its gap with the most unequal words.
+    similar enough is cut in its gap with the most unequal words; its parts take along
+    how many are ``unequal`` in each of their gaps.
     """
     lo, slo = at[0], bat[0]
     while lo > 0 and slo > 0 and a[lo - 1] == b[slo - 1]:
@@ -323,21 +408,24 @@ def aligned(a: list, b: list, at: list[int], bat: list[int]) -> list[tuple[int,
         hi, shi = hi + 1, shi + 1
     if min(hi - lo, shi - slo) < MIN_WORDS:
         return []
-    unequal = []
-    for i in range(len(at) - 1):
-        p, s = at[i] + K, bat[i] + K
-        while p < at[i + 1] and s < bat[i + 1] and a[p] == b[s]:
-            p, s = p + 1, s + 1
-        gap, other = max(0, at[i + 1] - p), max(0, bat[i + 1] - s)
-        common = lcs(a[p : p + gap], b[s : s + other])
-        unequal.append(max(gap, other) - common)
+    if a[lo:hi] == b[slo:shi] and all(p - s == lo - slo for p, s in zip(at, bat, strict=True)):  # the same in every gap
+        return [(lo, hi, slo, shi, hi - lo, 1.0)]
+    if unequal is None:
+        unequal = []
+        for i in range(len(at) - 1):
+            p, s = at[i] + K, bat[i] + K
+            while p < at[i + 1] and s < bat[i + 1] and a[p] == b[s]:
+                p, s = p + 1, s + 1
+            gap, other = max(0, at[i + 1] - p), max(0, bat[i + 1] - s)
+            common = lcs(a[p : p + gap], b[s : s + other]) if gap and other else 0
+            unequal.append(max(gap, other) - common)
     found = similarity(a[lo:hi], b[slo:shi])
     if found >= SIMILARITY:
         return [(lo, hi, slo, shi, max(0, max(hi - lo, shi - slo) - sum(unequal)), found)]
     if not unequal or max(unequal) == 0:
         return []
     cut = unequal.index(max(unequal)) + 1
-    return aligned(a, b, at[:cut], bat[:cut]) + aligned(a, b, at[cut:], bat[cut:])
+    return aligned(a, b, at[:cut], bat[:cut], unequal[: cut - 1]) + aligned(a, b, at[cut:], bat[cut:], unequal[cut:])
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -352,18 +440,21 @@ def passages(docs: DataFrame) -> DataFrame:
     docs = one_row_each(docs).select("doc_id", "text")
     found = written(seeds(docs), "seeds")
     owners = written(owners_of(found), "seed-owners")
-    met = written(matches(found, owners), "matches")
+    shared = written(shared_seeds(found, owners), "shared-seeds")
+    for table in (found, owners):  # all that follows is about seeds that two or more have
+        unwritten(table)
+    met = shared.filter("doc <> src")
     first = written(alignments(docs, written(chains(met), "chains")), "first-passages")
-    near = uncovered(nearest_matches(found, open_seeds(met, first)), first)
+    open_first = written(uncovered(met, first), "open-matches")
+    near = uncovered(nearest_matches(shared, seeds_in(open_first)), first)
     second = written(alignments(docs, written(chains(near), "near-chains")), "second-passages")
-    both = first.unionByName(second)
-    left = open_seeds(met, both)
-    paired = pair_matches(found, owners, left, both)
+    open_second = written(uncovered(open_first, second), "open-matches")
+    paired = pair_matches(shared, seeds_in(open_second), first.unionByName(second))
     third = written(alignments(docs, written(chains(paired), "pair-chains")), "third-passages")
-    known = both.unionByName(third)
-    runs = window_runs(docs, found, open_seeds(met, known), known)
+    known = first.unionByName(second).unionByName(third)
+    runs = window_runs(docs, shared, seeds_in(uncovered(open_second, third)), known)
     out = written(first.unionByName(covering(first, second.unionByName(third).unionByName(runs))), "passages")
-    for table in (found, owners, met, paired, first, second, third):
+    for table in (shared, open_first, open_second, paired, first, second, third):
         unwritten(table)
     return out
 
@@ -375,12 +466,12 @@ def uncovered(met: DataFrame, spans: DataFrame) -> DataFrame:
     return met.join(covered, around, "left_anti")
 
 
-def open_seeds(met: DataFrame, spans: DataFrame) -> DataFrame:
-    """``(h)``: seeds that are uncovered where they have a match."""
-    return written(uncovered(met, spans).select("h").distinct(), "open-seeds")
+def seeds_in(met: DataFrame) -> DataFrame:
+    """``(h)``: the seeds of matches, each once."""
+    return written(met.select("h").distinct(), "open-seeds")
 
 
-def window_runs(docs: DataFrame, found: DataFrame, left: DataFrame, spans: DataFrame) -> DataFrame:
+def window_runs(docs: DataFrame, shared: DataFrame, left: DataFrame, spans: DataFrame) -> DataFrame:
     """Exact runs of at least ``MIN_WORDS`` words of an earlier document outside ``spans``.
 
     The documents of a run's seeds may be several that each have less of it. So
@@ -389,7 +480,7 @@ def window_runs(docs: DataFrame, found: DataFrame, left: DataFrame, spans: DataF
     document that has the whole window. Other seeds take no part, and windows need
     all their seeds, so common lines below 50 words bring in few.
     """
-    marks = found.join(left, "h").groupBy("doc").agg(F.collect_set("pos").alias("marks")).filter(F.size("marks") > 1)  # at most the seeds of one text
+    marks = shared.join(left.hint("shuffle_hash"), "h").groupBy("doc").agg(F.collect_set("pos").alias("marks")).filter(F.size("marks") > 1)  # at most the seeds of one text
     marks = written(marks, "window-seeds")
 
     def batches(source):
@@ -397,10 +488,10 @@ def window_runs(docs: DataFrame, found: DataFrame, left: DataFrame, spans: DataF
         import pyarrow as pa
 
         for batch in source:
-            for doc, text, marks in zip(*batch.columns, strict=True):
-                at, w = windows_of(text.as_py(), np.array(marks.as_py()))
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(at), doc.as_py(), dtype=np.int64)), pa.array(at.astype(np.int32))], ["w", "doc", "pos"])
+            for part in parts_of(batch, 1):
+                text, pos, w = windows_of(part.column(1), part.column(2))
+                columns = [w.view(np.int64), part.column(0).to_numpy()[text], pos.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["w", "doc", "pos"])
 
     texts = among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), marks.select(F.col("doc").alias("marked"))).join(marks, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "marks")
     windows = written(texts.mapInArrow(batches, "w long, doc long, pos int"), "windows")
@@ -477,9 +568,21 @@ def alignments(docs: DataFrame, linked: DataFrame) -> DataFrame:
     wanted = linked.select(F.col("doc").alias("doc_id"), F.col("qlo").alias("from"), F.col("qhi").alias("to")).unionByName(linked.select(F.col("src").alias("doc_id"), F.col("qslo").alias("from"), F.col("qshi").alias("to"))).distinct()
     wanted = written(wanted, "wanted-slices")
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then texts stay where they are
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
-    cut = F.array_join(F.slice(words_of(F.col("text")), F.col("from") + 1, F.col("to") - F.col("from")), " ")
-    slices = written(texts.select("doc_id", "from", "to", cut.alias("words")), "slices")
+    cuts = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("cuts"))  # at most the chains of one text
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(cuts) if few else cuts, "doc_id").select("doc_id", "text", "cuts")
+
+    def sliced(source):
+        import pyarrow as pa
+
+        for batch in source:
+            for part in parts_of(batch, 1):
+                out = []
+                for doc, text, cuts in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    words = text.encode("utf-8").split()  # each text once, whatever is wanted of it
+                    out += [(doc, x["from"], x["to"], b" ".join(words[x["from"] : x["to"]])) for x in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.string()], strict=True)], ["doc_id", "from", "to", "words"])
+
+    slices = written(texts.mapInArrow(sliced, "doc_id long, from int, to int, words string"), "slices")
     own = slices.select(F.col("doc_id").alias("doc"), F.col("from").alias("qlo"), F.col("to").alias("qhi"), F.col("words").alias("a"))
     other = slices.select(F.col("doc_id").alias("src"), F.col("from").alias("qslo"), F.col("to").alias("qshi"), F.col("words").alias("b"))
     pairs = linked.join(own, ["doc", "qlo", "qhi"]).join(other, ["src", "qslo", "qshi"]).select("doc", "src", "qlo", "qslo", "at", "sat", "a", "b")

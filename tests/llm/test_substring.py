@@ -222,3 +222,101 @@ def test_least_of_neighbours_is_the_first_of_equals():
             mixed = rng.integers(0, top, n).astype(np.uint64)
             runs = [mixed[i : i + S.WINNOW] for i in range(max(1, n - S.WINNOW + 1))] if n else []
             assert S.least_of(mixed).tolist() == [i + int(r.argmin()) for i, r in enumerate(runs)]
+
+
+def odd_texts(rng):
+    words = ["a", "B", "c", "d", "\u00c9t\u00e9", "x\x1cy", "z\x85", "\u0130"]
+    text = lambda n: rng.choice(["", " ", "\n"]) + "".join(rng.choice(words) + rng.choice([" ", "\t\x0b", "\r\n\x0c"]) for _ in range(n)) + rng.choice(["", "e", " "])
+    return ["", None, " \n", *[text(n) for n in [*range(40), 49, 50, 51, 90, 300]]]
+
+
+def plain_seeds(text):
+    mixed = S.runs_of(plain_hashes(text), S.K).tolist()
+    runs = [range(i, i + S.WINNOW) for i in range(len(mixed) - S.WINNOW + 1)] or [range(len(mixed))] * bool(mixed)
+    at = sorted({min(r, key=lambda i: (mixed[i], i)) for r in runs})
+    return [(i, mixed[i], mixed[i] not in [mixed[j] for j in at if j < i]) for i in at], [min(r, key=lambda i: (mixed[i], i)) for r in runs]
+
+
+def plain_hashes(text):
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(w) for w in (text or "").encode().lower().split()], dtype=np.uint64)
+
+
+def test_seeds_and_windows_of_many_texts_at_once(monkeypatch):
+    """Texts that are taken apart together have the seeds and windows that each has alone, wherever the batch is cut."""
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    texts = odd_texts(rng)
+    seeds = [(i, *s, len(t.encode().split())) for i, t in enumerate(texts) if t for s in plain_seeds(t)[0]]
+    marks = [[p for p, *_ in plain_seeds(t)[0] if rng.random() < 0.9] for t in texts]
+    windows = []
+    for i, t in enumerate(texts):
+        least = plain_seeds(t)[1]
+        inside = S.MIN_WORDS - S.K - S.WINNOW + 2
+        windows += [(i, at) for at in range(len(least) - inside + 1) if set(least[at : at + inside]) <= set(marks[i])]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts), pa.array(marks, pa.list_(pa.int32()))], ["doc", "text", "marks"])
+    for most in (1, 300, 1 << 20):
+        monkeypatch.setattr(S, "PART_BYTES", most)
+        parts = list(S.parts_of(batch, 1))
+        assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and (len(parts) > 2) == (most < 1000)
+        found, seen, hashed = [], [], []
+        for part in parts:
+            doc = part.column(0).to_numpy()
+            text, pos, h, first, words = S.seeds_of(part.column(1))
+            found += zip(doc[text].tolist(), pos.tolist(), h.tolist(), first.tolist(), words.tolist(), strict=True)
+            text, pos, w = S.windows_of(part.column(1), part.column(2))
+            seen += zip(doc[text].tolist(), pos.tolist(), strict=True)
+            hashed += w.tolist()
+        assert found == seeds and seen == windows and len(windows) > 20
+        runs = [tuple(texts[i].encode().lower().split()[at : at + S.MIN_WORDS]) for i, at in windows]
+        assert len(set(zip(runs, hashed, strict=True))) == len(set(runs)) == len(set(hashed))
+
+
+def test_pairs_of_seeds_as_brute_force(spark):
+    rng = random.Random(23)
+    rows = []
+    for doc in range(40):
+        at = sorted(rng.sample(range(400), rng.choice([1, 2, 20, 60])))
+        rows += [(doc, p, rng.randrange(-9, 9), rng.randrange(3), rng.randrange(300), rng.random() < 0.8) for p in at]
+    want = []
+    for doc, pos, h, src, spos, asks in rows:
+        after = [r for r in rows if r[0] == doc and S.K <= r[1] - pos <= S.REACH and r[2] != h and not (r[3] == src and S.K <= r[4] - spos <= S.REACH)]
+        for lo in range(0, S.REACH, S.STEP):
+            if near := [r for r in after if lo < r[1] - pos <= lo + S.STEP]:
+                least = min(near, key=lambda r: (r[2], r[1]))
+                want.append((doc, pos, least[1], h, least[2], asks and least[5]))
+    rng.shuffle(rows)
+    got = S.seed_pairs(spark.createDataFrame(rows, "doc long, pos int, h long, src long, spos int, asks boolean"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_each_gap_is_aligned_once(monkeypatch):
+    """A chain that is cut again and again hands down what its gaps have in common."""
+    calls, lcs = [], S.lcs
+    monkeypatch.setattr(S, "lcs", lambda a, b: calls.append(1) or lcs(a, b))
+    a = [f"w{i}" for i in range(400)]
+    b = [f"v{i}" if i % 20 >= S.K and i < 300 else x for i, x in enumerate(a)]
+    at = list(range(0, 392, 20))
+    assert S.aligned(a, b, at, at) == [(300, 400, 300, 400, 100, 1.0)]
+    assert 0 < len(calls) <= len(at) - 1
+
+
+def test_only_shared_seeds_are_read_again(spark, make, prose, monkeypatch):
+    """Most seeds are in one document only; their table has gone before the first chains."""
+    import os
+
+    paths, left, keep = {}, [], S.written
+
+    def seen(df, name):
+        if name == "chains":
+            left.append(os.path.exists(paths["seeds"].removeprefix("file:")))
+        out = keep(df, name)
+        paths[name] = out.written_path
+        return out
+
+    monkeypatch.setattr(S, "written", seen)
+    docs = [(1, prose(1, 300) + " " + prose(900, 70)), (2, prose(2, 300) + " " + prose(900, 70))]
+    assert {(r.doc_id, r.src_doc_id) for r in S.passages(make(docs)).collect()} == {(2, 1)} and left == [False]
